@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import op5_substring, op6_lines, op10_exact
+from . import op5_substring, op6_lines, op8_suffix, op10_exact
 
 QUERIES = {
     "op5_substring_dedup": op5_substring.query,
     "op6_line_dedup": op6_lines.query,
+    "op8_suffix_array_dedup": op8_suffix.query,
     "op10_exact_dedup": op10_exact.query,
 }
 
 SQL = {
     "op5_substring_dedup": op5_substring.SQL,
     "op6_line_dedup": op6_lines.SQL,
+    "op8_suffix_array_dedup": op8_suffix.SQL,
     "op10_exact_dedup": op10_exact.SQL,
 }
