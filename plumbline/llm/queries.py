@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import op5_substring, op6_lines, op8_suffix, op10_exact
+from . import op5_substring, op6_lines, op7_jaccard, op8_suffix, op10_exact
 
 QUERIES = {
     "op5_substring_dedup": op5_substring.query,
     "op6_line_dedup": op6_lines.query,
+    "op7_ngram_jaccard_join": op7_jaccard.query,
     "op8_suffix_array_dedup": op8_suffix.query,
     "op10_exact_dedup": op10_exact.query,
 }
@@ -14,6 +15,7 @@ QUERIES = {
 SQL = {
     "op5_substring_dedup": op5_substring.SQL,
     "op6_line_dedup": op6_lines.SQL,
+    "op7_ngram_jaccard_join": op7_jaccard.SQL,
     "op8_suffix_array_dedup": op8_suffix.SQL,
     "op10_exact_dedup": op10_exact.SQL,
 }
