@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import op5_substring, op6_lines, op7_jaccard, op8_suffix, op10_exact
+from . import op1_sentencepiece, op5_substring, op6_lines, op7_jaccard, op8_suffix, op10_exact
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece.query,
     "op5_substring_dedup": op5_substring.query,
     "op6_line_dedup": op6_lines.query,
     "op7_ngram_jaccard_join": op7_jaccard.query,
