@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import op1_sentencepiece, op5_substring, op6_lines, op7_jaccard, op8_suffix, op10_exact
+from . import op1_sentencepiece, op3_embeddings, op4_language, op5_substring, op6_lines, op7_jaccard, op8_suffix, op10_exact
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece.query,
+    "op3_embedding_dedup": op3_embeddings.query,
+    "op4_language_id": op4_language.query,
     "op5_substring_dedup": op5_substring.query,
     "op6_line_dedup": op6_lines.query,
     "op7_ngram_jaccard_join": op7_jaccard.query,
@@ -14,6 +16,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_embedding_dedup": op3_embeddings.SQL,
     "op5_substring_dedup": op5_substring.SQL,
     "op6_line_dedup": op6_lines.SQL,
     "op7_ngram_jaccard_join": op7_jaccard.SQL,
