@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import documents
 from .tokens import ranges, slices, text_bytes
@@ -292,7 +293,7 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
             same = pc.equal(decode_column(ids, v), texts.cast(pa.binary()))
             yield pa.record_batch([*b.columns[:-1], ids, pc.cast(pc.list_value_length(ids), pa.int64()), same], names=[*rest, "ids", "n_ids", "round_trip"])
 
-    out = fields.add("ids", "array<int>").add("n_ids", "long").add("round_trip", "boolean")
+    out = fields.add("ids", T.ArrayType(T.IntegerType())).add("n_ids", "long").add("round_trip", "boolean")
     return docs.select(*rest, F.col("text").alias("_text")).mapInArrow(code, out)
 
 
