@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_sentencepiece, op3_embeddings, op4_language, op5_substring, op6_lines, op7_jaccard, op8_suffix, op10_exact
+from . import op1_sentencepiece, op3_embeddings, op4_language, op5_substring, op6_lines, op7_jaccard, op8_suffix, op9_mixing, op10_exact
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_line_dedup": op6_lines.query,
     "op7_ngram_jaccard_join": op7_jaccard.query,
     "op8_suffix_array_dedup": op8_suffix.query,
+    "op9_source_mixing": op9_mixing.query,
     "op10_exact_dedup": op10_exact.query,
 }
 
