@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import op1_sentencepiece, op3_embeddings, op4_language, op5_substring, op6_lines, op7_jaccard, op8_suffix, op9_mixing, op10_exact
+from . import op1_sentencepiece, op2_toxicity, op3_embeddings, op4_language, op5_substring, op6_lines, op7_jaccard, op8_suffix, op9_mixing, op10_exact
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece.query,
+    "op2_toxicity": op2_toxicity.query,
     "op3_embedding_dedup": op3_embeddings.query,
     "op4_language_id": op4_language.query,
     "op5_substring_dedup": op5_substring.query,
