@@ -1,6 +1,378 @@
-"""Queries over the driver's tables, by name, with their DuckDB SQL."""
+"""Queries over the driver's tables, by name, with their DuckDB SQL.
+
+Adapter views give the tables the shapes of the engine's facts: parts are files and functions,
+line items are changes, suppliers authors, orders commits.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import exprs as X
+from ..operators import coverage as C
+from ..operators import graph as G
+from ..operators import history as H
+from ..operators import report as R
+from ..operators import scoring as S
+
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def changes(spark: SparkSession, sf_dir: str, path: str = "l_partkey") -> DataFrame:
+    """Line items as line changes."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col(path).alias("path"), F.col("l_orderkey").alias("commit"), F.col("l_suppkey").alias("author"), F.expr("unix_seconds(cast(l_shipdate as timestamp))").alias("ts"),
+        (F.col("l_returnflag") == "R").alias("is_bug_fix"), F.expr("cast(l_quantity as bigint)").alias("start_line"), F.expr("cast(l_quantity as bigint) + l_linenumber - 1").alias("end_line"),
+    )
+
+
+def part_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two functions of 25 lines in each part."""
+    k = F.explode(F.array(F.lit(0), F.lit(1)))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file"), F.col("p_name").alias("name"), k.alias("k"))
+    return p.select("file", "name", F.expr("cast(1 + 25 * k as bigint)").alias("line"), F.expr("cast(25 + 25 * k as bigint)").alias("end_line"))
+
+
+def supplier_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    return s.select(F.concat(F.lit("s"), "s_suppkey").alias("key"), F.lit("lib").alias("file"), F.col("s_name").alias("name"), F.expr("cast(s_nationkey + 1 as bigint)").alias("lines_of_code"))
+
+
+def part_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.select(F.concat(F.lit("p"), "p_partkey").alias("key"), F.lit("app").alias("file"), F.concat(F.lit("part"), "p_partkey").alias("name"), F.expr("cast(p_size as bigint)").alias("lines_of_code"))
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returned items of the largest quantity: the part calls the supplier by name."""
+    x = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity >= 50")
+    s = table(spark, sf_dir, "supplier")
+    return x.join(s, x.l_suppkey == s.s_suppkey).select(F.concat(F.lit("p"), "l_partkey").alias("caller"), F.col("s_name").alias("callee_name"))
+
+
+def all_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return supplier_functions(spark, sf_dir).unionByName(part_callers(spark, sf_dir))
+
+
+LC = """lc AS (SELECT l_partkey AS path, l_orderkey AS commit, l_suppkey AS author, CAST(epoch(l_shipdate) AS BIGINT) AS ts, l_suppkey,
+  l_returnflag = 'R' AS is_bug_fix, CAST(l_quantity AS BIGINT) AS s, CAST(l_quantity AS BIGINT) + l_linenumber - 1 AS e FROM lineitem)"""
+CHURN = """count(DISTINCT commit) AS times_modified, count(DISTINCT CASE WHEN is_bug_fix THEN commit END) AS bug_fix_commits,
+  count(DISTINCT author) AS authors_count, max(ts) AS last_modified,
+  round((count(DISTINCT commit) + 2 * count(DISTINCT CASE WHEN is_bug_fix THEN commit END)) * log10(count(DISTINCT author) + 1), 6) AS churn_score"""
+CHURN_COLUMNS = ("times_modified", "bug_fix_commits", "authors_count", "last_modified")
+
+
+def churn_row(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, *CHURN_COLUMNS, F.round("churn_score", 6).alias("churn_score"))
+
+
+@query(f"WITH {LC} SELECT path, {CHURN} FROM lc GROUP BY path")
+def churn_by_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return churn_row(H.churn(changes(spark, sf_dir), ["path"]), "path")
+
+
+@query(f"""WITH {LC}, f AS (SELECT p_partkey AS file, p_name AS name, CAST(1 + 25 * k AS BIGINT) AS line, CAST(25 + 25 * k AS BIGINT) AS end_line FROM part, (VALUES (0), (1)) t(k))
+SELECT file, name, line, {CHURN} FROM f JOIN lc ON file = path AND line <= e AND s <= end_line GROUP BY file, name, line""")
+def churn_function_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return churn_row(H.function_churn(part_functions(spark, sf_dir), changes(spark, sf_dir), ["file", "name", "line"]), "file", "name", "line")
+
+
+def _windows(key: str) -> str:
+    return f"""WITH {LC}, c AS (SELECT {key} AS k, commit, max(ts) AS ts FROM lc GROUP BY ALL), l AS (SELECT *, max(ts) OVER (PARTITION BY k) AS last FROM c),
+w AS (SELECT k, max(last) AS last, count(*) FILTER (ts >= last - 7 * 86400) AS d7, count(*) FILTER (ts >= last - 30 * 86400) AS d30, count(*) FILTER (ts >= last - 90 * 86400) AS d90 FROM l GROUP BY k),
+a AS (SELECT {key} AS k, count(DISTINCT author) AS n FROM (SELECT *, l_suppkey AS _x FROM lc) GROUP BY 1)
+SELECT w.k AS entity, last AS last_modified, d7 AS d7_modifications, d30 AS d30_modifications, d90 AS d90_modifications,
+  round(d7 * log10(n + 1), 6) AS d7_score, round(d30 * log10(n + 1), 6) AS d30_score, round(d90 * log10(n + 1), 6) AS d90_score,
+  CASE WHEN d90 <= 1 THEN 'stable' WHEN (d7 / 7.0) / (d90 / 90.0) >= 1.25 THEN 'accelerating' WHEN (d7 / 7.0) / (d90 / 90.0) <= 0.75 THEN 'cooling' ELSE 'stable' END AS velocity
+FROM w JOIN a ON w.k = a.k"""
+
+
+@query(_windows("l_suppkey"))
+def churn_windows_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = H.churn(changes(spark, sf_dir, "l_suppkey"), ["path"])
+    scores = [F.round(f"d{d}_score", 6).alias(f"d{d}_score") for d in (7, 30, 90)]
+    return w.select(F.col("path").alias("entity"), "last_modified", *[f"d{d}_modifications" for d in (7, 30, 90)], *scores, "velocity")
+
+
+STATS = """SELECT '{m}' AS metric, count(x) AS n, CAST(max(x) AS DOUBLE) AS max_value,
+  CAST(list_sort(list(x))[least(count(x) * 95 // 100, count(x) - 1) + 1] AS DOUBLE) AS p95, CAST(list_sort(list(x))[least(count(x) * 99 // 100, count(x) - 1) + 1] AS DOUBLE) AS p99 FROM ({q})"""
+
+
+@query(f"""SELECT *, greatest(CASE WHEN max_value > 3 * p95 THEN p99 ELSE max_value END, 1.0) AS cap FROM (
+{STATS.format(m="n_chars", q="SELECT n_chars AS x FROM documents")} UNION ALL {STATS.format(m="quantity", q="SELECT sum(l_quantity) AS x FROM lineitem GROUP BY l_partkey")})""")
+def order_stats_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chars = S.order_statistics(table(spark, sf_dir, "documents"), ["n_chars"])
+    quantity = S.order_statistics(table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.sum("l_quantity").alias("quantity")), ["quantity"])
+    return S.capped(chars.unionByName(quantity))
+
+
+@query(f"""WITH s AS ({STATS.format(m="x", q="SELECT n_chars AS x FROM documents")}),
+c AS (SELECT greatest(CASE WHEN max_value > 3 * p95 THEN p99 ELSE max_value END, 1.0) AS cap FROM s)
+SELECT doc_id, round(least(ln(1 + n_chars) / ln(1 + cap), 1.0), 6) AS norm FROM documents, c""")
+def log_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return S.normalised(d, {"loc": "n_chars"}).select("doc_id", F.round("norm_loc", 6).alias("norm"))
+
+
+def part_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed parts as code units with the inputs of scoring."""
+    c = changes(spark, sf_dir)
+    churn = H.churn(c, ["path"]).select("path", "churn_score", "times_modified", "authors_count", F.col("d7_score").alias("churn_recent"))
+    depth = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("path")).agg((F.max("l_linenumber") - 1).cast("long").alias("nesting_depth"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("path"), F.col("p_size").cast("long").alias("cognitive"), F.length("p_name").cast("long").alias("cyclomatic"), F.floor("p_retailprice").alias("loc"), "p_name")
+    return p.join(churn, "path").join(depth, "path").withColumn("fan_in", F.col("times_modified"))
+
+
+PART_METRICS = {"cognitive": "cognitive", "churn": "churn_score", "churn_recent": "churn_recent", "fan_in": "fan_in", "cyclomatic": "cyclomatic", "loc": "loc", "authors": "authors_count"}
+RISK = f"""WITH {LC}, d AS (SELECT path, commit, max(ts) AS ts, max(is_bug_fix::INT) AS b FROM lc GROUP BY ALL), l AS (SELECT *, max(ts) OVER (PARTITION BY path) AS last FROM d),
+k AS (SELECT path, count(*) AS fan_in, sum(b) AS bugs, count(*) FILTER (ts >= last - 7 * 86400) AS d7 FROM l GROUP BY path),
+a AS (SELECT path, count(DISTINCT author) AS authors_count FROM lc GROUP BY path),
+n AS (SELECT l_partkey AS path, max(l_linenumber) - 1 AS depth FROM lineitem GROUP BY 1),
+u AS (SELECT p_partkey AS path, p_size AS cognitive, length(p_name) AS cyclomatic, floor(p_retailprice) AS loc, fan_in, authors_count, depth,
+  (fan_in + 2 * bugs) * log10(authors_count + 1) AS churn, d7 * log10(authors_count + 1) AS churn_recent
+  FROM part JOIN k ON p_partkey = k.path JOIN a ON a.path = k.path JOIN n ON n.path = k.path),
+v AS (SELECT unnest(['cognitive', 'churn', 'churn_recent', 'fan_in', 'cyclomatic', 'loc', 'authors_count']) AS m, unnest([cognitive, churn, churn_recent, fan_in, cyclomatic, loc, authors_count]::DOUBLE[]) AS x FROM u),
+c AS (SELECT m, greatest(CASE WHEN max(x) > 3 * list_sort(list(x))[least(count(*) * 95 // 100, count(*) - 1) + 1] THEN list_sort(list(x))[least(count(*) * 99 // 100, count(*) - 1) + 1] ELSE max(x) END, 1.0) AS cap FROM v GROUP BY m),
+cap AS (SELECT map_from_entries(list((m, cap))) AS q FROM c),
+z AS (SELECT path, depth, cognitive, churn, {", ".join(f"least(ln(1 + {m}) / ln(1 + q['{m}']), 1.0) AS n_{m}" for m in ("cognitive", "churn", "churn_recent", "fan_in", "cyclomatic", "loc", "authors_count"))} FROM u, cap),
+w AS (SELECT *, n_cognitive * 0.3 AS c1, n_churn * 0.2 AS c2, n_churn_recent * 0.15 AS c3, n_fan_in * 0.1 AS c4, n_cyclomatic * 0.1 AS c5, n_loc * 0.05 AS c6, n_authors_count * 0.05 AS c7 FROM z),
+r AS (SELECT *, round((c1 + c2 + c3 + c4 + c5 + c6 + c7) * (1 + (depth / 4.0) * (depth / 4.0) * 0.2) * (1 + 0.25 * n_fan_in), 6) AS risk,
+  CASE greatest(c1, c2, c3, c4, c5, c6, c7) WHEN c1 THEN 'cognitive' WHEN c2 THEN 'churn' WHEN c3 THEN 'churn_recent' WHEN c4 THEN 'fan_in' WHEN c5 THEN 'cyclomatic' WHEN c6 THEN 'loc' ELSE 'authors' END AS driver FROM w),
+x AS (SELECT path, risk, driver, CASE WHEN count(*) OVER () <= 1 THEN 100.0 ELSE percent_rank() OVER (ORDER BY risk) * 100 END AS pct FROM r)"""
+
+
+def part_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.scored(S.normalised(part_units(spark, sf_dir), PART_METRICS), digits=6)
+
+
+@query(RISK + """ SELECT path, risk, round(pct, 6) AS percentile, CASE WHEN pct >= 95 THEN 'critical' WHEN pct >= 80 THEN 'high' WHEN pct >= 50 THEN 'medium' ELSE 'low' END AS level, driver FROM x""")
+def risk_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = S.with_percentiles(part_risk(spark, sf_dir).select("path", "final_score", "primary_driver"), {"final_score": "pct"})
+    return r.select("path", F.col("final_score").alias("risk"), F.round("pct", 6).alias("percentile"), X.risk_level("pct").alias("level"), F.col("primary_driver").alias("driver"))
+
+
+@query("SELECT doc_id, round(percent_rank() OVER (ORDER BY n_chars) * 100, 6) AS percentile FROM documents")
+def percentile_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return S.with_percentiles(d, {"n_chars": "p"}).select("doc_id", F.round("p", 6).alias("percentile"))
+
+
+@query("""WITH n AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, (l_orderkey % 11) / 10.0 * 0.3 AS a, (l_partkey % 7) / 6.0 * 0.2 AS b, (l_suppkey % 5) / 4.0 * 0.15 AS c,
+  (l_linenumber % 3) / 2.0 * 0.1 AS d, (CAST(l_quantity AS BIGINT) % 4) / 3.0 * 0.1 AS e, (l_orderkey % 2) * 0.05 AS f, (l_partkey % 2) * 0.05 AS g, (l_suppkey % 2) * 0.05 AS h FROM lineitem),
+t AS (SELECT CASE greatest(a, b, c, d, e, f, g, h) WHEN a THEN 'cognitive' WHEN b THEN 'churn' WHEN c THEN 'churn_recent' WHEN d THEN 'fan_in' WHEN e THEN 'cyclomatic' WHEN f THEN 'loc' WHEN g THEN 'authors' ELSE 'coverage_gap' END AS driver FROM n)
+SELECT driver, count(*) AS units FROM t GROUP BY driver""")
+def primary_driver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda c, m, by: F.expr(f"cast({c} as bigint) % {m}") / F.lit(float(by))
+    norm = {
+        "cognitive": part("l_orderkey", 11, 10), "churn": part("l_partkey", 7, 6), "churn_recent": part("l_suppkey", 5, 4), "fan_in": part("l_linenumber", 3, 2),
+        "cyclomatic": part("l_quantity", 4, 3), "loc": part("l_orderkey", 2, 1), "authors": part("l_partkey", 2, 1), "coverage_gap": part("l_suppkey", 2, 1),
+    }
+    return table(spark, sf_dir, "lineitem").select(X.primary_driver(norm).alias("driver")).groupBy("driver").agg(F.count("*").alias("units"))
+
+
+@query("""WITH c AS (SELECT l_suppkey AS author, count(*) AS n FROM lineitem GROUP BY 1), r AS (SELECT n, sum(n) OVER (ORDER BY n DESC, author) - n AS before, sum(n) OVER () AS total FROM c)
+SELECT count(*) FILTER (before < ceil(total / 2)) AS bus_factor FROM r""")
+def bus_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.bus_factor(H.contributions(changes(spark, sf_dir)))
+
+
+@query("SELECT round(sum(p_size + length(p_name))::DOUBLE / sum(floor(p_retailprice)), 6) AS tech_debt_density FROM part")
+def debt_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_size").alias("cognitive"), F.length("p_name").alias("cyclomatic"), F.floor("p_retailprice").alias("loc"))
+    return R.debt_density(p).select(F.round("tech_debt_density", 6).alias("tech_debt_density"))
+
+
+@query("""SELECT o_orderkey AS file, o_totalprice AS final_score, CAST(length(o_orderpriority) AS DOUBLE) AS churn_score, o_custkey AS cognitive, 1::BIGINT AS line FROM orders
+ORDER BY o_totalprice DESC, churn_score DESC, cognitive DESC, file, line LIMIT 5""")
+def hotspots_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file"), F.col("o_totalprice").alias("final_score"), F.length("o_orderpriority").cast("double").alias("churn_score"), F.col("o_custkey").alias("cognitive"), F.lit(1).cast("long").alias("line"))
+    return R.hotspots(o)
+
+
+EDGES = """e AS (SELECT DISTINCT 'p' || l_partkey AS caller, 's' || s.s_suppkey AS callee FROM lineitem JOIN supplier x ON l_suppkey = x.s_suppkey JOIN supplier s ON s.s_name = x.s_name
+  WHERE l_returnflag = 'R' AND l_quantity >= 50),
+f AS (SELECT 's' || s_suppkey AS key, 'lib' AS file, s_name AS name, CAST(s_nationkey + 1 AS BIGINT) AS loc FROM supplier UNION ALL SELECT 'p' || p_partkey, 'app', 'part' || p_partkey, CAST(p_size AS BIGINT) FROM part)"""
+
+
+@query(f"""WITH {EDGES}, i AS (SELECT callee AS key, count(DISTINCT c.file || ':' || c.name) AS n FROM e JOIN f c ON c.key = caller GROUP BY 1), o AS (SELECT caller AS key, count(DISTINCT c.file || ':' || c.name) AS n FROM e JOIN f c ON c.key = callee GROUP BY 1)
+SELECT f.key, coalesce(i.n, 0) AS fan_in, coalesce(o.n, 0) AS fan_out, round(CASE WHEN coalesce(i.n, 0) + coalesce(o.n, 0) = 0 THEN 0.0 ELSE coalesce(o.n, 0)::DOUBLE / (coalesce(i.n, 0) + coalesce(o.n, 0)) END, 6) AS instability
+FROM f LEFT JOIN i USING (key) LEFT JOIN o USING (key)""")
+def coupling_fan_in_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = all_functions(spark, sf_dir)
+    return G.coupling(f, G.call_edges(calls(spark, sf_dir), f)).select("key", "fan_in", "fan_out", F.round("instability", 6).alias("instability"))
+
+
+@query(f"WITH {EDGES} SELECT f.key, f.name FROM f ANTI JOIN e ON f.key = e.callee WHERE file = 'lib'")
+def unreachable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = all_functions(spark, sf_dir)
+    return G.uncalled(f, G.call_edges(calls(spark, sf_dir), f)).where("file = 'lib'").select("key", "name")
+
+
+@query(f"""WITH {EDGES}, r AS (SELECT f.*, key IN (SELECT callee FROM e) AS called, CAST(substr(key, 2) AS BIGINT) % 2 = 0 AND file = 'app' AS exported FROM f),
+d AS (SELECT * FROM r WHERE NOT called AND NOT exported) SELECT count(*) AS unreachable_functions, CAST(coalesce(sum(loc), 0) AS BIGINT) AS unreachable_loc, count(*) AS safe_to_delete FROM d""")
+def dead_code_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = all_functions(spark, sf_dir)
+    exported = (F.expr("cast(substring(key, 2) as bigint) % 2 = 0")) & (F.col("file") == "app")
+    kinds = G.coupling(f, G.call_edges(calls(spark, sf_dir), f)).withColumn("kind", X.initial_reachability(F.lit(False), exported))
+    return G.dead_code(G.reachability(kinds))
+
+
+def line_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as coverage: the part's file, the quantity's line, hit unless returned."""
+    x = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("path"), F.expr("cast(l_quantity as bigint)").alias("line"), (F.col("l_returnflag") != "R").cast("long").alias("h"))
+    return x.groupBy("path", "line").agg(F.max("h").alias("hits"))
+
+
+def branch_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").where("l_linenumber > 2").select(F.col("l_partkey").alias("path"), F.expr("cast(l_quantity as bigint)").alias("line"), (F.col("l_linestatus") == "F").alias("taken"))
+
+
+def covered_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = part_functions(spark, sf_dir).withColumn("key", F.concat_ws(":", "file", "line"))
+    return f.join(C.function_coverage(f, line_hits(spark, sf_dir), branch_hits(spark, sf_dir)), "key", "left")
+
+
+COVERED = """h AS (SELECT l_partkey AS path, CAST(l_quantity AS BIGINT) AS line, max((l_returnflag <> 'R')::INT) AS hits FROM lineitem GROUP BY ALL),
+b AS (SELECT l_partkey AS path, CAST(l_quantity AS BIGINT) AS line, l_linestatus = 'F' AS taken FROM lineitem WHERE l_linenumber > 2),
+f AS (SELECT p_partkey AS file, p_partkey || ':' || (1 + 25 * k) AS key, 1 + 25 * k AS lo, 25 + 25 * k AS hi FROM part, (VALUES (0), (1)) t(k) WHERE p_partkey IN (SELECT path FROM h)),
+lh AS (SELECT key, count(*) FILTER (hits > 0) / count(*)::DOUBLE AS c FROM f JOIN h ON file = path AND line BETWEEN lo AND hi GROUP BY 1),
+bh AS (SELECT key, count(*) FILTER (taken) / count(*)::DOUBLE AS c FROM f JOIN b ON file = path AND line BETWEEN lo AND hi GROUP BY 1),
+g AS (SELECT key, lo, coalesce(lh.c, 0.0) AS lc, bh.c AS bc FROM f LEFT JOIN lh USING (key) LEFT JOIN bh USING (key))"""
+
+
+@query(f"WITH {COVERED} SELECT key, round(lc, 6) AS line_coverage, round(bc, 6) AS branch_coverage, round(1 - lc, 6) AS coverage_gap FROM g")
+def coverage_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covered_parts(spark, sf_dir).where("line_coverage is not null").select("key", *[F.round(c, 6).alias(c) for c in ("line_coverage", "branch_coverage", "coverage_gap")])
+
+
+@query(f"WITH {COVERED} SELECT count(*) > 0 AS available, round(avg(lc), 6) AS project_line_coverage, count(*) FILTER (lo = 1 AND lc < 0.5) AS high_risk_uncovered FROM g")
+def project_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = covered_parts(spark, sf_dir).withColumn("final_score", F.when(F.col("line") == 1, 0.9).otherwise(0.1))
+    return C.project_coverage(f).withColumn("project_line_coverage", F.round("project_line_coverage", 6))
+
+
+@query("""WITH RECURSIVE n AS (SELECT max(p_partkey) AS n FROM part), c(old_path, path, steps) AS (
+  SELECT p_partkey, 2 * p_partkey, 1 FROM part, n WHERE 2 * p_partkey <= n.n UNION ALL SELECT old_path, 2 * path, steps + 1 FROM c, n WHERE 2 * path <= n.n)
+SELECT old_path, max(path) AS final_path FROM c GROUP BY 1""")
+def rename_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey")
+    renames = p.crossJoin(F.broadcast(p.agg(F.max("p_partkey").alias("_n")))).where("2 * p_partkey <= _n and p_partkey > 0").select(F.col("p_partkey").alias("old_path"), F.expr("2 * p_partkey").alias("new_path"), F.lit(1).alias("seq"))
+    return H.rename_closure(H.rename_aliases(renames))
+
+
+PATTERNS = (r"(?i)\bthe\b", r"(?i)\bder\b")
+
+
+@query(r"""SELECT conv_id, turn, coalesce(regexp_matches(text, '(?i)\bthe\b') OR regexp_matches(text, '(?i)\bder\b'), false) AS is_bug_fix FROM conversations""")
+def bugfix_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(X.is_bug_fix("text", PATTERNS), F.lit(False)).alias("is_bug_fix"))
+
+
+@query("""WITH s AS (SELECT doc_id, list_transform(string_split(regexp_replace(replace(text, 'T', '*'), '\\n$', ''), chr(10)), lambda x: trim(x)) AS l FROM documents)
+SELECT doc_id, len(list_filter(l, lambda x: starts_with(x, '//') OR starts_with(x, '/*') OR starts_with(x, '*'))) AS comment_lines, len(list_filter(l, lambda x: x <> '')) AS solid_lines,
+  round(CASE WHEN len(list_filter(l, lambda x: x <> '')) = 0 THEN 0.0 ELSE len(list_filter(l, lambda x: starts_with(x, '//') OR starts_with(x, '/*') OR starts_with(x, '*')))::DOUBLE / len(list_filter(l, lambda x: x <> '')) END, 6) AS comment_ratio FROM s""")
+def text_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.replace("text", F.lit("T"), F.lit("*"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.comment_lines(t).alias("comment_lines"), X.solid_lines(t).alias("solid_lines"), F.round(X.comment_ratio(t), 6).alias("comment_ratio"))
+
+
+NEEDLES = ("the", "tion", "licensed", "en en")
+
+
+@query(f"""SELECT doc_id, CAST({" + ".join(f"(length(l) - length(replace(l, '{n}', ''))) // {len(n)}" for n in NEEDLES)} AS BIGINT) AS placeholder_count
+FROM (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS l FROM documents)""")
+def placeholder_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", X.placeholder_count("text", NEEDLES).alias("placeholder_count"))
+
+
+@query("""SELECT p_partkey, CASE WHEN length(p_type) * (p_size % 9) = 0 THEN 'missing' WHEN p_size >= 8 AND length(p_type) * (p_size % 9) < 80 THEN 'sparse' ELSE 'adequate' END AS quality FROM part""")
+def doc_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", X.doc_quality(F.length("p_type") * (F.col("p_size") % 9), "p_size").alias("quality"))
+
+
+@query("SELECT page_id, regexp_extract(url, '([A-Za-z0-9_]+)[^A-Za-z0-9_]*$', 1) AS name FROM pages")
+def call_name_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", X.call_name("url").alias("name"))
+
+
+SORT_COLUMNS = {"churn_score": "churn_score", "risk": "final_score", "cognitive": "cognitive", "cyclomatic": "cyclomatic", "loc": "loc"}
+
+
+def _sort(key: str):
+    metric, _ = R.sort_metric(key)
+    column = {"final_score": "risk", "churn_score": "round(churn, 6)"}.get(SORT_COLUMNS.get(metric, ""), SORT_COLUMNS.get(metric, ""))
+    by = "" if metric == "location" else f"{column} DESC, "
+    sql = RISK + f""" SELECT r.path AS file, nth FROM (SELECT u.path, row_number() OVER (ORDER BY {by}u.path) AS nth FROM u JOIN r ON u.path = r.path) r WHERE nth <= 100"""
+    sql = sql.replace("round(churn, 6)", "round(u.churn, 6)").replace("ORDER BY cognitive", "ORDER BY u.cognitive").replace("ORDER BY cyclomatic", "ORDER BY u.cyclomatic").replace("ORDER BY loc", "ORDER BY u.loc")
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        f = part_risk(spark, sf_dir).withColumn("churn_score", F.round("churn_score", 6)) if metric == "risk" else part_units(spark, sf_dir).withColumn("churn_score", F.round("churn_score", 6))
+        top = R.sorted_report(f.withColumn("file", F.col("path")).withColumn("name", F.lit("")).withColumn("line", F.lit(1)), key, SORT_COLUMNS, 100)
+        # the limit's rows, few, get their place
+        order = [F.col("file")] if metric == "location" else [F.desc(SORT_COLUMNS[metric]), F.col("file")]
+        from pyspark.sql import Window
+
+        return top.select("file", F.row_number().over(Window.orderBy(*order)).cast("long").alias("nth"))
+
+    run.__name__ = f"sort_{key}"
+    return query(sql)(run)
+
+
+for _key in ("location", "churn", "risk", "cognitive", "cyclomatic", "loc"):
+    _sort(_key)
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Files with content hashes, and the memo of an earlier run in which a fifth had other contents."""
+    now = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.md5("text").alias("content_hash"))
+    return now, now.where("path % 7 <> 0").withColumn("content_hash", F.when(F.col("path") % 5 == 0, F.lit("old")).otherwise(F.col("content_hash")))
+
+
+@query("SELECT doc_id AS path, md5(text) AS content_hash FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 5 <> 0")
+def memo_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now, memo = _state(spark, sf_dir)
+    return now.join(memo, ["path", "content_hash"], "left_semi")
+
+
+@query("SELECT doc_id AS path, md5(text) AS content_hash FROM documents WHERE doc_id % 7 = 0 OR doc_id % 5 = 0")
+def memo_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now, memo = _state(spark, sf_dir)
+    return now.join(memo, ["path", "content_hash"], "left_anti")
+
+
+@query(f"WITH {LC} SELECT path, count(*) AS n FROM lc WHERE path IN (SELECT p_partkey FROM part WHERE p_size > 25) GROUP BY path")
+def active_retain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_partkey").alias("path"))
+    return H.active_only(changes(spark, sf_dir), files).groupBy("path").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(DISTINCT l_suppkey) AS total_unique_authors FROM lineitem")
+def unique_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.unique_authors(changes(spark, sf_dir))
+
+
+@query(f"WITH {LC} SELECT path, count(DISTINCT commit) AS times_modified, count(DISTINCT CASE WHEN is_bug_fix THEN commit END) AS bug_fix_commits, count(DISTINCT author) AS authors_count FROM lc GROUP BY path")
+def merge_state_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = changes(spark, sf_dir)
+    return H.merged_counts([H.partial_counts(c.where("commit % 2 = 0")), H.partial_counts(c.where("commit % 2 <> 0"))])
+
+
+@query("SELECT doc_id, md5(text) AS content_hash FROM documents")
+def content_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("content_hash"))
