@@ -151,10 +151,11 @@ class Classifier:
         self.weights = (smooth - smooth.mean(axis=1, keepdims=True)).astype(np.float32) / 2
 
     def scores(self, w: Words, chosen: np.ndarray) -> np.ndarray:
-        slots, offsets = gram_slots(w, chosen)
-        sums = np.zeros((len(slots) + 1, len(self.languages)))
-        np.cumsum(self.weights[slots], axis=0, dtype=np.float64, out=sums[1:])
-        return (sums[offsets[1:]] - sums[offsets[:-1]]).astype(np.float32)
+        out = np.zeros((len(chosen), len(self.languages)), np.float32)
+        for i in range(0, len(chosen), 16_384):  # bounds the n-grams held at once
+            slots, offsets = gram_slots(w, chosen[i : i + 16_384])
+            out[i : i + 16_384] = np.add.reduceat(self.weights[slots], offsets[:-1], axis=0)
+        return out
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
@@ -236,8 +237,7 @@ def labelled(texts: pa.Array, model: Classifier, penalty: float) -> tuple[list,
     labels = viterbi(each[which], w.first, penalty)
     owner = w.owner()
     some = (kind > 1) | ((kind == 1) & (latin > 0))
-    tally = np.zeros((n_texts, len(names)), np.int64)
-    np.add.at(tally, (owner[some], labels[some]), 1)
+    tally = np.bincount(owner[some] * len(names) + labels[some], minlength=n_texts * len(names)).reshape(n_texts, len(names))
     total, main = tally.sum(axis=1), tally.argmax(axis=1)
     langs = [names[m] if t else None for m, t in zip(main, total, strict=True)]
     shares = [float(tally[i, main[i]] / total[i]) if total[i] else None for i in range(n_texts)]
@@ -272,7 +272,7 @@ def identified(docs: DataFrame, model: Classifier, penalty: float = PENALTY, sha
     rest = [c for c in docs.columns if c.lower() not in ("text", *made)]
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (s for whole in batches for s in slices(whole, "_text", 8 << 20)):
+        for b in (s for whole in batches for s in slices(whole, "_text", 3 << 20)):
             langs, shares, counts, spans = labelled(b.column(b.num_columns - 1), model, penalty)
             keep = [x is not None and x >= share for x in shares]
             yield pa.record_batch([*b.columns[:-1], pa.array(langs, pa.string()), pa.array(shares, pa.float64()), pa.array(counts, pa.int64()), pa.array(keep, pa.bool_()), spans], names=[*rest, *made])
