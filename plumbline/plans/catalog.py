@@ -268,7 +268,7 @@ def project_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH RECURSIVE n AS (SELECT max(p_partkey) AS n FROM part), c(old_path, path, steps) AS (
-  SELECT p_partkey, 2 * p_partkey, 1 FROM part, n WHERE 2 * p_partkey <= n.n UNION ALL SELECT old_path, 2 * path, steps + 1 FROM c, n WHERE 2 * path <= n.n)
+  SELECT p_partkey, 2 * p_partkey, 1 FROM part, n WHERE 2 * p_partkey <= n.n AND p_partkey > 0 UNION ALL SELECT old_path, 2 * path, steps + 1 FROM c, n WHERE 2 * path <= n.n)
 SELECT old_path, max(path) AS final_path FROM c GROUP BY 1""")
 def rename_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey")
