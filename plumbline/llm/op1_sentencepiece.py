@@ -28,7 +28,7 @@ from .tokens import ranges, slices, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHED_CHUNKS = 300_000
+CACHED_CHUNKS = 350_000
 CACHED_PAIRS = 1_000_000
 
 
@@ -71,7 +71,9 @@ class Vocabulary:
                 self.ends[p[-3:]] = tuple(sorted({*self.ends.get(p[-3:], ()), len(p)}, reverse=True))
         self.pairs: dict[tuple[str, str], bool] = {}
         self._spines: dict[tuple[str, int], list[str] | None] = {}
-        self._chunks: dict[bytes, np.ndarray] = {}
+        self._young: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
+        self._coded: dict[str, bytes] = {}
 
     def merges(self, symbols: list[str]) -> list[str]:
         """Byte-pair merging as such: the best-ranked, leftmost neighbouring pair first."""
@@ -138,14 +140,43 @@ class Vocabulary:
         i = self.id.get(piece)
         return [i] if i is not None else [self.bytes[x] for x in piece.encode()]
 
-    def chunk(self, raw: bytes) -> np.ndarray:
-        """Ids of a chunk, from the cache or by a search."""
-        ids = self._chunks.get(raw)
-        if ids is None:
-            if len(self._chunks) >= CACHED_CHUNKS:
-                self._chunks.clear()
-            ids = self._chunks[raw] = np.array(StreamingViterbi(self).encode(raw.decode().replace(" ", MARK)), np.int32)
-        return ids
+    def coded(self, piece: str) -> bytes:
+        known = self._coded.get(piece)
+        if known is None:
+            known = self._coded[piece] = np.array(self.ids_of(piece), np.int32).tobytes()
+        return known
+
+    def chunks(self, raws: list[bytes]) -> list[bytes]:
+        """Ids (as bytes of 32-bit numbers) of each distinct chunk, from the cache or by a search.
+
+        Chunks to search are sorted, so that one takes over the search of the prefix that it
+        shares with the one before. The cache has two generations: when the younger is full it
+        becomes the older, and what is used is young again.
+        """
+        young, old = self._young, self._old
+        new = []
+        for raw in raws:
+            if raw not in young:
+                if raw in old:
+                    young[raw] = old[raw]
+                else:
+                    new.append(raw)
+        new.sort()
+        search, before = StreamingViterbi(self), ""
+        for raw in new:
+            text = raw.decode().replace(" ", MARK)
+            if len(text) > 4 * self.longest:
+                young[raw] = np.array(StreamingViterbi(self).encode(text), np.int32).tobytes()
+                continue
+            n, most = 0, min(len(text), len(before))
+            while n < most and text[n] == before[n]:
+                n += 1
+            young[raw] = search.restarted(n, text)
+            before = text
+        out = [young[raw] for raw in raws]
+        if len(young) >= CACHED_CHUNKS:
+            self._young, self._old = {}, young
+        return out
 
 
 class StreamingViterbi:
@@ -212,6 +243,19 @@ class StreamingViterbi:
         """The rest of the ids: the text's end leaves one path."""
         return self._commit(len(self.text))
 
+    def restarted(self, at: int, text: str) -> bytes:
+        """All ids of a short text that begins like the one before up to ``at``; nothing is given out in between."""
+        del self.piece[at + 1 :]
+        self.text = text[:at]
+        self._extend(text[at:])
+        piece, coded, found, b = self.piece, self.v._coded, [], len(text)
+        while b:
+            p = piece[b]
+            found.append(coded.get(p) or self.v.coded(p))
+            b -= len(p)
+        found.reverse()
+        return b"".join(found)
+
     def encode(self, text: str) -> list[int]:
         return self.feed(text) + self.finish()
 
@@ -242,11 +286,11 @@ def encode_column(texts: pa.Array, v: Vocabulary) -> pa.ListArray:
     sizes = np.diff(cuts)
     chunks = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(source)])
     coded = chunks.dictionary_encode()
-    each = [v.chunk(raw) for raw in coded.dictionary.to_pylist()]
-    lengths = np.array([len(x) for x in each], np.int64)
+    each = v.chunks(coded.dictionary.to_pylist())
+    lengths = np.array([len(x) for x in each], np.int64) // 4
     begin = np.cumsum(lengths) - lengths
     which = coded.indices.to_numpy()
-    flat = np.concatenate(each)[ranges(begin[which], lengths[which])] if len(which) else np.empty(0, np.int32)
+    flat = np.frombuffer(b"".join(each), np.int32)[ranges(begin[which], lengths[which])]
     before = np.r_[0, np.cumsum(lengths[which])]
     at = before[np.searchsorted(cuts[:-1], offsets)] if len(which) else np.zeros(len(offsets), np.int64)
     mask = pc.is_null(texts) if texts.null_count else None
