@@ -6,15 +6,23 @@ line items are changes, suppliers authors, orders commits.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..lang.parser import parse_functions
 from ..operators import coverage as C
 from ..operators import graph as G
 from ..operators import history as H
 from ..operators import report as R
 from ..operators import scoring as S
+from ..operators.lineage import shared_dir
+from ..streaming.churn import append_changes, stored_churn
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -326,8 +334,6 @@ def _sort(key: str):
         top = R.sorted_report(f.withColumn("file", F.col("path")).withColumn("name", F.lit("")).withColumn("line", F.lit(1)), key, SORT_COLUMNS, 100)
         # the limit's rows, few, get their place
         order = [F.col("file")] if metric == "location" else [F.desc(SORT_COLUMNS[metric]), F.col("file")]
-        from pyspark.sql import Window
-
         return top.select("file", F.row_number().over(Window.orderBy(*order)).cast("long").alias("nth"))
 
     run.__name__ = f"sort_{key}"
@@ -376,3 +382,61 @@ def merge_state_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, md5(text) AS content_hash FROM documents")
 def content_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("content_hash"))
+
+
+@query()
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 128-bit hash of each document, which neither engine has built in."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = [None if x is None else xxhash.xxh3_128_hexdigest(x) for x in b.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.record_batch([b.column(0), pa.array(hashes, pa.string())], names=["doc_id", "content_hash"])
+
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(add, "doc_id long, content_hash string")
+
+
+SOURCES = [
+    ("a.ts", "ts", "function f(x: number) {\n  if (x) {}\n}\nconst g = (y) => {\n  if (y) { f(y); }\n};\n"),
+    ("b.rs", "rust", "fn pick(x: i32) -> i32 {\n    match x {\n        1 => 1,\n        2 => 2,\n        _ => 3,\n    }\n}\n#[test]\nfn checks() {}\n"),
+    ("c.c", "c", "int add(int a, int b) {\n  if (a) return b;\n  return a + b;\n}\n"),
+]
+
+
+@query("""SELECT * FROM (VALUES ('a.ts', 'f', 1, 3, 2, 1, 1), ('a.ts', 'g', 4, 6, 2, 1, 1), ('b.rs', 'pick', 1, 7, 8, 1, 0), ('b.rs', 'checks', 9, 9, 1, 0, 0), ('c.c', 'add', 1, 4, 2, 1, 1)) AS t(file, name, line, end_line, cyclomatic, cognitive, nesting)""")
+def parse_functions_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parser over fixed sources."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [r for path, language, text in zip(*(c.to_pylist() for c in b.columns), strict=True) for r in parse_functions(text, path, language)]
+            keys = ("file", "name", "line", "end_line", "cyclomatic_complexity", "cognitive_complexity", "nesting_depth")
+            yield pa.record_batch([pa.array([r[k] for r in rows]) for k in keys], names=["file", "name", "line", "end_line", "cyclomatic", "cognitive", "nesting"])
+
+    out = "file string, name string, line long, end_line long, cyclomatic long, cognitive long, nesting long"
+    ints = [F.col(c).cast("int").alias(c) for c in ("line", "end_line", "cyclomatic", "cognitive", "nesting")]
+    return spark.createDataFrame(SOURCES, "path string, language string, text string").repartition(1).mapInArrow(parse, out).select("file", "name", *ints)
+
+
+LCOV = "DA:9,1\nSF:/repo/a.ts\nDA:1,1\nDA:2,0\nDA:2,3\nDA:3, 1\nBRDA:1,0,0,0\nBRDA:1,0,1,-\nend_of_record\nSF:b.ts\nDA:1,1\nend_of_record\nSF:b.ts\nDA:4,0\n"
+
+
+@query("SELECT * FROM (VALUES ('a.ts', 9, 1), ('a.ts', 1, 1), ('a.ts', 2, 3), ('b.ts', 4, 0)) AS t(path, line, hits)")
+def lcov_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, _ = C.lcov(C.numbered_lines(spark.createDataFrame([(LCOV,)], "value string")), "/repo")
+    return lines.select("path", F.col("line").cast("int").alias("line"), F.col("hits").cast("int").alias("hits"))
+
+
+@query(SQL["churn_by_part"])
+def stream_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line changes as a stream, appended to facts; churn of the facts equals that of the whole table."""
+    source = f"{sf_dir}/lineitem.parquet"
+    pattern = source[:-1] + "[t]"  # a stream takes a table of one file only by a pattern
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 64).parquet(pattern)
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    shaped = stream.select(
+        F.col("l_partkey").alias("path"), F.col("l_orderkey").alias("commit"), F.col("l_suppkey").alias("author"), F.expr("unix_seconds(cast(l_shipdate as timestamp))").alias("ts"),
+        (F.col("l_returnflag") == "R").alias("is_bug_fix"), F.expr("cast(l_quantity as bigint)").alias("start_line"), F.expr("cast(l_quantity as bigint) + l_linenumber - 1").alias("end_line"),
+    )
+    append_changes(shaped, f"{folder}/facts", f"{folder}/checkpoint").awaitTermination()
+    return churn_row(stored_churn(spark, f"{folder}/facts"), "path")
