@@ -23,8 +23,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     language has half of the words. ``lang`` becomes the language found.
     """
     model = op4_language.fitted(docs, op4_language.LANGUAGES, op4_language.SAMPLE)
-    kept = docs.select(*DOCUMENT_COLUMNS).withColumn("_body", F.col("text"))
-    found = op4_language.identified(kept, model).where("keep").withColumn("lang", F.col("main_lang")).withColumnRenamed("_body", "text")
+    found = op4_language.identified(docs.select(*DOCUMENT_COLUMNS), model, with_text=True).where("keep").withColumn("lang", F.col("main_lang"))
     return found.select(*DOCUMENT_COLUMNS)
 
 

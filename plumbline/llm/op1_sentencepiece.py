@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import documents
-from .tokens import ranges, slices, text_bytes
+from .tokens import ranges, release, slices, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -146,6 +146,10 @@ class Vocabulary:
             known = self._coded[piece] = np.array(self.ids_of(piece), np.int32).tobytes()
         return known
 
+    def forget(self) -> None:
+        """Empties the caches of chunks, for a worker that goes on to other tasks."""
+        self._young, self._old = {}, {}
+
     def chunks(self, raws: list[bytes]) -> list[bytes]:
         """Ids (as bytes of 32-bit numbers) of each distinct chunk, from the cache or by a search.
 
@@ -331,14 +335,16 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
-        for b in (s for whole in batches for s in slices(whole, "_text")):
+        for b in (s for whole in batches for s in slices(whole, "_plumbline_text")):
             texts = b.column(b.num_columns - 1)
             ids = encode_column(texts, v)
             same = pc.equal(decode_column(ids, v), texts.cast(pa.binary()))
             yield pa.record_batch([*b.columns[:-1], ids, pc.cast(pc.list_value_length(ids), pa.int64()), same], names=[*rest, "ids", "n_ids", "round_trip"])
+        v.forget()
+        release()
 
     out = fields.add("ids", T.ArrayType(T.IntegerType())).add("n_ids", "long").add("round_trip", "boolean")
-    return docs.select(*rest, F.col("text").alias("_text")).mapInArrow(code, out)
+    return docs.select(*rest, F.col("text").alias("_plumbline_text")).mapInArrow(code, out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,7 +148,9 @@ class Classifier:
         for order in range(ORDERS):
             part = slice(order << BITS, (order + 1) << BITS)
             smooth[part] -= np.log(counts[part].sum(axis=0) + 0.5 * (1 << BITS))
-        self.weights = (smooth - smooth.mean(axis=1, keepdims=True)).astype(np.float32) / 2
+        if self.languages:
+            smooth -= smooth.mean(axis=1, keepdims=True)
+        self.weights = smooth.astype(np.float32) / 2
 
     def scores(self, w: Words, chosen: np.ndarray) -> np.ndarray:
         out = np.zeros((len(chosen), len(self.languages)), np.float32)
@@ -255,8 +257,8 @@ def _spans(first, end, lang) -> pa.StructArray:
     return pa.StructArray.from_arrays([pa.array(first, pa.int32()), pa.array(end, pa.int32()), pa.array(lang, pa.string())], names=["first_word", "end_word", "lang"])
 
 
-def identified(docs: DataFrame, model: Classifier, penalty: float = PENALTY, share: float = SHARE) -> DataFrame:
-    """``docs`` without ``text``, and with ``main_lang, main_share, n_words, keep, spans``.
+def identified(docs: DataFrame, model: Classifier, penalty: float = PENALTY, share: float = SHARE, with_text: bool = False) -> DataFrame:
+    """``docs``, without ``text`` unless ``with_text``, and with ``main_lang, main_share, n_words, keep, spans``.
 
     Words are runs of characters other than ASCII white space. Spans are maximal runs of words
     of one language and cover the text; a word without letters takes its neighbours' language.
@@ -272,13 +274,14 @@ def identified(docs: DataFrame, model: Classifier, penalty: float = PENALTY, sha
     rest = [c for c in docs.columns if c.lower() not in ("text", *made)]
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (s for whole in batches for s in slices(whole, "_text", 3 << 20)):
+        for b in (s for whole in batches for s in slices(whole, "_plumbline_text", 3 << 20)):
             langs, shares, counts, spans = labelled(b.column(b.num_columns - 1), model, penalty)
             keep = [x is not None and x >= share for x in shares]
-            yield pa.record_batch([*b.columns[:-1], pa.array(langs, pa.string()), pa.array(shares, pa.float64()), pa.array(counts, pa.int64()), pa.array(keep, pa.bool_()), spans], names=[*rest, *made])
+            text = [b.column(b.num_columns - 1)] if with_text else []
+            yield pa.record_batch([*b.columns[:-1], *text, pa.array(langs, pa.string()), pa.array(shares, pa.float64()), pa.array(counts, pa.int64()), pa.array(keep, pa.bool_()), spans], names=[*rest, *["text"][: len(text)], *made])
 
-    schema = docs.select(*rest).schema.add("main_lang", "string").add("main_share", "double").add("n_words", "long").add("keep", "boolean").add("spans", SPANS)
-    return docs.select(*rest, F.col("text").alias("_text")).mapInArrow(label, schema)
+    schema = docs.select(*rest, *["text"][: int(with_text)]).schema.add("main_lang", "string").add("main_share", "double").add("n_words", "long").add("keep", "boolean").add("spans", SPANS)
+    return docs.select(*rest, F.col("text").alias("_plumbline_text")).mapInArrow(label, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

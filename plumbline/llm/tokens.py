@@ -7,6 +7,7 @@ off prefix sums, so that a batch costs a few passes over its bytes and no Python
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,7 @@ SPACE[list(b" \t\n\v\f\r")] = True
 _RANDOM = np.random.default_rng(20240611).integers(1, 2**63, 256, dtype=np.uint64)
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _powers: dict[int, np.ndarray] = {}
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -66,6 +68,14 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
         end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, "right")) - 1)
         yield batch.slice(start, end - start)
         start = end
+    release()
+
+
+def release() -> None:
+    """Gives memory that allocators hold back to the system; a worker may wait for long before its next batch."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 class Words:
@@ -103,7 +113,16 @@ class Words:
         return span_hashes(data, self.begin, self.end)
 
 
-def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of each span's bytes; spans in ascending order. About ``most`` bytes are worked on at once."""
+    if len(begin) and end[-1] - begin[0] > most:
+        out, i = np.empty(len(begin), np.uint64), 0
+        while i < len(begin):
+            j = max(i + 1, int(np.searchsorted(end, begin[i] + most, "right")))
+            low = begin[i]
+            out[i:j] = span_hashes(data[low : end[j - 1]], begin[i:j] - low, end[i:j] - low, 1 << 62)
+            i = j
+        return out
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_RANDOM[data] * powers(_BYTE_BASE, n), out=sums[1:])
