@@ -21,18 +21,18 @@ def _window_hash(seed: str, i: Column) -> Column:
 
 
 def covered_lines(docs: DataFrame) -> DataFrame:
-    """``_id, _key, _covered``: for each text with repeats, the 0-based lines that later occurrences cover."""
+    """``_plumbline_id, _plumbline_key, _plumbline_covered``: for each text with repeats, the 0-based lines that later occurrences cover."""
     known = docs.where("doc_id is not null and text is not null").select(
-        F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_key"), F.split("text", "\n", -1).alias("_lines")
+        F.col("doc_id").cast("long").alias("_plumbline_id"), F.xxhash64("text").alias("_plumbline_key"), F.split("text", "\n", -1).alias("_lines")
     )
     windows = known.where(F.size("_lines") >= WINDOW).select(
-        "_id", "_key", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("_lines") - WINDOW), lambda i: F.struct(_window_hash("a", i).alias("a"), _window_hash("b", i).alias("b")))).alias("_at", "_h")
+        "_plumbline_id", "_plumbline_key", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("_lines") - WINDOW), lambda i: F.struct(_window_hash("a", i).alias("a"), _window_hash("b", i).alias("b")))).alias("_at", "_h")
     )
-    windows = windows.select(F.col("_h.a").alias("_a"), F.col("_h.b").alias("_b"), F.struct("_id", "_key", "_at").alias("_place"))
+    windows = windows.select(F.col("_h.a").alias("_a"), F.col("_h.b").alias("_b"), F.struct("_plumbline_id", "_plumbline_key", "_at").alias("_place"))
     first = windows.groupBy("_a", "_b").agg(F.min("_place").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     later = windows.join(first, ["_a", "_b"]).where("_place > _first").select("_place.*")
-    lines = later.select("_id", "_key", F.explode(F.sequence("_at", F.col("_at") + (WINDOW - 1))).alias("_at"))
-    return lines.groupBy("_id", "_key").agg(F.collect_set("_at").alias("_covered"))
+    lines = later.select("_plumbline_id", "_plumbline_key", F.explode(F.sequence("_at", F.col("_at") + (WINDOW - 1))).alias("_at"))
+    return lines.groupBy("_plumbline_id", "_plumbline_key").agg(F.collect_set("_at").alias("_plumbline_covered"))
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
@@ -46,16 +46,16 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     * Rows with a null doc_id or text, and texts of fewer than three lines, pass unchanged with 0.
     * A text that loses every line becomes empty, and its row stays.
     * Repeated rows (one doc_id, one text) are the same document: all of them keep or lose the same lines.
-    * All other columns pass unchanged; columns of the input may have any name that doesn't begin with "_"
-      followed by a name used here. An empty table gives an empty one.
+    * All other columns pass unchanged, whatever their names but for "_plumbline_id", "_plumbline_key" and
+      "_plumbline_covered", which are used within; ``removed_lines`` of the input is replaced. An empty table gives an empty one.
     """
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_key", F.xxhash64("text"))
-    joined = keyed.join(covered_lines(docs), ["_id", "_key"], "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("_covered", i)), "\n")
-    gone = F.coalesce(F.size("_covered"), F.lit(0))
-    return joined.withColumn("text", F.when(F.col("_covered").isNotNull(), kept).otherwise(F.col("text"))).withColumn(
-        "removed_lines", F.when(F.col("_covered").isNotNull(), gone).otherwise(0).cast("long")
-    ).drop("_id", "_key", "_covered")
+    keyed = docs.withColumn("_plumbline_id", F.col("doc_id").cast("long")).withColumn("_plumbline_key", F.xxhash64("text"))
+    joined = keyed.join(covered_lines(docs), ["_plumbline_id", "_plumbline_key"], "left")
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("_plumbline_covered", i)), "\n")
+    gone = F.coalesce(F.size("_plumbline_covered"), F.lit(0))
+    return joined.withColumn("text", F.when(F.col("_plumbline_covered").isNotNull(), kept).otherwise(F.col("text"))).withColumn(
+        "removed_lines", F.when(F.col("_plumbline_covered").isNotNull(), gone).otherwise(0).cast("long")
+    ).drop("_plumbline_id", "_plumbline_key", "_plumbline_covered")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

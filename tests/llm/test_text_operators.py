@@ -63,7 +63,7 @@ def none(spark):
 def clashing(df):
     from pyspark.sql import functions as F
 
-    for c in ("h", "ids", "key", "node", "bucket", "component", "hash", "first", "shard", "keep", "spans", "toxicity", "removed_lines", "value", "path"):
+    for c in ("h", "ids", "key", "node", "bucket", "component", "hash", "first", "shard", "keep", "spans", "toxicity", "removed_lines", "value", "path", "_text", "_id", "_key", "_source", "_copy", "_covered", "_lines", "_at", "_h", "text_"):
         df = df.withColumn(c, F.lit("x"))
     return df
 
