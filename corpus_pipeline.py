@@ -19,8 +19,8 @@ from plumbline.llm.common import DOCUMENT_COLUMNS, documents, shared_dir
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a main language; the classifier is fitted on a bounded labelled sample of ``docs``.
 
-    Those go that have a null or blank text or no letters of a known script, or of which no
-    language has half of the words. ``lang`` becomes the language found.
+    Those go that have a null or blank text, or in which hardly a word has letters of a known
+    script; mixed-language texts stay. ``lang`` becomes the main language found.
     """
     model = op4_language.fitted(docs, op4_language.LANGUAGES, op4_language.SAMPLE)
     found = op4_language.identified(docs.select(*DOCUMENT_COLUMNS), model, with_text=True).where("keep").withColumn("lang", F.col("main_lang"))

@@ -23,8 +23,8 @@ from .tokens import Words, ranges, slices
 #: Labelled documents of each language that the classifier is fitted on, those of the smallest hashes.
 SAMPLE = 400
 PENALTY = 6.0
-#: A document is kept if words of its main language are at least this share of its words that have a language.
-SHARE = 0.5
+#: A document is kept if at least this share of its words have a language; a mixture of languages is kept like one.
+SHARE = 0.2
 #: Latin languages told apart.
 LANGUAGES = ("de", "en", "es", "fr")
 #: Slots of each order's table of n-grams, and orders.
@@ -215,8 +215,8 @@ def fitted(docs: DataFrame, languages: tuple[str, ...], sample: int) -> Classifi
 SPANS = T.ArrayType(T.StructType().add("first_word", "integer").add("end_word", "integer").add("lang", "string"))
 
 
-def labelled(texts: pa.Array, model: Classifier, penalty: float) -> tuple[list, list, list, pa.ListArray]:
-    """Of each text: main language, its share, number of words, and spans."""
+def labelled(texts: pa.Array, model: Classifier, penalty: float) -> tuple[list, list, list, list, pa.ListArray]:
+    """Of each text: main language, its share of the words that have a language, their share of all words, number of words, and spans."""
     w = Words(texts)
     one, which = distinct_words(w)
     n_texts = len(w.counts)
@@ -226,7 +226,7 @@ def labelled(texts: pa.Array, model: Classifier, penalty: float) -> tuple[list,
     latin = len(model.languages)
     if not names or not len(w):
         empty = pa.ListArray.from_arrays(pa.array(np.zeros(n_texts + 1, np.int32)), _spans([], [], []))
-        return [None] * n_texts, [None] * n_texts, w.counts.tolist(), empty
+        return [None] * n_texts, [None] * n_texts, [0.0] * n_texts, w.counts.tolist(), empty
     each = np.zeros((len(one), len(names)), np.float32)
     each[:, :latin] = model.scores(w, one)
     script = kind[one]
@@ -250,7 +250,8 @@ def labelled(texts: pa.Array, model: Classifier, penalty: float) -> tuple[list,
     new, stop = new[keep], stop[keep]
     spans = _spans(new - w.first[owner[new]], stop - w.first[owner[new]], pa.array(names).take(pa.array(labels[new])))
     offsets = np.searchsorted(owner[new], np.arange(n_texts + 1)).astype(np.int32)
-    return langs, shares, w.counts.tolist(), pa.ListArray.from_arrays(pa.array(offsets), spans)
+    known = (total / np.maximum(w.counts, 1)).tolist()
+    return langs, shares, known, w.counts.tolist(), pa.ListArray.from_arrays(pa.array(offsets), spans)
 
 
 def _spans(first, end, lang) -> pa.StructArray:
@@ -263,7 +264,7 @@ def identified(docs: DataFrame, model: Classifier, penalty: float = PENALTY, sha
     Words are runs of characters other than ASCII white space. Spans are maximal runs of words
     of one language and cover the text; a word without letters takes its neighbours' language.
     ``main_lang`` has the most words with letters, the first by name of equals among the Latin
-    languages, which come first. ``keep`` says that it has at least ``share`` of them.
+    languages, which come first. ``keep`` says that at least ``share`` of all words have a language.
 
     * A null, empty or blank text, and one without a letter of a known script, has null
       ``main_lang`` and ``main_share``, no spans, and isn't kept; ``n_words`` counts its words (null: 0).
@@ -275,8 +276,8 @@ def identified(docs: DataFrame, model: Classifier, penalty: float = PENALTY, sha
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (s for whole in batches for s in slices(whole, "_plumbline_text", 3 << 20)):
-            langs, shares, counts, spans = labelled(b.column(b.num_columns - 1), model, penalty)
-            keep = [x is not None and x >= share for x in shares]
+            langs, shares, known, counts, spans = labelled(b.column(b.num_columns - 1), model, penalty)
+            keep = [x is not None and y >= share for x, y in zip(langs, known, strict=True)]
             text = [b.column(b.num_columns - 1)] if with_text else []
             yield pa.record_batch([*b.columns[:-1], *text, pa.array(langs, pa.string()), pa.array(shares, pa.float64()), pa.array(counts, pa.int64()), pa.array(keep, pa.bool_()), spans], names=[*rest, *["text"][: len(text)], *made])
 

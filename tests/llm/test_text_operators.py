@@ -305,11 +305,16 @@ def test_language(docs, none, language_model):
         r = next(r for k, r in got.items() if k[0] == i)
         assert r.main_lang is None and not r.keep and r.spans == []
     assert op4.identified(none, language_model).count() == 0
-    langs, shares, _, spans = op4.labelled(pa.array(["the fox and the dog Привет мой мир 12 東京", "99 %%"]), language_model, op4.PENALTY)
+    langs, shares, _, _, spans = op4.labelled(pa.array(["the fox and the dog Привет мой мир 12 東京", "99 %%"]), language_model, op4.PENALTY)
     assert langs == ["en", None] and [s["lang"] for s in spans.to_pylist()[0]] == ["en", "ru", "zh"]
     assert [s["end_word"] for s in spans.to_pylist()[0]][-1] == 10 and shares[1] is None
 
 
+def test_mixed_texts_stay_and_noise_goes(spark, language_model):
+    df = spark.createDataFrame([(1, "the fox and the dog der fuchs und die мой мир новый"), (2, "12 %% 99 ## 1 2 3 4 5 6 7 8 9 the"), (3, "| the | fox | and |")], "doc_id long, text string")
+    assert {r.doc_id: r.keep for r in op4.identified(df, language_model).collect()} == {1: True, 2: False, 3: True}
+
+
 def test_language_without_labels(none, spark):
     model = op4.fitted(none, op4.LANGUAGES, 10)
     df = spark.createDataFrame([(1, "only latin words"), (2, "мир")], "doc_id long, text string")
