@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..policy import METRICS
+from .lineage import cut
 
 
 def _bounds(df: DataFrame, columns: Sequence[str]) -> list[list[float]]:
@@ -65,6 +66,7 @@ def caps_row(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def with_percentiles(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     """``df`` with percentile ranks: ``columns`` maps a value to the new column; 100 where there is one row at most."""
+    df = cut(df)  # it is read for the bounds, the counts and the result
     bounds = _bounds(df, list(columns))
     total = df.agg(F.count("*").alias("_rows"))
     out = df.crossJoin(F.broadcast(total))
