@@ -40,25 +40,35 @@ _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 
 
+def _running(mask: np.ndarray) -> np.ndarray:
+    """Running counts, from 0."""
+    out = np.zeros(len(mask) + 1, np.int32)
+    np.cumsum(mask, out=out[1:])
+    return out
+
+
 class Lexicon:
     """The distinct words of a batch, lower-case in ASCII and without marks at their ends, and their character n-grams."""
 
     def __init__(self, w: Words):
-        self.w = w
         folded = _FOLD[w.data]
-        letters = np.r_[0, np.cumsum(_LETTER[w.data])]
-        place = np.flatnonzero(np.r_[_LETTER[w.data], True])  # a word's core is from its first to its last letter
+        letters = _running(_LETTER[w.data])
+        place = np.flatnonzero(_LETTER[w.data]).astype(np.int32)  # a word's core is from its first to its last letter
+        place = np.append(place, np.int32(0))
         some = letters[w.end] > letters[w.begin]
-        begin = np.where(some, place[np.minimum(letters[w.begin], len(place) - 1)], w.begin)
-        end = np.where(some, place[np.maximum(letters[w.end] - 1, 0)] + 1, w.end)
+        begin = np.where(some, place[np.where(some, letters[w.begin], 0)], w.begin)
+        end = np.where(some, place[np.where(some, letters[w.end] - 1, 0)] + 1, w.end)
+        del place
         whole = span_hashes(folded, w.begin, w.end)
         _, self.one, self.which = np.unique(whole, return_index=True, return_inverse=True)
         begin, end = begin[self.one], end[self.one]
-        self.word = (span_hashes(folded, begin, end) >> np.uint64(64 - BITS)).astype(np.int64)
         sizes = end - begin
+        cores = folded[ranges(begin, sizes)]
+        stops = np.cumsum(sizes)
+        self.word = (span_hashes(cores, stops - sizes, stops) >> np.uint64(64 - BITS)).astype(np.int64)
         at = np.cumsum(sizes + 2) - (sizes + 2)
         x = np.zeros(int((sizes + 2).sum()), np.uint64)
-        x[ranges(at + 1, sizes)] = folded[ranges(begin, sizes)]
+        x[ranges(at + 1, sizes)] = cores
         grams, owners = [], []
         for order in GRAMS:
             n = np.maximum(sizes + 3 - order, 0)
@@ -68,15 +78,15 @@ class Lexicon:
                 h = h * np.uint64(0x9E3779B97F4A7C15) + x[i + k] + np.uint64(1)
             h ^= h >> np.uint64(29)
             h *= np.uint64(0xBF58476D1CE4E5B9)
-            grams.append((h >> np.uint64(64 - BITS)).astype(np.int64))
+            grams.append((h >> np.uint64(64 - BITS)).astype(np.int32))
             owners.append(np.repeat(np.arange(len(sizes)), n))
         gram, owner = np.concatenate(grams), np.concatenate(owners)
         order = np.argsort(owner, kind="stable")
         self.gram = gram[order]
         self.first = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(sizes)))]
-        raw_sizes = (w.end - w.begin)[self.one]
-        upper = np.r_[0, np.cumsum(_UPPER[w.data])]
-        self.shape = np.stack([np.log1p(sizes), (upper[w.end] - upper[w.begin])[self.one] / raw_sizes, 1 - (letters[w.end] - letters[w.begin])[self.one] / raw_sizes], axis=1)
+        low, high = w.begin[self.one], w.end[self.one]
+        upper = _running(_UPPER[w.data])
+        self.shape = np.stack([np.log1p(sizes), (upper[high] - upper[low]) / (high - low), 1 - (letters[high] - letters[low]) / (high - low)], axis=1)
 
     def features(self, words: np.ndarray, grams: np.ndarray) -> np.ndarray:
         """Inputs of each distinct word, by the log-odds of words and of n-grams."""
@@ -93,14 +103,15 @@ class Lexicon:
         return out
 
 
-def log_odds(slots: np.ndarray, docs: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Smoothed log-odds of each slot between toxic and clean documents that hold it; ``docs`` gives each slot's document."""
-    seen = np.unique(docs * (1 << BITS) + slots)
-    of, slot = seen >> BITS, seen & ((1 << BITS) - 1)
-    t = np.bincount(slot[toxic[of]], minlength=1 << BITS)
-    c = np.bincount(slot[~toxic[of]], minlength=1 << BITS)
-    n = toxic.sum()
-    return (np.log((t + 0.5) / (n + 1)) - np.log((c + 0.5) / (len(toxic) - n + 1)) - np.log((len(toxic) - n + 1) / (n + 1)) * (t + c == 0)).astype(np.float32)
+def document_counts(slots: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """How many documents hold each slot; ``docs`` gives each slot's document."""
+    return np.bincount(np.unique(docs << BITS | slots.astype(np.int64)) & ((1 << BITS) - 1), minlength=1 << BITS)
+
+
+def log_odds(t: np.ndarray, c: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """Smoothed log-odds of each slot between ``t`` of ``toxic`` and ``c`` of ``clean`` documents; 0 for a slot that none holds."""
+    odds = np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1))
+    return np.where(t + c > 0, odds, 0).astype(np.float32)
 
 
 def windows_of(counts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -255,10 +266,16 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 5) -> Model:
     gram_counts = np.diff(lex.first)
 
     def odds(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        new = np.cumsum(chosen) - 1
-        d, k = np.divmod(np.unique(new[doc[chosen[doc]]] * len(lex.one) + lex.which[chosen[doc]]), len(lex.one))
-        own = toxic[chosen]
-        return log_odds(lex.word[k], d, own), log_odds(lex.gram[ranges(lex.first[:-1][k], gram_counts[k])], np.repeat(d, gram_counts[k]), own)
+        counts = np.zeros((2, 2, 1 << BITS), np.int64)  # words and n-grams, clean and toxic
+        for label in (0, 1):
+            own = np.flatnonzero(chosen & (toxic == label))
+            for i in range(0, len(own), 100):  # bounds the n-grams held at once
+                at = ranges(w.first[own[i : i + 100]], w.counts[own[i : i + 100]])
+                d, k = np.divmod(np.unique(doc[at] * len(lex.one) + lex.which[at]), len(lex.one))
+                counts[0, label] += document_counts(lex.word[k], d)
+                counts[1, label] += document_counts(lex.gram[ranges(lex.first[:-1][k], gram_counts[k])], np.repeat(d, gram_counts[k]))
+        n = int((chosen & toxic).sum())
+        return tuple(log_odds(t, c, n, int(chosen.sum()) - n) for c, t in counts)
 
     several = lex.features(*odds(half == 1)), lex.features(*odds(half == 0))
     size = len(lex.one)
@@ -330,7 +347,7 @@ def scored(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -
     rest = [c for c in docs.columns if c.lower() not in ("text", *made)]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (s for whole in batches for s in slices(whole, "_text", 2 << 20)):
+        for b in (s for whole in batches for s in slices(whole, "_plumbline_text", 1 << 20)):
             texts = b.column(b.num_columns - 1)
             top, where, number = model.scores(texts) if model else (np.zeros(len(texts)), np.full(len(texts), -1), np.zeros(len(texts), np.int64))
             none = np.array(texts.is_null()) | (model is None)
@@ -338,7 +355,7 @@ def scored(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -
             yield pa.record_batch([*b.columns[:-1], *columns], names=[*rest, *made])
 
     schema = docs.select(*rest).schema.add("toxicity", "double").add("toxic", "boolean").add("worst_word", "long").add("n_windows", "long")
-    return docs.select(*rest, F.col("text").alias("_text")).mapInArrow(score, schema)
+    return docs.select(*rest, F.col("text").alias("_plumbline_text")).mapInArrow(score, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
