@@ -6,7 +6,8 @@ window of words; attention pools their states into one score. Only documents hav
 training takes of each document the window that the network so far scores highest. Log-odds that
 a document's words get in training never come from the half of the sample that it is in.
 
-Every text is scored over all its overlapping windows, in batches of windows side by side.
+Every text is scored over all its overlapping windows, one beginning at every word. Windows that
+begin side by side run as one batch, whose inputs at a step are a slice of the words' inputs.
 """
 
 from __future__ import annotations
@@ -23,7 +24,10 @@ from .tokens import Words, ranges, slices, span_hashes
 
 #: Labelled documents of each class that are fitted on, those of the smallest hashes.
 SAMPLE = 1500
+#: All windows are scored; STRIDE only counts those of ``n_windows``.
 WINDOW, STRIDE = 24, 16
+#: Words from which windows run side by side.
+SIDE = 4096
 HIDDEN, ATTENTION = 6, 4
 STEPS, BATCH, RATE = 240, 512, 0.02
 #: Steps after which each document's highest window is sought again.
@@ -114,13 +118,15 @@ def log_odds(t: np.ndarray, c: np.ndarray, toxic: int, clean: int) -> np.ndarray
     return np.where(t + c > 0, odds, 0).astype(np.float32)
 
 
+def strides_of(counts: np.ndarray) -> np.ndarray:
+    """How many windows every STRIDE words cover each text."""
+    return np.where(counts > WINDOW, -(-(counts - WINDOW) // STRIDE) + 1, (counts > 0).astype(np.int64))
+
+
 def windows_of(counts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Text and first word (an index into all words) of each window: every STRIDE words, the last one ending with the text."""
-    n = np.where(counts > WINDOW, -(-(counts - WINDOW) // STRIDE) + 1, (counts > 0).astype(np.int64))
-    owner = np.repeat(np.arange(len(counts)), n)
-    nth = ranges(np.zeros(len(n), np.int64), n)
-    start = np.minimum(nth * STRIDE, np.maximum(counts[owner] - WINDOW, 0))
-    return owner, first[:-1][owner] + start
+    """Text and first word (an index into all words) of each window: one from every word that WINDOW words begin with; a shorter text is one window."""
+    n = np.where(counts > WINDOW, counts - WINDOW + 1, (counts > 0).astype(np.int64))
+    return np.repeat(np.arange(len(counts), dtype=np.int32), n), ranges(first[:-1], n)
 
 
 def gathered(start: np.ndarray, last: np.ndarray, which: np.ndarray, blank: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,6 +193,58 @@ class Network:
             keep |= {"states": states, "e": e, "weight": weight, "pooled": pooled}
         return pooled @ p["v"] + p["c"]
 
+    def adjacent(self, inputs: dict[str, np.ndarray], words: np.ndarray) -> np.ndarray:
+        """Logits of the full windows that begin at each of ``words`` but the last WINDOW - 1; as forward's, but for rounding."""
+        p, h, n = self.p, HIDDEN, len(words) - WINDOW + 1
+        states = np.empty((WINDOW, 2 * h, n), np.float32)
+        y, gates, new = np.empty((3 * h, n), np.float32), np.empty((2 * h, n), np.float32), np.empty((h, n), np.float32)
+        for k, d in enumerate("fb"):
+            u = np.vstack([p["u" + d], np.r_[np.zeros(2 * h, np.float32), p["n" + d]]]).T.copy()  # the last column is the bias
+            x = np.ascontiguousarray(inputs[d][words].T)
+            u *= 0.5  # a gate is half of 1 + tanh of half its input
+            x[: 2 * h] *= 0.5
+            s = np.zeros((h + 1, n), np.float32)
+            s[h] = 1
+            for t in range(WINDOW) if d == "f" else range(WINDOW - 1, -1, -1):
+                np.matmul(u, s, out=y)
+                np.add(y[: 2 * h], x[: 2 * h, t : t + n], out=gates)
+                np.tanh(gates, out=gates)
+                gates += 1
+                np.multiply(y[2 * h :], gates[h:], out=new)
+                new += x[2 * h :, t : t + n]
+                np.tanh(new, out=new)
+                s[:h] -= new
+                gates[:h] *= 0.5
+                s[:h] *= gates[:h]
+                s[:h] += new
+                states[t, k * h : (k + 1) * h] = s[:h]
+        e = np.matmul(p["wa"].T.copy(), states)
+        e += p["ba"][:, None]
+        np.tanh(e, out=e)
+        score = np.matmul(p["va"], e)
+        score -= score.max(axis=0)
+        weight = np.exp(score, out=score)
+        value = np.matmul(p["v"], states)
+        return (weight * value).sum(axis=0) / weight.sum(axis=0) + p["c"]
+
+    def every(self, inputs: dict[str, np.ndarray], which: np.ndarray, owner: np.ndarray, start: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Logits of all windows of ``windows_of``: of shorter texts by forward, of others by adjacent."""
+        out = np.empty(len(start), np.float32)
+        short = np.flatnonzero(start + WINDOW > last[owner])
+        for i in range(0, len(short), SIDE):
+            at = short[i : i + SIDE]
+            out[at] = self.forward(inputs, *gathered(start[at], last[owner[at]], which, len(inputs["x"]) - 1))
+        full = np.flatnonzero(start + WINDOW <= last[owner])
+        i = 0
+        while i < len(full):
+            begin = start[full[i]]
+            stop = int(np.searchsorted(start[full[i : i + SIDE]], begin + SIDE)) + i
+            at = full[i:stop]
+            logit = self.adjacent(inputs, which[begin : start[at[-1]] + WINDOW])
+            out[at] = logit[start[at] - begin]
+            i = stop
+        return out
+
     def gradients(self, features: np.ndarray, index: np.ndarray, held: np.ndarray, label: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy and its gradients."""
         p, h, (steps, n) = self.p, HIDDEN, index.shape
@@ -235,7 +293,7 @@ class Model:
         self.words, self.grams, self.network = words, grams, network
 
     def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each text: the highest probability of its windows, the first word of that window (the first of equals), and the number of windows."""
+        """Of each text: the highest probability of its windows, the first word of that window (the first of equals), and the number of strides."""
         w = Words(texts)
         n = len(w.counts)
         top, where, number = np.zeros(n), np.full(n, -1), np.zeros(n, np.int64)
@@ -244,11 +302,8 @@ class Model:
         lex = Lexicon(w)
         inputs = self.network.inputs(lex.features(self.words, self.grams))
         owner, start = windows_of(w.counts, w.first)
-        prob = np.empty(len(owner))
-        for i in range(0, len(owner), 8192):
-            index, held = gathered(start[i : i + 8192], w.first[owner[i : i + 8192] + 1], lex.which, len(lex.one))
-            prob[i : i + 8192] = _sigmoid(self.network.forward(inputs, index, held).astype(np.float64))
-        number = np.bincount(owner, minlength=n)
+        prob = _sigmoid(self.network.every(inputs, lex.which, owner, start, w.first[1:]).astype(np.float64))
+        number = strides_of(w.counts)
         some = np.flatnonzero(number)
         begin = np.searchsorted(owner, some)
         top[some] = np.maximum.reduceat(prob, begin)
@@ -296,9 +351,7 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 5) -> Model:
     for step in range(1, STEPS + 1):
         if step > 1 and step % SEEK == 1:
             inputs = network.inputs(features)
-            value = np.empty(len(owner), np.float32)
-            for i in range(0, len(owner), 8192):
-                value[i : i + 8192] = network.forward(inputs, *gathered(start[i : i + 8192], w.first[owner[i : i + 8192] + 1], which, 2 * size))
+            value = network.every(inputs, which, owner, start, w.first[1:])
         if step % SEEK == 1:
             order = np.lexsort((-value, owner))
             best = order[np.flatnonzero(np.r_[True, owner[order][1:] != owner[order][:-1]])]
@@ -334,9 +387,10 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model |
 def scored(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without ``text`` and with ``toxicity, toxic, worst_word, n_windows``.
 
-    ``toxicity`` is the highest probability of the text's windows of WINDOW words, which begin
-    every STRIDE words, the last one ending with the text; a shorter text is one window.
+    ``toxicity`` is the highest probability of all the text's windows of WINDOW words, one
+    beginning at every word up to the one that ends with the text; a shorter text is one window.
     ``worst_word`` is that window's first word, of equals the first; ``toxic`` that it reaches the threshold.
+    ``n_windows`` isn't the number of windows scored: it counts those that cover the text every STRIDE words.
 
     * A null text, and a model that couldn't be fitted for want of labels, give null, null, null and 0.
     * A text without a word has no window: 0.0, false, null, 0.

@@ -425,6 +425,18 @@ def test_toxicity(docs, none, spark):
     assert all(r.toxicity is None for r in op2.scored(docs, None).collect())
 
 
+def test_toxicity_at_every_offset():
+    """Each text's score is the highest of windows that begin at every word, wherever its passage lies."""
+    r = np.random.default_rng(4)
+    model = op2.Model(*(r.standard_normal((2, 1 << op2.BITS)).astype(np.float32) * 3), op2.Network(1))
+    rows = [" ".join(words(offset, 50) + words(24, 53) + words(60 - offset, 51)) for offset in range(40)] + [" ".join(words(n, 52)) for n in (3, 24, 25, 90)]
+    top, where, _ = model.scores(pa.array(rows))
+    for i, row in enumerate(rows):
+        w = row.split()
+        one, _, _ = model.scores(pa.array([" ".join(w[k : k + op2.WINDOW]) for k in range(max(len(w) - op2.WINDOW, 0) + 1)]))
+        assert abs(top[i] - one.max()) < 1e-4 and abs(one[where[i]] - one.max()) < 1e-4, i
+
+
 def test_gradients():
     r = np.random.default_rng(0)
     net = op2.Network(1)
