@@ -28,22 +28,34 @@ _BEFORE_REGEX = set("( , = : [ ! & | ? { } ; + - * % ~ ^ < > => && || ?? return
 
 
 def tokens(source: str, language: str) -> list[Token]:
-    """All tokens, comments included; raises :class:`SyntaxProblem` on unclosed strings, comments or brackets."""
+    """All tokens, comments included; raises :class:`SyntaxProblem` on unclosed strings, comments or brackets.
+
+    A template is string tokens with the tokens of its interpolations between them, each in the
+    marks ``[`` and ``]``, which stand for ``${`` and ``}``.
+    """
     out: list[Token] = []
     stack: list[str] = []
     i, row, n = 0, 0, len(source)
     script, rust, c = language in ("ts", "tsx"), language == "rust", language == "c"
     last = ""  # text of the last token that isn't a comment
 
-    def add(kind: str, end: int) -> None:
+    def add(kind: str, end: int, text: str | None = None) -> None:
         nonlocal i, row, last
-        text = source[i:end]
+        text = source[i:end] if text is None else text
         out.append(Token(kind, text, i, end, row))
         row += text.count("\n")
         i = end
         if kind != "comment":
             last = text
 
+    def add_template(begin: int) -> None:
+        """The part of a template from i up to its end or its next interpolation, which is opened."""
+        end, closed = _template_part_end(source, begin)
+        add("string", end)
+        if not closed:
+            stack.append("${")
+            add("mark", end + 2, "[")
+
     while i < n:
         ch = source[i]
         if ch in " \t\r\n\f\v﻿":
@@ -81,7 +93,11 @@ def tokens(source: str, language: str) -> list[Token]:
             m = re.compile(r"'(?:\\(?:x[0-9A-Fa-f]{2}|u\{[0-9A-Fa-f_]+\}|.)|[^'\\\n])'").match(source, i)
             add("string", m.end()) if m else add("mark", i + 1)
         elif script and ch == "`":
-            add("string", _template_end(source, i))
+            add_template(i + 1)
+        elif ch == "}" and stack and stack[-1] == "${":
+            stack.pop()
+            add("mark", i + 1, "]")
+            add_template(i)
         elif script and ch == "/" and (last in _BEFORE_REGEX or not last) and not (last == "<" and language == "tsx") and (m := re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*").match(source, i)):
             add("string", m.end())
         elif m := _WORD.match(source, i):
@@ -98,7 +114,7 @@ def tokens(source: str, language: str) -> list[Token]:
                 raise SyntaxProblem(f"'{mark}' closes nothing on line {row + 1}")
             add("mark", i + len(mark))
     if stack:
-        raise SyntaxProblem(f"'{stack[-1]}' is missing")
+        raise SyntaxProblem("a template isn't closed" if stack[-1] == "${" else f"'{stack[-1]}' is missing")
     return out
 
 
@@ -126,19 +142,12 @@ def _string_end(source: str, i: int, quote: str, lines: bool) -> int:
     return at + 1
 
 
-def _template_end(source: str, i: int) -> int:
-    at, depth = i + 1, 0
+def _template_part_end(source: str, at: int) -> tuple[int, bool]:
+    """Behind the quote that ends a template, or at its next interpolation; and whether the template ends."""
     while at < len(source):
-        ch = source[at]
-        if ch == "\\":
-            at += 1
-        elif source.startswith("${", at):
-            depth, at = depth + 1, at + 1
-        elif depth and ch == "}":
-            depth -= 1
-        elif ch == "`" and depth:
-            at = _template_end(source, at) - 1
-        elif ch == "`":
-            return at + 1
-        at += 1
+        if source[at] == "`":
+            return at + 1, True
+        if source.startswith("${", at):
+            return at, False
+        at += 2 if source[at] == "\\" else 1
     raise SyntaxProblem("a template isn't closed")

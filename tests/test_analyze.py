@@ -6,6 +6,9 @@ import subprocess
 
 import pytest
 
+from plumbline.lang.lexer import SyntaxProblem
+from plumbline.lang.parser import Parser
+from plumbline.lang.spec import BY_NAME
 from plumbline.plans.analyze import analyze
 
 
@@ -62,6 +65,17 @@ def test_small_repository(spark, repository):
     assert report(spark, repository)["quality"]["git"]["cache_reset"]
 
 
+def test_template_interpolations():
+    source = "export function show(x) {\n  return `<${x ? `a${format(x)}` : 'n'}${[x].map((y) => y && y.z)}> \\${skipped(x)}`;\n}\n"
+    show, arrow = Parser(source, BY_NAME["ts"]).run()
+    assert show.name == "show" and show.cyclomatic == 2 and show.cognitive == 1
+    assert "format" in show.identifiers and "map" in show.identifiers and "skipped" not in show.identifiers
+    assert arrow.cyclomatic == 2 and sorted(arrow.identifiers) == ["y", "y", "y", "z"]
+    for broken in ("`${(1}`", "`${1", "`${1}", "`${1)}`"):
+        with pytest.raises(SyntaxProblem):
+            Parser(f"function f() {{ return {broken}; }}", BY_NAME["ts"])
+
+
 def test_history(spark, repository):
     body = "export function entry(x) {\n  return helper(x);\n}\nfunction helper(y) {\n  return y;\n}\nfunction unused(z) {\n  const value = z;\n  return value;\n}\n"
     repository.write("plumbline.toml", '[git]\nbug_fix_patterns = ["CL-[0-9]+"]\n')
