@@ -56,6 +56,9 @@ class Parser:
                 self.match[o], self.match[i] = i, o
         self.starts: dict[int, Function] = {}
         self.functions: list[Function] = []
+        self.classes: set[int] = set()
+        self.tails: set[int] = set()
+        self._find_tails()
 
     def text(self, i: int) -> str:
         return self.t[i].text if 0 <= i < len(self.t) and self.t[i].kind != "string" else ""
@@ -167,12 +170,11 @@ class Parser:
             if t.kind == "word" and t.text == "export" and self.text(i - 1) != ".":
                 exports.append((i, self._statement_end(i + 1)))
         self.exports = exports
-        classes = set()
         for i, t in enumerate(self.t):
-            if t.kind == "word" and t.text == "class" and self.text(i - 1) != ".":
-                brace = self._body(i)
+            if t.kind == "word" and t.text == "class" and self.text(i - 1) != "." and (self.word(i + 1) or self.text(i + 1) in ("{", "<")):
+                brace = self._class_body(i)
                 if brace is not None:
-                    classes.add(brace)
+                    self.classes.add(brace)
         for i, t in enumerate(self.t):
             if t.text == "function" and t.kind == "word" and self.text(i - 1) != ".":
                 if self.text(i + 1) == "*":
@@ -185,7 +187,22 @@ class Parser:
             elif t.text == "=>" and t.kind == "mark":
                 self._arrow(i)
             elif t.text == "(" and t.kind == "mark" and self.word(i - 1):
-                self._method(i, classes)
+                self._method(i)
+
+    def _class_body(self, i: int) -> int | None:
+        """The brace of a class; those in type arguments of its header aren't."""
+        k, depth = i + 1, 0
+        while k < len(self.t):
+            x = self.text(k)
+            if x in ("(", "[") or (x == "{" and depth > 0):
+                k = self.match[k]
+            elif x == "{":
+                return k
+            elif x in (";", ")", "]", "}") and not depth:
+                return None
+            depth += (x == "<") - (x == ">")
+            k += 1
+        return None
 
     def _type_arguments(self, k: int) -> int:
         if self.text(k) == "<":
@@ -215,7 +232,7 @@ class Parser:
         self._add(name or self._bound_name(first), first, k, self.match[k], exported=self._exported(first), doc_bytes=self._doc(first) if alone else 0)
         return True
 
-    def _method(self, paren: int, classes: set[int]) -> None:
+    def _method(self, paren: int) -> None:
         name = paren - 1
         close = self.match[paren] + 1
         if self.text(name) in ("if", "for", "while", "switch", "catch", "function", "return", "with", "super") or (self.text(close) not in ("{", ":") or self.text(name - 1) in (".", "new", "function")):
@@ -227,7 +244,7 @@ class Parser:
         holder = self._holder(first)
         if holder is None or self.text(holder) != "{" or before == "*":
             return
-        in_class = holder in classes
+        in_class = holder in self.classes
         in_object = not in_class and before in ("{", ",") and self.text(holder - 1) in ("=", "(", ",", ":", "return", "=>", "[", "default")
         if (in_class and before in ("{", "}", ";", ",")) or in_object:
             self._with_body(first, paren, self.text(name), need=False, declared=True)
@@ -293,8 +310,7 @@ class Parser:
         return "<anonymous>"
 
     def _class_field(self, i: int) -> bool:
-        h = self._holder(i)
-        return h is not None and self.text(h) == "{" and any(self.text(k) == "class" for k in range(max(0, h - 6), h))
+        return self._holder(i) in self.classes
 
     def _exported(self, first: int) -> bool:
         return any(a < first <= b for a, b in self.exports) or (self.text(first - 1) == "=" and self._class_field(first - 2))
@@ -431,9 +447,25 @@ class Parser:
         return self.text(b) == "=>"
 
     def _after_do(self, k: int) -> bool:
-        if self.text(k - 1) == "}" and self.text(self.match[k - 1] - 1) == "do":
-            return True
-        return self.text(k - 1) == ";" and any(self.text(b) == "do" for b in range(max(0, k - 40), k)) and self.text(self.match.get(k + 1, -2) + 1) == ";"
+        return k in self.tails
+
+    def _find_tails(self) -> None:
+        """Each ``while`` that ends a ``do``, whose statement is a block, a construct or runs to that ``while``; inner ones first."""
+        if self.spec.name == "rust":
+            return
+        for i, t in reversed(list(enumerate(self.t))):
+            if t.kind != "word" or t.text != "do" or self.text(i - 1) in (".", "?.") or self.text(i + 1) in (":", ",", "="):
+                continue
+            k = i + 1
+            if self.text(k) == "{" or self.text(k) in ("if", "for", "while", "do"):
+                k = self._one_statement(k, len(self.t))
+                k += self.text(k) == ";"  # of an inner do
+            else:
+                while k < len(self.t) and self.text(k) not in (";", "while", "}", ")", "]"):
+                    k = self.match[k] + 1 if self.text(k) in _OPEN else k + 1
+                k += self.text(k) == ";"
+            if self.text(k) == "while":
+                self.tails.add(k)
 
     def _construct_end(self, k: int, end: int) -> int:
         """The index behind a nesting construct: its condition, its block or statement, and for ``if`` its else part."""
@@ -460,9 +492,9 @@ class Parser:
             return self.match[i] + 1
         if self.text(i) in ("if", "for", "while", "do"):
             return self._construct_end(i, end)
-        while i < end and self.text(i) != ";":
+        while i < end and self.text(i) != ";" and i not in self.tails:
             i = self.match[i] + 1 if self.text(i) in _OPEN else i + 1
-        return min(i + 1, end)
+        return min(i + (i not in self.tails), end)
 
     def _arms(self, f: Function, k: int) -> None:
         """Each arm of a match counts as an arm and as a pattern."""

@@ -76,6 +76,22 @@ def test_template_interpolations():
             Parser(f"function f() {{ return {broken}; }}", BY_NAME["ts"])
 
 
+def test_class_fields_and_do():
+    for header in ("Foo extends React.Component<Props, State>", "Foo extends Base<{ a: string }> implements One, Two", "Foo"):
+        named = {f.name: f.exported for f in Parser(f"class {header} {{ handle = (e) => {{ return e; }}; run() {{ const x = () => 1; y = () => 2; }} }}", BY_NAME["ts"]).run()}
+        assert named == {"handle": True, "run": False, "x": False, "y": False}, header
+    long = "x = f(" + ", ".join(["a"] * 60) + ");"
+    for body in (f"do {long} while (a);", "do { b(); } while (a)", "do b()\n while (a);", f"do if (a) {{ {long} }} while (a);"):
+        (f,) = Parser(f"function f() {{ {body} }}", BY_NAME["ts"]).run()
+        (g,) = Parser(f"function f() {{ {body} while (c) {{}} }}", BY_NAME["ts"]).run()
+        assert g.cyclomatic == f.cyclomatic + 1 and g.cognitive == f.cognitive + 1, body
+    (f,) = Parser(f"function f() {{ do {long} while (a); }}", BY_NAME["ts"]).run()
+    (g,) = Parser("function f() { do { x(); } while (a); }", BY_NAME["ts"]).run()
+    assert (f.cyclomatic, f.cognitive) == (g.cyclomatic, g.cognitive)
+    (f,) = Parser("function f() { do x(); while (a); while (b); }", BY_NAME["ts"]).run()
+    assert f.cognitive == 2
+
+
 def test_history(spark, repository):
     body = "export function entry(x) {\n  return helper(x);\n}\nfunction helper(y) {\n  return y;\n}\nfunction unused(z) {\n  const value = z;\n  return value;\n}\n"
     repository.write("plumbline.toml", '[git]\nbug_fix_patterns = ["CL-[0-9]+"]\n')
