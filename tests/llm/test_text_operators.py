@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from plumbline.llm import op1_sentencepiece as op1
@@ -391,6 +392,26 @@ def test_compatible_pairs_match_merging():
         assert v._compatible(a, b) == (v.merges([*a, *b]) == [a, b])
 
 
+def test_language_held_out():
+    """Main languages of documents outside the sample, and spans of two of them joined."""
+    d = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text", "lang"]).to_pandas().dropna().sort_values("doc_id")
+    d = d[d.text.str.split().str.len() >= 5].drop_duplicates("text")
+    nth = d.groupby("lang").cumcount()
+    sample, rest = d[nth < op4.SAMPLE], d[(nth >= op4.SAMPLE) & (nth < op4.SAMPLE + 200) & d.lang.isin(op4.LANGUAGES)]
+    model = op4.Classifier({k: sample[sample.lang == k].text.tolist() for k in op4.LANGUAGES})
+    langs = op4.labelled(pa.array(rest.text.tolist()), model, op4.PENALTY)[0]
+    assert len(rest) == 800 and (rest.lang.to_numpy() == np.array(langs)).mean() >= 0.99
+    parts = {k: [t.split()[:60] for t in rest[rest.lang == k].text] for k in op4.LANGUAGES}
+    texts, expected = [], []
+    for k in range(150):
+        a, b = op4.LANGUAGES[k % 4], op4.LANGUAGES[(k % 4 + 1 + k // 4 % 3) % 4]
+        texts.append(" ".join(parts[a][k] + parts[b][k]))
+        expected += [a] * len(parts[a][k]) + [b] * len(parts[b][k])
+    spans = op4.labelled(pa.array(texts), model, op4.PENALTY)[-1]
+    got = [x["lang"] for row in spans.to_pylist() for x in row for _ in range(x["end_word"] - x["first_word"])]
+    assert (np.array(got) == np.array(expected)).mean() >= 0.99
+
+
 def toxic_texts():
     rng = np.random.default_rng(13)
     texts, labels = [], []
