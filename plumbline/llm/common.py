@@ -1,4 +1,4 @@
-"""Helpers of the text operators: tables, the shared folder, lineage cuts, connected components."""
+"""Helpers of the text operators: tables, the shared folder, lineage cuts."""
 
 from __future__ import annotations
 
@@ -46,36 +46,3 @@ def cut(df: DataFrame) -> DataFrame:
 def buckets(spark: SparkSession, per_partition: int = 4) -> int:
     """Hash buckets for a shuffle: a multiple of ``spark.sql.shuffle.partitions``, which a cluster sizes to its input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * per_partition
-
-
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges(src, dst)``: rows ``(node, component)``, the smallest node being the component.
-
-    Alternating large-star and small-star rounds, until a round changes nothing. Each round's
-    edges are checkpointed: lineage stays short and a lost executor costs at most one round.
-    Self loops keep their node as its own component; null ends and repeated edges are dropped.
-    """
-    clean = edges.select("src", "dst").where("src is not null and dst is not null")
-    nodes = cut(clean.select("src", "dst").distinct())
-    e = nodes.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
-    before = None
-    for _ in range(most_rounds):
-        both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        low = both.groupBy("src").agg(F.min("dst").alias("m"))
-        e = both.join(low, "src").where("dst > src").select(F.col("dst").alias("src"), F.least("m", "src").alias("dst")).distinct()
-        low = e.groupBy("src").agg(F.min("dst").alias("m"))
-        joined = e.join(low, "src")
-        e = joined.select("src", F.col("m").alias("dst")).unionByName(
-            joined.where("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
-        ).distinct()
-        e = cut(e)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    own = nodes.select(F.col("src").alias("node")).unionByName(nodes.select(F.col("dst").alias("node"))).distinct()
-    return own.join(e.select(F.col("src").alias("node"), F.col("dst").alias("up")), "node", "left").select(
-        "node", F.coalesce("up", "node").alias("component")
-    )

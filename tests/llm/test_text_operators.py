@@ -17,7 +17,7 @@ from plumbline.llm import op7_jaccard as op7
 from plumbline.llm import op8_suffix as op8
 from plumbline.llm import op9_mixing as op9
 from plumbline.llm import op10_exact as op10
-from plumbline.llm.common import components
+from plumbline.llm.groups import components
 
 RNG = np.random.default_rng(3)
 VOCABULARY = ["".join(RNG.choice(list("abcdefghij"), 4)) for _ in range(400)]
@@ -185,6 +185,29 @@ def gram_set(text, n=3):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
 
 
+def brute_classes(rows):
+    """``doc_id, class_id, n_links`` of rows with an id, by comparing all pairs."""
+    rows = [(i, gram_set(t) if t is not None else set()) for i, t in rows]
+    parent, links, pairs = list(range(len(rows))), [0] * len(rows), {}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, (i, x) in enumerate(rows):
+        for b, (j, y) in enumerate(rows[:a]):
+            if x and y and (o := len(x & y)) and o >= 0.5 * (len(x) + len(y) - o):
+                links[a] += 1
+                links[b] += 1
+                parent[find(a)] = find(b)
+                pairs[min(i, j), max(i, j)] = round(o / (len(x) + len(y) - o), 6)
+    low = defaultdict(list)
+    for a, (i, _) in enumerate(rows):
+        low[find(a)].append(i)
+    return sorted((i, min(low[find(a)]), links[a]) for a, (i, _) in enumerate(rows)), pairs
+
+
 def test_jaccard(docs, none, spark):
     rng = np.random.default_rng(4)
     base = [words(60, 50 + k) for k in range(6)]
@@ -194,37 +217,51 @@ def test_jaccard(docs, none, spark):
         for _ in range(int(rng.integers(0, 9))):
             w[int(rng.integers(0, len(w)))] = VOCABULARY[int(rng.integers(0, 400))]
         rows.append((1000 + i, " ".join(w)))
-    every = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None and r.text is not None] + rows
-    sets = [(i, gram_set(t)) for i, t in every]
-    expected = {}
-    for a, x in sets:
-        for b, y in sets:
-            if a < b and x and y and len(x & y) / len(x | y) >= 0.5:
-                expected[a, b] = round(len(x & y) / len(x | y), 6)
+    every = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None] + rows
+    expected, pairs = brute_classes(every)
     table = docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
-    found = op7.similar_pairs(table).collect()
-    got = {(r.doc_id_a, r.doc_id_b): r.jaccard for r in found}
-    assert len(got) == len(found) and all(expected[k] == v for k, v in got.items())
-    assert len(got) >= 0.99 * len(expected) and (0, 1) in got
-    assert op7.similar_pairs(none).count() == 0
+    for bucket, grams in ((op7.BUCKET, op7.BLOCK_GRAMS), (3, 300)):  # the second takes the prefix filter, and cuts blocks into chunks
+        assert sorted(map(tuple, op7.similar_classes(clashing(table), bucket=bucket, block_grams=grams).collect())) == expected
+    got = {(r.doc_id_a, r.doc_id_b): r.jaccard for r in op7.similar_pairs(table).collect()}
+    first = {}
+    for i, t in sorted((i, t) for i, t in every if t is not None):
+        first.setdefault(frozenset(gram_set(t)), i)
+    named = {i: first[frozenset(gram_set(t))] for i, t in every if t is not None}
+    assert got == {tuple(sorted((named[a], named[b]))): v for (a, b), v in pairs.items() if named[a] != named[b]}
+    assert op7.similar_classes(none).count() == op7.similar_pairs(none).count() == op7.one_of_each_group(none).count() == 0
     kept = {r.doc_id for r in op7.one_of_each_group(clashing(docs)).collect()}
     assert {0, 2, 9, 11, 12, None} <= kept and not {1, 4, 100} & kept
 
 
+@pytest.mark.parametrize("bucket", [op7.BUCKET, 24])
+def test_jaccard_with_a_shared_passage(spark, bucket):
+    """Similar pairs just over the threshold, in texts that all share a passage: two fifths of each text, so that unrelated ones have 0.25."""
+    rng = np.random.default_rng(17)
+    fresh = lambda n: ["".join(x) for x in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (n, 7))]
+    passage, rows = fresh(82), []
+    for i in range(500):
+        common = fresh(54)
+        rows += [(2 * i, " ".join(passage + common + fresh(66))), (2 * i + 1, " ".join(fresh(66) + passage + common))]
+    got = {(r.doc_id, r.class_id, r.n_links) for r in op7.similar_classes(spark.createDataFrame(rows, "doc_id long, text string"), bucket=bucket).collect()}
+    assert 0.5 <= len(x := gram_set(rows[0][1]) & gram_set(rows[1][1])) / (400 - len(x)) < 0.51
+    assert len(got) == 1000 and len(got & {(i, i // 2 * 2, 1) for i in range(1000)}) >= 998
+
+
 def test_signature_tree_is_exact():
     rng = np.random.default_rng(8)
     sets = [np.unique(rng.integers(0, 60, int(rng.integers(1, 50))).astype(np.uint64)) for _ in range(90)]
     for t in (0.3, 0.5, 0.9):
-        i, j, s = op7.block_pairs(sets, t)
-        got = {(min(a, b), max(a, b)): x for a, b, x in zip(i.tolist(), j.tolist(), s.tolist(), strict=True)}
-        want = {}
-        for a in range(90):
-            for b in range(a + 1, 90):
-                o = len(np.intersect1d(sets[a], sets[b]))
-                x = o / (len(sets[a]) + len(sets[b]) - o)
-                if x >= t:
-                    want[a, b] = x
-        assert got.keys() == want.keys() and len(i) == len(got) and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+        for most in (1 << 20, 200):
+            i, j, s = (np.concatenate(c) for c in zip((np.empty(0, int), np.empty(0, int), np.empty(0)), *op7.block_pairs(sets, t, most), strict=True))
+            got = {(min(a, b), max(a, b)): x for a, b, x in zip(i.tolist(), j.tolist(), s.tolist(), strict=True)}
+            want = {}
+            for a in range(90):
+                for b in range(a + 1, 90):
+                    o = len(np.intersect1d(sets[a], sets[b]))
+                    x = o / (len(sets[a]) + len(sets[b]) - o)
+                    if x >= t:
+                        want[a, b] = x
+            assert got.keys() == want.keys() and len(i) == len(got) and all(abs(got[k] - want[k]) < 1e-12 for k in got)
 
 
 def test_components(spark):
@@ -241,7 +278,8 @@ def test_components(spark):
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
     df = spark.createDataFrame([*edges, (None, 3), (5, None), edges[0]], "src long, dst long")
-    assert {(r.node, r.component) for r in components(df).collect()} == {(x, find(x)) for x in parent}
+    for one_task in (1000, 0):  # the second runs the rounds
+        assert {(r.node, r.component) for r in components(df, one_task=one_task).collect()} == {(x, find(x)) for x in parent}
     assert components(df.where("false")).count() == 0
 
 
@@ -254,12 +292,18 @@ def test_embeddings(spark):
         rows.append((i, v.tolist()))
     odd = [(900, None), (901, []), (902, [0.0] * 32), (903, [float("nan")] * 32), (904, [None] * 32), (905, rows[0][1]), (905, rows[0][1]), (None, rows[1][1]), (906, [1.0, 2.0])]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")
-    got = {r.vec_id: r for r in op3.components_of_embeddings(clashing(df)).collect()}
+    small = {tuple(r) for r in op3.components_of_embeddings(clashing(df), chunk=7).collect()}  # buckets and blocks are cut
+    found = op3.components_of_embeddings(clashing(df)).collect()
+    got = {r.vec_id: r for r in found}
+    assert small == {tuple(r) for r in found} and len(found) == df.where("vec_id is not null").count()
     x = np.array([v for _, v in rows], np.float32).astype(float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     near = (x @ x.T) >= 0.9
     pairs = [(a, b) for a in range(400) for b in range(a) if near[a, b]]
-    assert len(pairs) > 100 and np.mean([got[a].component == got[b].component for a, b in pairs]) >= 0.9
+    assert len(pairs) > 100 and np.mean([got[a].component == got[b].component for a, b in pairs]) >= 0.995
+    copies = {0: 3}  # rows of each vector: 905 is a copy of 0, twice, and the row without an id isn't counted
+    links = [sum(copies.get(b, 1) for b in range(400) if near[a, b]) - 1 for a in range(400)]
+    assert np.mean([got[i].n_links == links[i] for i in range(400)]) >= 0.98 and all(got[i].n_links <= links[i] for i in range(400))
     for i in range(900, 905):
         assert got[i].component == i and got[i].keep
     assert got[905].component == got[0].component and not got[905].keep and None not in got and got[906].keep
