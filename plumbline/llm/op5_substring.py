@@ -1,9 +1,14 @@
 """Substring deduplication by Rabin-Karp hashes of every window of words.
 
 Every window's 64-bit hash is sent once, in compact blocks by hash bucket, with its document
-and position beside it; hashes are counted per bucket, and positions of those that occur more
-than once return to their document, where they merge into maximal intervals. The shuffle takes
-about ten bytes a window, and no set of hashes is ever broadcast.
+and position beside it; hashes are counted bucket by bucket, and positions of those that occur
+more than once return to their document, where they merge into maximal intervals. The shuffle
+takes about ten bytes a window, and no set of hashes is ever broadcast.
+
+Windows that repeat within a slice of texts are known there already: their positions go straight
+to their documents and one of them is sent on for all. So a window that a third of all texts
+have is sent once for each slice, and a bucket's task holds a share of the table that doesn't
+depend on how often a window occurs.
 """
 
 from __future__ import annotations
@@ -16,9 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import buckets, documents
-from .tokens import Words, merged, planes, rolling, slices, unplanes, window_starts
+from .tokens import Words, merged, planes, release, rolling, slices, unplanes, window_starts
 
 WINDOW = 50
+#: Hash buckets of a partition; one is held at a time.
+BUCKETS = 4
 
 
 def repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -33,7 +40,8 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     * Rows that share a doc_id count as that many texts; their intervals are united under the id.
     * Very long texts are processed whole. Only ``doc_id`` and ``text`` are read. An empty table gives no rows.
     """
-    n_buckets = buckets(docs.sparkSession)
+    partitions = buckets(docs.sparkSession, 1)
+    n_buckets = BUCKETS * partitions
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (s for whole in batches for s in slices(whole, "text")):
@@ -44,72 +52,119 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             h = rolling(w.hashes(), window)[at]
             owner = w.owner()[at]
             position = at - w.first[owner]
+            ids = b.column(0).to_numpy()
+            again, spare = _repeated(h)
+            rows: list[tuple] = [(-1, int(ids[owner[x[0]]]), None, None, planes(np.diff(position[x], prepend=0)), None) for x in _runs(owner, np.flatnonzero(again))]
+            h, owner, position = h[~spare], owner[~spare], position[~spare]
             bucket = (h >> np.uint64(33)) % np.uint64(n_buckets)
             order = np.argsort(bucket.astype(np.uint32), kind="stable")
             h, owner, position, bucket = h[order], owner[order], position[order], bucket[order]
-            ids = b.column(0).to_numpy()
             cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-            rows: list[tuple] = []
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                 o = owner[i:j]
                 new = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
                 step = np.diff(position[i:j], prepend=0)
                 step[new] = position[i:j][new]
-                rows.append((int(bucket[i]), ids[o[new]].tobytes(), planes(np.diff(np.r_[new, j - i])), planes(step), h[i:j].tobytes()))
-            yield pa.record_batch([pa.array(c) for c in zip(*rows, strict=True)], names=["bucket", "ids", "counts", "steps", "hashes"])
+                rows.append((int(bucket[i]), None, ids[o[new]].tobytes(), planes(np.diff(np.r_[new, j - i])), planes(step), h[i:j].tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "doc_id", "ids", "counts", "steps", "hashes"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, counts, steps, hashes = [], [], [], []
+        """Rows come sorted by bucket; those of bucket -1 pass."""
+        last, held = None, []
         for b in batches:
-            for i, c, s, h in zip(*(b.column(k).to_pylist() for k in range(1, 5)), strict=True):
-                ids.append(np.frombuffer(i, np.int64))
-                counts.append(unplanes(c))
-                steps.append(unplanes(s))
-                hashes.append(np.frombuffer(h, np.uint64))
-        if not hashes:
-            return
-        h, n = np.concatenate(hashes), np.concatenate(counts).astype(np.int64)
-        again = _again(h)
-        first = np.cumsum(n) - n
-        total = np.cumsum(np.concatenate(steps).astype(np.int64))
-        position = total - np.repeat(total[first] - np.concatenate(steps)[first], n)
-        doc = np.repeat(np.concatenate(ids), n)[again]
-        position = position[again]
-        if not len(doc):
-            return
+            for bucket, doc_id, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if bucket < 0:
+                    held.append((doc_id, row[2]))
+                    if len(held) >= 10_000:
+                        yield passed(held)
+                        held = []
+                    continue
+                if bucket != last:
+                    yield from finish(last, held)
+                    last, held = bucket, []
+                held.append(row)
+        yield from finish(last, held)
+
+    def finish(bucket: int | None, rows: list) -> Iterator[pa.RecordBatch]:
+        if rows:
+            yield from [passed(rows)] if bucket is None else solve(rows)
+            release()
+
+    def passed(rows: list) -> pa.RecordBatch:
+        ids, steps = zip(*rows, strict=True)
+        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(steps, pa.binary())], names=["doc_id", "steps"])
+
+    def solve(rows: list) -> Iterator[pa.RecordBatch]:
+        """Positions of a bucket's repeated windows, by document."""
+        ids, counts, steps, hashes = zip(*rows, strict=True)
+        h = np.frombuffer(b"".join(hashes), np.uint64)
+        n = np.concatenate([unplanes(c) for c in counts]).astype(np.int64)
+        again, _ = _repeated(h)
+        step = np.concatenate([unplanes(s) for s in steps]).astype(np.int64)
+        total, first = np.cumsum(step), np.cumsum(n) - n
+        position = (total - np.repeat(total[first] - step[first], n))[again]
+        doc = np.repeat(np.frombuffer(b"".join(ids), np.int64), n)[again]
         order = np.lexsort((position, doc))
         doc, position = doc[order], position[order]
-        cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True])
-        step = np.diff(position, prepend=0)
-        step[cuts[:-1]] = position[cuts[:-1]]
-        for k in range(0, len(cuts) - 1, 10_000):
-            c = cuts[k : k + 10_001]
-            yield pa.record_batch([pa.array(doc[c[:-1]]), pa.array([planes(step[i:j]) for i, j in zip(c[:-1], c[1:], strict=True)], pa.binary())], names=["doc_id", "steps"])
+        found = [(int(doc[x[0]]), planes(np.diff(position[x], prepend=0))) for x in _runs(doc, np.arange(len(doc)))]
+        for k in range(0, len(found), 10_000):
+            yield passed(found[k : k + 10_000])
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by doc_id; what is held of one grows with its text's length alone."""
+        last, held, n, out = None, [], 0, []
+
+        def close() -> None:
+            if held:
+                starts = np.unique(np.concatenate(held))
+                out.extend((last, s, e) for s, e in zip(*(x.tolist() for x in merged(starts, window)), strict=True))
+
+        def batch() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "start_word", "end_word"])
+
         for b in batches:
-            out: list[tuple] = []
-            for doc_id, blocks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                starts = np.unique(np.concatenate([np.cumsum(unplanes(x).astype(np.int64)) for x in blocks]))
-                out += [(doc_id, s, e) for s, e in zip(*(x.tolist() for x in merged(starts, window)), strict=True)]
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "start_word", "end_word"])
+            for doc_id, steps in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if doc_id != last:
+                    close()
+                    last, held, n = doc_id, [], 0
+                held.append(np.cumsum(unplanes(steps).astype(np.int64)))
+                n += len(held[-1])
+                if len(held) > 1 and n > 1 << 22:
+                    held = [np.unique(np.concatenate(held))]
+                    n = 0
+            if len(out) > 10_000:
+                yield batch()
+                out = []
+            release()
+        close()
+        if out:
+            yield batch()
 
     known = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sent = known.mapInArrow(send, "bucket long, ids binary, counts binary, steps binary, hashes binary")
-    found = sent.repartition("bucket").mapInArrow(count, "doc_id long, steps binary")
-    by_doc = found.groupBy("doc_id").agg(F.collect_list("steps").alias("blocks"))
+    sent = known.mapInArrow(send, "bucket long, doc_id long, ids binary, counts binary, steps binary, hashes binary")
+    # positions that are known already stay where their document's hash puts them
+    place = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("doc_id"), F.lit(partitions))).otherwise(F.col("bucket") % partitions)
+    found = sent.repartitionById(partitions, place.cast("int")).sortWithinPartitions("bucket").mapInArrow(count, "doc_id long, steps binary")
+    by_doc = found.repartition("doc_id").sortWithinPartitions("doc_id")
     return by_doc.mapInArrow(unite, "doc_id long, start_word long, end_word long").withColumn("n_words", F.expr("end_word - start_word"))
 
 
-def _again(h: np.ndarray) -> np.ndarray:
-    """Which values occur more than once."""
+def _repeated(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which values occur more than once, and which of them are all but one of their value."""
     order = np.argsort(h)
     s = h[order]
     same = s[1:] == s[:-1]
-    out = np.zeros(len(h), bool)
-    out[order] = np.r_[same, False] | np.r_[False, same]
-    return out
+    again, spare = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    again[order] = np.r_[same, False] | np.r_[False, same]
+    spare[order] = np.r_[False, same]
+    return again, spare
+
+
+def _runs(group: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """``at``, ascending, cut where ``group`` at it changes."""
+    return np.split(at, np.flatnonzero(np.diff(group[at])) + 1) if len(at) else []
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
