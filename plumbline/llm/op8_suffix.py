@@ -2,12 +2,16 @@
 
 A transform of the whole corpus can't be distributed, so the corpus is cut into texts that can
 be treated alone without losing a repeat. Each run of windows of ``window`` words whose smallest
-16-gram hash lies at the same place goes to the partition of that hash; equal windows have equal
-smallest hashes, so both ends of every repeat meet. Runs whose smallest hash occurs once hold no repeat
-and are never sent. In a partition the runs, each closed by a separator of its own, form one
-text; its suffix order gives the transform, and breadth-first backward extension from the empty
-string sets common-prefix lengths in increasing order. It stops at ``window``: what is still
-unset there has a longer common prefix, which is all that deduplication needs to know.
+16-gram hash lies at the same place goes to the partition of that hash, its key; equal windows
+have equal smallest hashes, so both ends of every repeat meet. Runs are combined before anything
+is sent: a run of the same content as another is repeated as a whole, and of each content one run
+is compared with the other contents of its key. Keys of one content need no comparison.
+
+In a partition the runs, each closed by a separator of its own, form one text; its suffix order
+gives the transform, and breadth-first backward extension from the empty string sets
+common-prefix lengths in increasing order. It stops at ``window``: what is still unset there has a
+longer common prefix, which is all that deduplication needs to know. A key of more contents than
+one text should hold is split by its windows' own hashes, each window then being a run.
 """
 
 from __future__ import annotations
@@ -20,12 +24,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import op5_substring
-from .common import documents
-from .tokens import Words, ranges, rolling, slices, window_starts
+from .common import cut, documents
+from .tokens import Words, ranges, release, rolling, slices, span_hashes, window_starts
 
 WINDOW = 50
 GRAM = 16
 CHUNK_BYTES = 16 << 20
+#: Contents of a key that are compared in one text.
+CONTENTS = 1 << 15
 
 
 def smallest(values: np.ndarray, span: int) -> np.ndarray:
@@ -122,7 +128,7 @@ def repeats(texts: pa.Array, copies: np.ndarray, window: int) -> tuple[np.ndarra
     return owner[new], offset[new], offset[np.r_[new[1:] - 1, len(starts) - 1]]
 
 
-def suffix_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def suffix_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, contents: int = CONTENTS) -> DataFrame:
     """Maximal intervals of words covered by substrings of at least ``window`` words that occur more than once: ``doc_id, start_word, end_word, n_words``.
 
     Words and intervals are those of ``op5_substring``; every occurrence is reported, within one
@@ -133,23 +139,28 @@ def suffix_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     * Very long texts are processed whole. Only ``doc_id`` and ``text`` are read. An empty table gives no rows.
     """
 
-    def runs_of(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Text, smallest hash, first window and number of windows of each run."""
-        at = window_starts(w.first, window)
-        if not len(at):
-            return at, at, at, at
-        grams = rolling(w.hashes(), gram)
-        m = smallest(grams, window - gram + 1)[at]
-        owner = w.owner()[at]
-        new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (m[1:] != m[:-1])])
-        return owner[new], grams[m[new]].view(np.int64), (at - w.first[owner])[new], np.diff(np.r_[new, len(at)])
+    def spans_of(w: Words, owner: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last byte of runs of ``n`` windows."""
+        return w.begin[w.first[owner] + first], w.end[w.first[owner] + first + n + window - 2]
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (s for whole in batches for s in slices(whole, "text")):
-            owner, key, first, n = runs_of(Words(b.column(2)))
-            if len(owner):
-                rows = pa.array(owner)
-                yield pa.record_batch([b.column(0).take(rows), b.column(1).take(rows), pa.array(key), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc_id", "hash", "key", "first", "n"])
+            w = Words(b.column(2))
+            at = window_starts(w.first, window)
+            if not len(at):
+                continue
+            grams = rolling(w.hashes(), gram)
+            m = smallest(grams, window - gram + 1)[at]
+            owner = w.owner()[at]
+            new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (m[1:] != m[:-1])])
+            first, n, key = (at - w.first[owner])[new], np.diff(np.r_[new, len(at)]), grams[m[new]].view(np.int64)
+            owner = owner[new]
+            body = span_hashes(w.data, *spans_of(w, owner, first, n)).view(np.int64)
+            rows = pa.array(owner)
+            yield pa.record_batch(
+                [b.column(0).take(rows), b.column(1).take(rows), pa.array(key), pa.array(body), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))],
+                names=["doc_id", "hash", "key", "body", "first", "n"],
+            )
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (s for whole in batches for s in slices(whole, "text")):
@@ -158,57 +169,87 @@ def suffix_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
             counts = np.diff(runs.offsets.to_numpy())
             flat = runs.flatten()
             key, first, n = (flat.field(k).to_numpy() for k in range(3))
+            once, large = (flat.field(k).to_numpy(zero_copy_only=False) for k in (3, 4))
             owner = np.repeat(np.arange(b.num_rows), counts)
-            begin = w.begin[w.first[owner] + first]
-            end = w.end[w.first[owner] + first + n + window - 2]
+            if large.any():  # each window of a large key is a run, under a key of its own
+                times = np.where(large, n, 1)
+                which = np.repeat(np.arange(len(n)), times)
+                first, n = ranges(first.astype(np.int64), times), np.where(large, 1, n)[which]
+                owner, once, large = owner[which], once[which], large[which]
+                begin, end = spans_of(w, owner, first, n)
+                words = w.hashes()
+                own = rolling(words, window)[w.first[owner] + first].view(np.int64)
+                key = np.where(large, own, key[which])
+            begin, end = spans_of(w, owner, first, n)
             sizes = end - begin
-            data = w.data[ranges(begin, sizes)]
-            offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
-            body = pa.Array.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-            yield pa.record_batch([pa.array(key), b.column(0).take(pa.array(owner)), pa.array(first), body], names=["key", "doc_id", "first", "body"])
+            for i in range(0, len(owner), 20_000):
+                z = sizes[i : i + 20_000]
+                data = w.data[ranges(begin[i : i + 20_000], z)]
+                body = pa.Array.from_buffers(pa.binary(), len(z), [None, pa.py_buffer(np.r_[0, np.cumsum(z)].astype(np.int32)), pa.py_buffer(data)])
+                ids = b.column(0).take(pa.array(owner[i : i + 20_000]))
+                yield pa.record_batch([pa.array(key[i : i + 20_000]), ids, pa.array(first[i : i + 20_000].astype(np.int32)), pa.array(once[i : i + 20_000]), body], names=["key", "doc_id", "first", "once", "body"])
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key; whole keys are gathered to texts of about CHUNK_BYTES."""
+        """Rows come sorted by key; whole keys are gathered to texts of about CHUNK_BYTES.
+
+        Of equal bodies, which only split keys have, each is repeated as a whole and given out at once.
+        """
         held: dict[bytes, int] = {}
         texts: list[bytes] = []
-        of, ids, firsts, size, last = [], [], [], 0, None
+        of: list[tuple] = []
+        copies: list[int] = []
+        size, last = 0, None
+        out: list[tuple] = []
 
         def solve() -> pa.RecordBatch:
-            inner = np.array(of)
-            t, low, high = repeats(pa.array(texts, pa.binary()), np.bincount(inner, minlength=len(texts)), window)
-            by = np.argsort(inner, kind="stable")
-            number = np.bincount(inner, minlength=len(texts))
-            begins = np.cumsum(number) - number
-            member = by[ranges(begins[t], number[t])]
-            base = np.array(firsts)[member]
-            times = number[t]
-            return pa.record_batch([pa.array(np.array(ids)[member]), pa.array(base + np.repeat(low, times)), pa.array(base + np.repeat(high, times) + window)], names=["doc_id", "s", "e"])
+            t, low, high = repeats(pa.array(texts, pa.binary()), np.array(copies), window)
+            ids, firsts, once = (np.array(c) for c in zip(*of, strict=True))
+            mine = once[t] & (np.array(copies)[t] == 1)
+            t, low, high = t[mine], low[mine], high[mine]
+            return pa.record_batch([pa.array(ids[t]), pa.array(firsts[t] + low), pa.array(firsts[t] + high + window)], names=["doc_id", "s", "e"])
+
+        def given() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "s", "e"])
 
         for b in batches:
-            for key, doc_id, first, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for key, doc_id, first, once, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if key != last:
                     if size > CHUNK_BYTES:
                         yield solve()
-                        texts, of, ids, firsts, size = [], [], [], [], 0
+                        texts, of, copies, size = [], [], [], 0
+                        release()
                     held, last = {}, key
                 k = held.get(body)
                 if k is None:
-                    k = held[body] = len(texts)
+                    held[body] = len(texts)
                     texts.append(body)
+                    of.append((doc_id, first, once))
+                    copies.append(1)
                     size += len(body)
-                of.append(k)
-                ids.append(doc_id)
-                firsts.append(first)
+                    continue
+                for i, f in [(doc_id, first)] + [of[k][:2]] * (copies[k] == 1):
+                    out.append((i, f, f + len(body.split())))
+                copies[k] += 1
+                if len(out) >= 10_000:
+                    yield given()
+                    out = []
         if texts:
             yield solve()
+        if out:
+            yield given()
 
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text").where("doc_id is not null and text is not null")
-    runs = known.mapInArrow(anchors, "doc_id long, hash long, key long, first int, n int")
-    again = runs.withColumn("_times", F.count("*").over(Window.partitionBy("key"))).where("_times > 1")
-    by_doc = again.groupBy("doc_id", "hash").agg(F.collect_list(F.struct("key", "first", "n")).alias("runs"))
-    sent = known.join(by_doc, ["doc_id", "hash"]).select("doc_id", "text", "runs").mapInArrow(spans, "key long, doc_id long, first int, body binary")
+    runs = known.mapInArrow(anchors, "doc_id long, hash long, key long, body long, first int, n int")
+    one = F.min(F.struct("doc_id", "hash", "first", "n")).alias("_one")
+    bodies = cut(runs.groupBy("key", "body").agg(F.count("*").alias("_times"), one))
+    keys = bodies.groupBy("key").agg(F.count("*").alias("_bodies")).where("_bodies > 1")
+    several = bodies.where("_times > 1").select("key", "body")
+    whole = runs.join(several, ["key", "body"], "left_semi").select("doc_id", F.col("first").cast("long").alias("s"), (F.col("first") + F.col("n") + window - 1).cast("long").alias("e"))
+    asked = bodies.join(keys, "key").select("_one.doc_id", "_one.hash", F.struct("key", "_one.first", "_one.n", (F.col("_times") == 1).alias("once"), (F.col("_bodies") > contents).alias("large")).alias("run"))
+    by_doc = asked.groupBy("doc_id", "hash").agg(F.collect_list("run").alias("runs"))
+    sent = known.join(by_doc, ["doc_id", "hash"]).select("doc_id", "text", "runs").mapInArrow(spans, "key long, doc_id long, first int, once boolean, body binary")
     found = sent.repartition("key").sortWithinPartitions("key").mapInArrow(expand, "doc_id long, s long, e long")
-    return united(found)
+    return united(found.unionByName(whole))
 
 
 def united(intervals: DataFrame) -> DataFrame:
