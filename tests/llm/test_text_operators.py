@@ -110,6 +110,19 @@ def test_repeats_of_random_sequences(spark):
         assert {tuple(r) for r in found.select("doc_id", "start_word", "end_word", "n_words").collect()} == expected
 
 
+def test_one_window_in_every_text(spark):
+    """A text, a passage and a phrase that all rows have: hot keys, split and combined under small bounds."""
+    rng = np.random.default_rng(23)
+    phrase, rows = words(20, 31), [(i, TEXTS[0]) for i in range(200)]
+    rows += [(1000 + i, " ".join([*rng.choice(VOCABULARY, 45), *phrase, *rng.choice(VOCABULARY, 45)])) for i in range(150)]
+    rows += [(2000 + i, " ".join([*rng.choice(VOCABULARY, 30), *PASSAGE, *rng.choice(VOCABULARY, 30)])) for i in range(150)]
+    rows += [(3000, rows[200][1] + " x"), (3001, "y " + rows[350][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute_passages(rows, 50)
+    for found in (op5.repeated_passages(df), op8.suffix_repeats(df), op8.suffix_repeats(df, contents=20)):
+        assert {tuple(r) for r in found.select("doc_id", "start_word", "end_word", "n_words").collect()} == expected
+
+
 def test_bounded_prefixes_match_brute_force():
     rng = np.random.default_rng(1)
     for n in (1, 2, 30, 200):
@@ -136,8 +149,8 @@ def test_exact_duplicates(docs, none, spark):
         if r.text is not None:
             groups[r.text].append(r.doc_id)
     expected = sorted((str(i), min(x for x in ids if x is not None), len(ids)) for ids in groups.values() for i in sorted(ids, key=lambda x: (x is None, x))[1:])
-    for bucket in (1 << 26, 300):  # the second spills
-        assert sorted((str(r.doc_id), r.kept_doc_id, r.n_copies) for r in op10.exact_duplicates(docs, bucket).collect()) == expected
+    for bucket, ids in ((1 << 26, 4096), (300, 4096), (1 << 26, 1), (300, 0)):  # the second and the last spill, the last two give ids out
+        assert sorted((str(r.doc_id), r.kept_doc_id, r.n_copies) for r in op10.exact_duplicates(docs, bucket, ids).collect()) == expected
     assert op10.exact_duplicates(none).count() == 0
     assert op10.exact_duplicates(clashing(docs)).count() == len(expected)
 
@@ -145,13 +158,13 @@ def test_exact_duplicates(docs, none, spark):
 def test_grace_spills_and_compares_contents(tmp_path):
     records = [(7 << 60 | i % 3, f"text {i % 50}".encode(), [i]) for i in range(200)]  # few hashes, many contents
     spill = op10.Spill(str(tmp_path))
-    tables = list(op10.grace(iter(records), spill, 600))
+    tables = list(op10.grace(iter(records), spill, 6000, None))
     spill.close()
-    got = {c: sorted(ids) for t in tables for _, c, ids in t.records()}
+    got = {c: sorted(ids) for t in tables if t for _, c, ids, *_ in t.records()}
     want = defaultdict(list)
     for i in range(200):
         want[(i % 3, i % 50)].append(i)
-    assert sum(len(t.hash) for t in tables) == len(want) and sum(len(x) for t in tables for x in t.ids) == 200
+    assert sum(len(t.hash) for t in tables if t) == len(want) and sum(len(x) for t in tables if t for x in t.ids) == 200
     assert set(got) == {c for _, c, _ in records} and spill.files > 0
 
 
@@ -502,6 +515,57 @@ def test_toxicity_at_every_offset():
         assert abs(top[i] - one.max()) < 1e-4 and abs(one[where[i]] - one.max()) < 1e-4, i
 
 
+def plain_score(model, words_):
+    """Highest probability of a text's windows and its first word, one word after another in float64."""
+    p = {k: v.astype(float) for k, v in model.network.p.items()}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    lex = op2.Lexicon(op2.Words(pa.array([" ".join(words_)])))
+    x = (model.inputs(lex).astype(float)[lex.which] - p["shift"]) * p["scale"]
+    h, found = op2.HIDDEN, []
+    for first in range(max(len(words_) - op2.WINDOW, 0) + 1):
+        rows = x[first : first + op2.WINDOW]
+        states = np.zeros((len(rows), 2 * h))
+        for k, d in enumerate("fb"):
+            s = np.zeros(h)
+            if d == "b":  # a short text's window is padded at its end, which the backward pass reads first
+                for _ in range(op2.WINDOW - len(rows)):
+                    y, i = s @ p["ub"], p["bb"]
+                    z, r = sigmoid(i[:h] + y[:h]), sigmoid(i[h : 2 * h] + y[h : 2 * h])
+                    s = (1 - z) * np.tanh(i[2 * h :] + r * (y[2 * h :] + p["nb"])) + z * s
+            for t in range(len(rows)) if d == "f" else range(len(rows) - 1, -1, -1):
+                i, y = rows[t] @ p["w" + d] + p["b" + d], s @ p["u" + d]
+                z, r = sigmoid(i[:h] + y[:h]), sigmoid(i[h : 2 * h] + y[h : 2 * h])
+                s = (1 - z) * np.tanh(i[2 * h :] + r * (y[2 * h :] + p["n" + d])) + z * s
+                states[t, k * h : (k + 1) * h] = s
+        weight = np.exp(np.tanh(states @ p["wa"] + p["ba"]) @ p["va"])
+        found.append(float(sigmoid(weight / weight.sum() @ states @ p["v"] + p["c"][0])))
+    return max(found), int(np.argmax(found))
+
+
+def test_scores_match_plain_loops():
+    texts, toxic = toxic_texts()
+    model = op2.fit(texts[:120], toxic[:120])
+    rows = texts[120:140] + [" ".join(words(n, 60 + n)) for n in (1, 5, 24, 25, 300)]
+    top, where, _ = model.scores(pa.array(rows))
+    for i, row in enumerate(rows):
+        best, at = plain_score(model, row.split())
+        assert abs(top[i] - best) < 1e-3 and (where[i] == at or abs(plain_score(model, row.split()[where[i] : where[i] + op2.WINDOW])[0] - best) < 1e-3), i
+    same = " ".join(words(24, 70))  # equal windows: the first counts
+    top, where, _ = model.scores(pa.array([" ".join(["w"] * 60), same]))
+    assert where.tolist() == [0, 0]
+
+
+def test_toxicity_held_out():
+    """What the README says of sf0.01: four folds, each fitted on the other three."""
+    d = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"]).to_pandas().merge(pq.read_table("/root/testdata/sf0.01/labels.parquet").to_pandas(), on="doc_id").dropna()
+    d = d[d.text.str.strip() != ""].sample(frac=1, random_state=1)
+    toxic, texts, found = d.toxic.to_numpy().astype(bool), d.text.to_numpy(), np.zeros(len(d), bool)
+    for fold in range(4):
+        test = np.arange(len(d)) % 4 == fold
+        found[test] = op2.fit(list(texts[~test]), toxic[~test]).scores(pa.array(list(texts[test])))[0] >= op2.THRESHOLD
+    assert found[toxic].mean() >= 0.7 and (found == toxic).mean() >= 0.93
+
+
 def test_gradients():
     r = np.random.default_rng(0)
     net = op2.Network(1)
@@ -510,6 +574,15 @@ def test_gradients():
     held[3:, 2] = False
     label = (r.random(7) > 0.5).astype(np.float32)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    learned = {}
+    net.gradients(features, index, held, label, learned)
+    for row, column in ((learned["rows"][0], 0), (learned["rows"][-1], 5)):  # gradients of learned inputs
+        sides = []
+        for step in (1e-2, -1e-2):
+            moved = features.copy()
+            moved[row, op2.COUNTED + column] += step
+            sides.append(net.gradients(moved, index, held, label)[0])
+        assert abs((sides[0] - sides[1]) / 2e-2 - learned["d"][list(learned["rows"]).index(row), column]) < 3e-3
     _, g = net.gradients(features, index, held, label)
     for k in g:
         at = tuple(int(r.integers(0, s)) for s in net.p[k].shape)
