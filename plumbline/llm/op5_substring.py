@@ -1,7 +1,7 @@
 """Substring deduplication by Rabin-Karp hashes of every window of words.
 
 Every window's 64-bit hash is sent once, in compact blocks by hash bucket, with its document
-and position beside it; hashes are counted bucket by bucket, and positions of those that occur
+and position beside it; hashes are counted in the bucket's task, and positions of those that occur
 more than once return to their document, where they merge into maximal intervals. The shuffle
 takes about ten bytes a window, and no set of hashes is ever broadcast.
 
@@ -21,12 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import buckets, documents
-from .tokens import Words, merged, planes, release, rolling, slices, unplanes, window_starts
+from .tokens import Words, planes, release, rolling, slices, unplanes, window_starts
 
 WINDOW = 50
-#: Hash buckets of a partition; one is held at a time.
-BUCKETS = 4
-
 
 def repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Maximal intervals covered by windows of ``window`` words that occur more than once in the table: ``doc_id, start_word, end_word, n_words``.
@@ -41,7 +38,6 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     * Very long texts are processed whole. Only ``doc_id`` and ``text`` are read. An empty table gives no rows.
     """
     partitions = buckets(docs.sparkSession, 1)
-    n_buckets = BUCKETS * partitions
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (s for whole in batches for s in slices(whole, "text")):
@@ -54,103 +50,102 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             position = at - w.first[owner]
             ids = b.column(0).to_numpy()
             again, spare = _repeated(h)
-            rows: list[tuple] = [(-1, int(ids[owner[x[0]]]), None, None, planes(np.diff(position[x], prepend=0)), None) for x in _runs(owner, np.flatnonzero(again))]
+            if again.any():
+                doc, lists = _lists(owner[again], position[again])
+                none = pa.nulls(len(doc), pa.binary())
+                yield pa.record_batch([pa.array(np.full(len(doc), -1)), pa.array(ids[doc]), lists, none, none, none, none], schema=sent_schema)
             h, owner, position = h[~spare], owner[~spare], position[~spare]
-            bucket = (h >> np.uint64(33)) % np.uint64(n_buckets)
+            bucket = (h >> np.uint64(33)) % np.uint64(partitions)
             order = np.argsort(bucket.astype(np.uint32), kind="stable")
             h, owner, position, bucket = h[order], owner[order], position[order], bucket[order]
             cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+            rows: list[tuple] = []
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                 o = owner[i:j]
                 new = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
                 step = np.diff(position[i:j], prepend=0)
                 step[new] = position[i:j][new]
-                rows.append((int(bucket[i]), None, ids[o[new]].tobytes(), planes(np.diff(np.r_[new, j - i])), planes(step), h[i:j].tobytes()))
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "doc_id", "ids", "counts", "steps", "hashes"])
+                rows.append((int(bucket[i]), None, None, ids[o[new]].tobytes(), planes(np.diff(np.r_[new, j - i])), planes(step), h[i:j].tobytes()))
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), sent_schema, strict=True)], schema=sent_schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by bucket; those of bucket -1 pass."""
-        last, held = None, []
+        """Positions of the bucket's repeated windows, by document; what is known already passes."""
+        ids, counts, steps, hashes = [], [], [], []
         for b in batches:
-            for bucket, doc_id, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if bucket < 0:
-                    held.append((doc_id, row[2]))
-                    if len(held) >= 10_000:
-                        yield passed(held)
-                        held = []
-                    continue
-                if bucket != last:
-                    yield from finish(last, held)
-                    last, held = bucket, []
-                held.append(row)
-        yield from finish(last, held)
-
-    def finish(bucket: int | None, rows: list) -> Iterator[pa.RecordBatch]:
-        if rows:
-            yield from [passed(rows)] if bucket is None else solve(rows)
-            release()
-
-    def passed(rows: list) -> pa.RecordBatch:
-        ids, steps = zip(*rows, strict=True)
-        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(steps, pa.binary())], names=["doc_id", "steps"])
-
-    def solve(rows: list) -> Iterator[pa.RecordBatch]:
-        """Positions of a bucket's repeated windows, by document."""
-        ids, counts, steps, hashes = zip(*rows, strict=True)
-        h = np.frombuffer(b"".join(hashes), np.uint64)
-        n = np.concatenate([unplanes(c) for c in counts]).astype(np.int64)
+            known = b.filter(b.column(1).is_valid())
+            if known.num_rows:
+                yield known.select([1, 2])
+            for i, c, s, h in zip(*(b.filter(b.column(1).is_null()).column(k).to_pylist() for k in range(3, 7)), strict=True):
+                ids.append(np.frombuffer(i, np.int64))
+                counts.append(unplanes(c))
+                steps.append(unplanes(s))
+                hashes.append(np.frombuffer(h, np.uint64))
+        if not hashes:
+            return
+        h, n, step = np.concatenate(hashes), np.concatenate(counts).astype(np.int64), np.concatenate(steps).astype(np.int64)
+        del hashes, counts, steps
         again, _ = _repeated(h)
-        step = np.concatenate([unplanes(s) for s in steps]).astype(np.int64)
         total, first = np.cumsum(step), np.cumsum(n) - n
         position = (total - np.repeat(total[first] - step[first], n))[again]
-        doc = np.repeat(np.frombuffer(b"".join(ids), np.int64), n)[again]
+        doc = np.repeat(np.concatenate(ids), n)[again]
         order = np.lexsort((position, doc))
         doc, position = doc[order], position[order]
-        found = [(int(doc[x[0]]), planes(np.diff(position[x], prepend=0))) for x in _runs(doc, np.arange(len(doc)))]
-        for k in range(0, len(found), 10_000):
-            yield passed(found[k : k + 10_000])
+        cuts = np.r_[0, np.flatnonzero(np.diff(doc)) + 1, len(doc)]
+        for k in range(0, len(cuts) - 1, 10_000):
+            part = slice(cuts[k], cuts[min(k + 10_000, len(cuts) - 1)])
+            own, lists = _lists(doc[part], position[part])
+            if len(own):
+                yield pa.record_batch([pa.array(own), lists], names=["doc_id", "steps"])
+        release()
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by doc_id; what is held of one grows with its text's length alone."""
-        last, held, n, out = None, [], 0, []
-
-        def close() -> None:
-            if held:
-                starts = np.unique(np.concatenate(held))
-                out.extend((last, s, e) for s, e in zip(*(x.tolist() for x in merged(starts, window)), strict=True))
+        """Rows come sorted by doc_id; the last document of a batch is held, and what is held grows with a text's length alone."""
+        doc, position = np.empty(0, np.int64), np.empty(0, np.int64)
 
-        def batch() -> pa.RecordBatch:
-            return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "start_word", "end_word"])
+        def closed(doc: np.ndarray, position: np.ndarray) -> pa.RecordBatch:
+            fresh = np.r_[True, (np.diff(doc) != 0) | (np.diff(position) > window)]
+            new = np.flatnonzero(fresh)
+            end = position[np.r_[new[1:] - 1, len(doc) - 1]] + window
+            return pa.record_batch([pa.array(doc[new]), pa.array(position[new]), pa.array(end)], names=["doc_id", "start_word", "end_word"])
 
         for b in batches:
-            for doc_id, steps in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if doc_id != last:
-                    close()
-                    last, held, n = doc_id, [], 0
-                held.append(np.cumsum(unplanes(steps).astype(np.int64)))
-                n += len(held[-1])
-                if len(held) > 1 and n > 1 << 22:
-                    held = [np.unique(np.concatenate(held))]
-                    n = 0
-            if len(out) > 10_000:
-                yield batch()
-                out = []
-            release()
-        close()
-        if out:
-            yield batch()
+            lists = b.column(1)
+            n = lists.value_lengths().to_numpy().astype(np.int64)
+            step = lists.flatten().to_numpy().astype(np.int64)
+            total, first = np.cumsum(step), np.cumsum(n) - n
+            position = np.r_[position, total - np.repeat(total[first] - step[first], n)]
+            doc = np.r_[doc, np.repeat(b.column(0).to_numpy(), n)]
+            order = np.lexsort((position, doc))
+            doc, position = doc[order], position[order]
+            one = np.r_[True, (np.diff(doc) != 0) | (np.diff(position) != 0)]
+            doc, position = doc[one], position[one]
+            stop = int(np.searchsorted(doc, doc[-1]))
+            if stop:
+                yield closed(doc[:stop], position[:stop])
+                doc, position = doc[stop:], position[stop:]
+                release()
+        if len(doc):
+            yield closed(doc, position)
 
     known = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sent = known.mapInArrow(send, "bucket long, doc_id long, ids binary, counts binary, steps binary, hashes binary")
-    # positions that are known already stay where their document's hash puts them
-    place = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("doc_id"), F.lit(partitions))).otherwise(F.col("bucket") % partitions)
-    found = sent.repartitionById(partitions, place.cast("int")).sortWithinPartitions("bucket").mapInArrow(count, "doc_id long, steps binary")
+    sent_schema = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("steps", pa.list_(pa.int32())), *((c, pa.binary()) for c in ("ids", "counts", "positions", "hashes"))])
+    sent = known.mapInArrow(send, "bucket long, doc_id long, steps array<int>, ids binary, counts binary, positions binary, hashes binary")
+    # positions that are known already take the partition of their document's hash
+    place = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("doc_id"), F.lit(partitions))).otherwise(F.col("bucket"))
+    found = sent.repartitionById(partitions, place.cast("int")).mapInArrow(count, "doc_id long, steps array<int>")
     by_doc = found.repartition("doc_id").sortWithinPartitions("doc_id")
     return by_doc.mapInArrow(unite, "doc_id long, start_word long, end_word long").withColumn("n_words", F.expr("end_word - start_word"))
 
 
+def _lists(doc: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """Each document once, and its positions as a first one and steps; rows of a document lie side by side, in ascending order."""
+    new = np.flatnonzero(np.r_[True, np.diff(doc) != 0][: len(doc)])
+    step = np.diff(position, prepend=0)
+    step[new] = position[new]
+    return doc[new], pa.ListArray.from_arrays(pa.array(np.r_[new, len(doc)].astype(np.int32)), pa.array(step.astype(np.int32)))
+
+
 def _repeated(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which values occur more than once, and which of them are all but one of their value."""
     order = np.argsort(h)
@@ -162,11 +157,6 @@ def _repeated(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return again, spare
 
 
-def _runs(group: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """``at``, ascending, cut where ``group`` at it changes."""
-    return np.split(at, np.flatnonzero(np.diff(group[at])) + 1) if len(at) else []
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(documents(spark, sf_dir))
 

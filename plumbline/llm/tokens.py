@@ -154,14 +154,6 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, counts) + np.arange(total)
 
 
-def merged(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal unions of ``[s, s + length)`` over sorted ``starts``; touching ones are joined."""
-    if not len(starts):
-        return starts, starts
-    new = np.flatnonzero(np.diff(starts) > length) + 1
-    return starts[np.r_[0, new]], starts[np.r_[new - 1, len(starts) - 1]] + length
-
-
 def planes(x: np.ndarray, kind: type = np.uint32) -> bytes:
     """The bytes of ``x``, low ones first, so that small numbers compress to little."""
     return np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(len(x), -1).T).tobytes()
