@@ -1,9 +1,10 @@
 """Language identification of mixed text: script ranges, per-word scores, and a Viterbi search with a switching penalty.
 
 A word's script, the range that most of its letters lie in, narrows the languages it can have.
-A word of a script with one language has it; a Latin word is scored for each Latin language by
-hashed character n-grams, a classifier fitted on a bounded sample of labelled documents. The
-search labels all words of a text at once, and a change of language between neighbours costs a
+A Latin word is scored for each Latin language by hashed character n-grams, a classifier fitted on
+a bounded sample of labelled documents; a word of another script for the script's few languages,
+by letters that only one of them has. Scripts written without blanks are cut from their neighbours,
+so that ``漢字かな`` within a run is words of its own. The search labels all words of a text at once, and a change of language between neighbours costs a
 penalty, so that spans form. It runs over all texts of a batch side by side, longest first.
 """
 
@@ -46,8 +47,17 @@ SCRIPTS = {
     "han": [(0x4E00, 0x9FFF), (0x3400, 0x4DBF)],
 }
 NAMES = tuple(SCRIPTS)
-#: The one language of each script that isn't Latin.
-LANGUAGE_OF = {"greek": "el", "cyrillic": "ru", "hebrew": "he", "arabic": "ar", "devanagari": "hi", "thai": "th", "kana": "ja", "hangul": "ko", "han": "zh"}
+#: Han beyond the basic plane.
+HAN_BEYOND = (0x20000, 0x323AF)
+#: The languages of each script that isn't Latin, the likeliest first.
+LANGUAGES_OF = {"greek": ("el",), "cyrillic": ("ru", "uk"), "hebrew": ("he",), "arabic": ("ar", "fa"), "devanagari": ("hi",), "thai": ("th",), "kana": ("ja",), "hangul": ("ko",), "han": ("zh", "ja")}
+#: Letters that only one of a script's languages has, and what each of them adds to its score.
+LETTERS_OF = {"ru": "ыэъёЫЭЪЁ", "uk": "іїєґІЇЄҐ", "ar": "يكةى", "fa": "پچژگکی"}
+LETTER = 3.0
+#: What a letter costs the second language of its script; Chinese characters in Japanese are few between kana.
+SECOND = {"uk": 0.05, "fa": 0.05, "ja": 0.5}
+#: Scripts that are cut from what stands beside them without a blank.
+UNSPACED = ("thai", "kana", "hangul", "han")
 
 
 def script_table() -> np.ndarray:
@@ -76,24 +86,53 @@ def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lead, point
 
 
-def word_scripts(w: Words) -> np.ndarray:
-    """The script (1 and up; 0 for none) of each word: the one of most of its letters, the first in the list of equals."""
+class Letters:
+    """Characters of a batch: first bytes, code points and scripts; and the characters of each word, from ``first`` to ``last``."""
+
+    def __init__(self, w: Words):
+        self.lead, self.point = code_points(w.data)
+        self.script = np.where(self.point < 0x10000, _TABLE[np.minimum(self.point, 0xFFFF)], 0)
+        self.script[(self.point >= HAN_BEYOND[0]) & (self.point <= HAN_BEYOND[1])] = NAMES.index("han") + 1
+        self._cut(w)
+        self.first, self.last = np.searchsorted(self.lead, w.begin), np.searchsorted(self.lead, w.end)
+
+    def _cut(self, w: Words) -> None:
+        """Cuts words where a script without blanks begins or ends; marks and digits stay with what is before them."""
+        apart = np.isin(self.script, [NAMES.index(x) + 1 for x in UNSPACED])
+        if not apart.any():
+            return
+        kind = np.where(apart, self.script, 1)
+        letter = np.flatnonzero(self.script > 0)
+        before = np.searchsorted(letter, np.arange(len(kind)), "right") - 1
+        kind = kind[letter[np.maximum(before, 0)]]
+        at = self.lead[np.flatnonzero(np.diff(kind)) + 1]
+        word = np.searchsorted(w.begin, at, "right") - 1
+        at = at[(word >= 0) & (w.begin[word] < at) & (at < w.end[word])]
+        w.begin, w.end = np.sort(np.r_[w.begin, at]), np.sort(np.r_[w.end, at])
+        w.first = np.searchsorted(w.begin, w.offsets)
+
+    def count(self, chosen: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """How many of the chosen characters each of ``words`` has."""
+        sums = np.r_[0, np.cumsum(chosen)]
+        return sums[self.last[words]] - sums[self.first[words]]
+
+
+def word_scripts(w: Words) -> tuple[np.ndarray, Letters | None]:
+    """The script (1 and up; 0 for none) of each word: the one of most of its letters, the first in the list of equals. Words of ``w`` may be cut."""
     if not len(w):
-        return np.empty(0, np.uint8)
+        return np.empty(0, np.uint8), None
     if not (w.data & 0x80).any():
         letters = _TABLE[w.data] > 0
         sums = np.r_[0, np.cumsum(letters)]
-        return (sums[w.end] > sums[w.begin]).astype(np.uint8)
-    lead, point = code_points(w.data)
-    script = np.where(point < 0x10000, _TABLE[np.minimum(point, 0xFFFF)], 0)
-    first, last = np.searchsorted(lead, w.begin), np.searchsorted(lead, w.end)
+        return (sums[w.end] > sums[w.begin]).astype(np.uint8), None
+    x = Letters(w)
     best, count = np.zeros(len(w), np.uint8), np.zeros(len(w), np.int64)
-    for k in np.unique(script[script > 0]):
-        sums = np.r_[0, np.cumsum(script == k)]
-        n = sums[last] - sums[first]
+    every = np.arange(len(w))
+    for k in np.unique(x.script[x.script > 0]):
+        n = x.count(x.script == k, every)
         more = n > count
         best[more], count[more] = k, n[more]
-    return best
+    return best, x
 
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -207,7 +246,8 @@ def fitted(docs: DataFrame, languages: tuple[str, ...], sample: int) -> Classifi
     chosen = known.select("lang", "doc_id").withColumn("_nth", F.row_number().over(by_hash)).where(F.col("_nth") <= sample)
     ids = [r.doc_id for r in chosen.select("doc_id").distinct().collect()]
     texts: dict[str, list[str]] = {}
-    for r in known.where(F.col("doc_id").isin(ids)).select("doc_id", "lang", "text").orderBy("doc_id", "lang", "text").collect() if ids else []:
+    one = F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text")  # of rows that share id and language, one
+    for r in known.where(F.col("doc_id").isin(ids)).groupBy("doc_id", "lang").agg(one).orderBy("doc_id", "lang").collect() if ids else []:
         texts.setdefault(r.lang, []).append(r.text)
     return Classifier(texts)
 
@@ -218,11 +258,11 @@ SPANS = T.ArrayType(T.StructType().add("first_word", "integer").add("end_word",
 def labelled(texts: pa.Array, model: Classifier, penalty: float) -> tuple[list, list, list, list, pa.ListArray]:
     """Of each text: main language, its share of the words that have a language, their share of all words, number of words, and spans."""
     w = Words(texts)
+    kind, letters = word_scripts(w)
     one, which = distinct_words(w)
     n_texts = len(w.counts)
-    kind = word_scripts(w)
-    others = [k for k in np.unique(kind[kind > 1])]
-    names = [*model.languages, *(LANGUAGE_OF[NAMES[k - 1]] for k in others)]
+    others = [NAMES[k - 1] for k in np.unique(kind[kind > 1])]
+    names = [*model.languages, *dict.fromkeys(x for k in others for x in LANGUAGES_OF[k])]
     latin = len(model.languages)
     if not names or not len(w):
         empty = pa.ListArray.from_arrays(pa.array(np.zeros(n_texts + 1, np.int32)), _spans([], [], []))
@@ -232,10 +272,15 @@ def labelled(texts: pa.Array, model: Classifier, penalty: float) -> tuple[list,
     script = kind[one]
     each[script == 0] = 0
     each[script == 1, latin:] = FOREIGN
-    for j, k in enumerate(others):
-        own = script == k
+    for k in others:
+        own = np.flatnonzero(script == NAMES.index(k) + 1)
         each[own] = FOREIGN
-        each[own, latin + j] = 0
+        for language in LANGUAGES_OF[k]:
+            known = LETTERS_OF.get(language, "")
+            score = LETTER * letters.count(np.isin(letters.point, [ord(c) for c in known]), one[own]) if known else np.zeros(len(own))
+            if language != LANGUAGES_OF[k][0]:
+                score = score - SECOND[language] * letters.count(letters.script > 0, one[own])
+            each[own, latin + names[latin:].index(language)] = score
     labels = viterbi(each[which], w.first, penalty)
     owner = w.owner()
     some = (kind > 1) | ((kind == 1) & (latin > 0))
@@ -261,11 +306,15 @@ def _spans(first, end, lang) -> pa.StructArray:
 def identified(docs: DataFrame, model: Classifier, penalty: float = PENALTY, share: float = SHARE, with_text: bool = False) -> DataFrame:
     """``docs``, without ``text`` unless ``with_text``, and with ``main_lang, main_share, n_words, keep, spans``.
 
-    Words are runs of characters other than ASCII white space. Spans are maximal runs of words
+    Words are runs of characters other than ASCII white space, cut where a script of UNSPACED
+    begins or ends. Spans are maximal runs of words
     of one language and cover the text; a word without letters takes its neighbours' language.
     ``main_lang`` has the most words with letters, the first by name of equals among the Latin
     languages, which come first. ``keep`` says that at least ``share`` of all words have a language.
 
+    Told apart are the languages of the sample and those of LANGUAGES_OF; text in another language of
+    one of these scripts gets one of them (Bulgarian is ru, Marathi hi), text in another script none.
+
     * A null, empty or blank text, and one without a letter of a known script, has null
       ``main_lang`` and ``main_share``, no spans, and isn't kept; ``n_words`` counts its words (null: 0).
     * Very long texts are labelled whole, repeated rows alike and each of them.
