@@ -8,7 +8,9 @@ longest piece, the piece that ends there and its backpointer; whenever the paths
 boundaries in the window meet at one boundary, the ids up to it are final and are given out.
 
 Where no piece holds two characters side by side, such as a letter and then a space, every path
-has a boundary: a batch is cut there, and each distinct chunk is searched once and cached.
+has a boundary, so there the paths meet and ids are committed: a batch is cut at these places, and
+each distinct chunk is searched once and cached. A chunk within the window is given out at its end;
+in a longer one paths are committed wherever they meet before.
 Decoding gathers the bytes of all pieces of a batch.
 """
 
@@ -35,10 +37,10 @@ CACHED_PAIRS = 1_000_000
 class Vocabulary:
     """Pieces of a SentencePiece BPE model with byte fallback, an identity normaliser and a dummy prefix."""
 
-    def __init__(self, model: str):
+    def __init__(self, model: bytes):
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=model)
+        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = sp.get_piece_size()
         self.special = [i for i in range(n) if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)]
         self.bytes = [0] * 256
@@ -264,10 +266,14 @@ class StreamingViterbi:
         return self.feed(text) + self.finish()
 
 
-_loaded: dict[str, Vocabulary] = {}
+_loaded: dict[bytes, Vocabulary] = {}
 
 
-def vocabulary(model: str) -> Vocabulary:
+def vocabulary(model: str | bytes) -> Vocabulary:
+    """The vocabulary of a model file or of its content, made once in a process."""
+    if isinstance(model, str):
+        with open(model, "rb") as f:
+            model = f.read()
     if model not in _loaded:
         _loaded[model] = Vocabulary(model)
     return _loaded[model]
@@ -333,8 +339,11 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
     rest = [c for c in docs.columns if c.lower() not in ("text", "ids", "n_ids", "round_trip")]
     fields = docs.select(*rest).schema
 
+    with open(model, "rb") as f:  # only the driver needs the file; its content, half a megabyte, goes to the executors
+        content = docs.sparkSession.sparkContext.broadcast(f.read())
+
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model)
+        v = vocabulary(content.value)
         for b in (s for whole in batches for s in slices(whole, "_plumbline_text")):
             texts = b.column(b.num_columns - 1)
             ids = encode_column(texts, v)
