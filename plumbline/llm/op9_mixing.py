@@ -6,24 +6,31 @@ and all output shards: a node gives its left half of the shards a multivariate-h
 draw of its blocks, and so on down to single shards. A shard then takes, of each source's
 permuted blocks, the next ones that no other shard has, and its documents are shuffled by hash.
 
-Only ids and hashes are ranked. Ranks within a source come from counts of hash ranges, so a
-source of any size is ranked by many tasks; text is moved once to be joined with its place.
+A node's draw is seeded by its place in the tree, so subtrees are drawn apart: the driver draws
+down to DRIVER_NODES nodes, and tasks draw the rest. Blocks are permuted by a keyed bijection of
+their numbers, which needs no sort. Only ids and hashes are ranked. Ranks within a source come from
+counts of hash ranges, so a source of any size is ranked by many tasks; text is moved once to be
+joined with its place.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, documents
+from .common import buckets, cut, documents
+from .tokens import mix
+from .tokens import ranges as ranges_of
 
 BLOCK = 64
 SHARD_DOCS = 4096
-#: Larger tables get larger shards, not more of them.
-MOST_SHARDS = 1 << 16
+#: Nodes down to which the driver draws the tree; below them tasks do.
+DRIVER_NODES = 1 << 10
 SEED = 7
 #: Hash ranges by which a source is ranked hold about this many documents.
 RANGE_DOCS = 20_000
@@ -51,42 +58,67 @@ def quotas(sizes: dict[str, int], weights: dict[str, float]) -> dict[str, int]:
     return {s: min(sizes[s], math.floor(total * given[s] + 1e-9)) for s in sizes}
 
 
-def split(blocks: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
-    """Blocks of each source (columns) for each shard (rows), which sum to ``blocks``; shards differ by one block at most.
+def draw(low: int, high: int, blocks: np.ndarray, total: int, shards: int, seed: int, down_to: int = 1) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Nodes of ``down_to`` shards at most below the node of shards ``low`` to ``high``, in their order, and the blocks of each source that each gets.
 
-    A node's seed is its place in the tree, so every node can be drawn alone.
+    Shards differ by one block at most. A node's seed is its place in the tree, so every node can be drawn alone.
     """
-    out = np.zeros((shards, len(blocks)), np.int64)
-    total = int(blocks.sum())
-    room = np.full(shards, total // shards)
-    room[: total % shards] += 1
-    before = np.r_[0, np.cumsum(room)]
-    stack = [(0, shards, np.asarray(blocks, np.int64))]
+    before = lambda shard: shard * (total // shards) + min(shard, total % shards)
+    stack = [(low, high, np.asarray(blocks, np.int64))]
     while stack:
         low, high, have = stack.pop()
-        if high - low == 1:
-            out[low] = have
+        if high - low <= down_to:
+            yield low, high, have
             continue
         middle = (low + high) // 2
-        left = np.random.default_rng([seed, low, high]).multivariate_hypergeometric(have, int(before[middle] - before[low]), method="marginals")
-        stack += [(low, middle, left), (middle, high, have - left)]
-    return out
-
+        left = np.random.default_rng([seed, low, high]).multivariate_hypergeometric(have, before(middle) - before(low), method="marginals")
+        stack += [(middle, high, have - left), (low, middle, left)]
 
-def shards_of_blocks(spark: SparkSession, counts: dict[str, int], table: np.ndarray, seed: int) -> DataFrame:
-    """``_plumbline_source, _block, shard``: each source's blocks in the order of seeded hashes, the first for its first shard, and so on.
 
-    The driver sends one row for each source and shard; blocks are made and permuted on executors.
-    """
+def split(blocks: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
+    """Blocks of each source (columns) for each shard (rows), which sum to ``blocks``: the whole tree."""
+    return np.stack([have for _, _, have in draw(0, shards, blocks, int(np.sum(blocks)), shards, seed)])
+
+
+def permuted(slots: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """A keyed bijection of 0 to ``n`` - 1: four rounds of a Feistel network over the next power of four, walked until back in range."""
+    half = max(1, ((n - 1).bit_length() + 1) // 2)
+    mask, out = np.uint64((1 << half) - 1), slots.astype(np.uint64)
+    todo = np.arange(len(out))
+    while len(todo):
+        left, right = out[todo] >> np.uint64(half), out[todo] & mask
+        for r in range(4):
+            left, right = right, left ^ (mix(right + np.uint64((seed * 4 + r + 1) * 0x9E3779B97F4A7C15 % 2**64)) & mask)
+        out[todo] = left << np.uint64(half) | right
+        todo = todo[out[todo] >= n]
+    return out.astype(np.int64)
+
+
+def shards_of_blocks(spark: SparkSession, counts: dict[str, int], shards: int, seed: int) -> DataFrame:
+    """``_plumbline_source, _block, shard``: each source's permuted blocks, the first for its first shard, and so on."""
     names = sorted(counts)
-    starts = np.cumsum(table, axis=0) - table
-    cells = [(s, int(o), int(starts[o, k]), int(table[o, k])) for k, s in enumerate(names) for o in np.flatnonzero(table[:, k])]
-    slots = spark.createDataFrame(cells, "_plumbline_source string, shard long, _start long, _n long").select(
-        "_plumbline_source", "shard", F.explode(F.sequence("_start", F.col("_start") + F.col("_n") - 1)).alias("_slot")
-    )
-    blocks = spark.createDataFrame([(s, int(counts[s])) for s in names], "_plumbline_source string, _n long").select("_plumbline_source", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_block"))
-    order = Window.partitionBy("_plumbline_source").orderBy(F.xxhash64(F.lit(seed), "_plumbline_source", "_block"), "_block")
-    return blocks.withColumn("_slot", F.row_number().over(order).cast("long") - 1).join(slots, ["_plumbline_source", "_slot"]).select("_plumbline_source", "_block", "shard")
+    blocks = np.array([counts[s] for s in names], np.int64)
+    total = int(blocks.sum())
+    rows, start = [], np.zeros(len(names), np.int64)
+    for low, high, have in draw(0, shards, blocks, total, shards, seed, max(1, -(-shards // DRIVER_NODES))):
+        rows.append((low, high, have.tolist(), start.tolist()))
+        start = start + have
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for low, high, have, start in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                at = np.array(start, np.int64)
+                for shard, _, own in draw(low, high, np.array(have), total, shards, seed):
+                    which = np.repeat(np.arange(len(names)), own)
+                    slot = ranges_of(at, own)
+                    number = np.empty(len(slot), np.int64)
+                    for k in np.flatnonzero(own):
+                        number[which == k] = permuted(slot[which == k], int(blocks[k]), seed + int(k))
+                    at = at + own
+                    yield pa.record_batch([pa.array([names[k] for k in which], pa.string()), pa.array(number), pa.array(np.full(len(slot), shard))], names=["_plumbline_source", "_block", "shard"])
+
+    nodes = spark.createDataFrame(rows, "low long, high long, have array<long>, start array<long>")
+    return nodes.repartition(min(len(rows), buckets(spark))).mapInArrow(expand, "_plumbline_source string, _block long, shard long")
 
 
 def placed(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: int = SEED) -> DataFrame:
@@ -101,9 +133,8 @@ def placed(docs: DataFrame, weights: dict[str, float] | None = None, block: int
     if not names:
         return keyed.where("false").select("_plumbline_id", "_plumbline_source", "_plumbline_copy", F.lit(0).cast("long").alias("shard"), F.lit(0).cast("long").alias("position"))
     counts = np.array([-(-taken[s] // block) for s in names])
-    shards = min(MOST_SHARDS, max(1, -(-int(sum(taken.values())) // shard_docs)))
-    table = split(counts, shards, seed)
-    where = shards_of_blocks(spark, dict(zip(names, counts, strict=True)), table, seed)
+    shards = max(1, -(-int(sum(taken.values())) // shard_docs))
+    where = shards_of_blocks(spark, dict(zip(names, counts.tolist(), strict=True)), shards, seed)
     limit = spark.createDataFrame([(s, int(taken[s])) for s in names], "_plumbline_source string, _quota long")
     ranges = max(1, sum(sizes.values()) // RANGE_DOCS)
     # a hash's range: its place among ``ranges`` equal parts of the signed 64-bit numbers
