@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, table
-from .tokens import Words, ranges, slices, span_hashes
+from .tokens import Words, ranges, release, slices, span_hashes
 
 #: Labelled documents of each class that are fitted on, those of the smallest hashes.
 SAMPLE = 1500
@@ -91,7 +91,9 @@ class Lexicon:
             h *= np.uint64(0xBF58476D1CE4E5B9)
             grams.append((h >> np.uint64(64 - BITS)).astype(np.int32))
             owners.append(np.repeat(np.arange(len(sizes)), n))
-        gram, owner = np.concatenate(grams), np.concatenate(owners)
+        del x
+        gram, owner = np.concatenate(grams), np.concatenate(owners, dtype=np.int32)
+        del grams, owners
         order = np.argsort(owner, kind="stable")
         self.gram = gram[order]
         self.first = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(sizes)))]
@@ -113,29 +115,26 @@ class Lexicon:
         out[:, 3:] = self.shape
         return out
 
-    def slots(self) -> tuple[np.ndarray, np.ndarray]:
-        """Slots of the learned vectors of words and of n-grams."""
-        return self.word >> (BITS - VECTOR_BITS), self.gram >> (BITS - VECTOR_BITS)
-
     def vectors(self, tables: tuple[np.ndarray, np.ndarray], rows: np.ndarray | None = None) -> np.ndarray:
         """Learned inputs of distinct words: the word's vector, and the mean of its n-grams' vectors."""
         rows = np.arange(len(self.one)) if rows is None else rows
-        (word, gram), n = self.slots(), np.diff(self.first)[rows]
+        word, gram, n = self.word >> (BITS - VECTOR_BITS), self.gram, np.diff(self.first)[rows]
         out = np.zeros((len(rows), 2 * VECTOR), np.float32)
         out[:, :VECTOR] = tables[0][word[rows]]
-        some = np.flatnonzero(n)
-        if len(some):
-            at = gram[ranges(self.first[:-1][rows[some]], n[some])]
+        every = np.flatnonzero(n)
+        for i in range(0, len(every), 20_000):  # bounds the vectors held at once
+            some = every[i : i + 20_000]
+            at = gram[ranges(self.first[:-1][rows[some]], n[some])] >> (BITS - VECTOR_BITS)
             out[some, VECTOR:] = np.add.reduceat(tables[1][at], np.cumsum(n[some]) - n[some], axis=0) / n[some, None]
         return out
 
     def spread(self, rows: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Gradients of the tables of vectors, by those of the learned inputs of ``rows``, distinct words."""
-        (word, gram), n = self.slots(), np.diff(self.first)[rows]
-        at = gram[ranges(self.first[:-1][rows], n)]
+        word, n = self.word[rows] >> (BITS - VECTOR_BITS), np.diff(self.first)[rows]
+        at = self.gram[ranges(self.first[:-1][rows], n)] >> (BITS - VECTOR_BITS)
         share = np.repeat(d[:, VECTOR:] / np.maximum(n, 1)[:, None], n, axis=0)
         slots = 1 << VECTOR_BITS
-        g = [np.stack([np.bincount(k, x[:, c], slots) for c in range(VECTOR)], axis=1).astype(np.float32) for k, x in ((word[rows], d[:, :VECTOR]), (at, share))]
+        g = [np.stack([np.bincount(k, x[:, c], slots) for c in range(VECTOR)], axis=1).astype(np.float32) for k, x in ((word, d[:, :VECTOR]), (at, share))]
         return g[0], g[1]
 
 
@@ -369,6 +368,7 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 5) -> Model:
     """A model of labelled documents, both classes present."""
     w = Words(pa.array(texts, pa.string()))
     lex = Lexicon(w)
+    release()
     doc = w.owner()
     half = np.random.default_rng(seed).permutation(len(texts)) % 2
     gram_counts = np.diff(lex.first)
@@ -389,9 +389,10 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 5) -> Model:
     size = len(lex.one)
     features = np.hstack([np.vstack(several), np.zeros((2 * size, 2 * VECTOR), np.float32)])  # a document's words are looked up in the part of the other half
     network, tables = Network(seed), (blank_vectors(), blank_vectors())  # of each half of the documents
-    every = features[np.r_[lex.which, lex.which + size], :COUNTED]
-    network.p["shift"][:COUNTED] = every.mean(axis=0)
-    network.p["scale"][:COUNTED] = 1 / (every.std(axis=0) + 1e-3)
+    times = np.tile(np.bincount(lex.which, minlength=size), 2)  # how often each row is read
+    mean = np.average(features[:, :COUNTED], axis=0, weights=times)
+    network.p["shift"][:COUNTED] = mean
+    network.p["scale"][:COUNTED] = 1 / (np.sqrt(np.average((features[:, :COUNTED] - mean) ** 2, axis=0, weights=times)) + 1e-3)
     which = lex.which + np.where(half[doc] == 0, 0, size)
     owner, start = windows_of(w.counts, w.first)
     label = toxic.astype(np.float32)
@@ -406,6 +407,8 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 5) -> Model:
             features[:, COUNTED:] = np.vstack([lex.vectors(tables[1]), lex.vectors(tables[0])])
             inputs = network.inputs(features)
             value = network.every(inputs, which, owner, start, w.first[1:])
+            del inputs
+            release()
         if step % SEEK == 1:
             order = np.lexsort((-value, owner))
             best = order[np.flatnonzero(np.r_[True, owner[order][1:] != owner[order][:-1]])]
