@@ -81,9 +81,13 @@ def hollow_kind(statements: Column | str, comment_lines_: Column | str) -> Colum
     return F.when(col(statements) > 0, "none").when(col(comment_lines_) > 0, "comment_only").otherwise("empty")
 
 
+#: Unicode's white space.
+WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def _lines(text: Column | str) -> Column:
-    """Trimmed lines, without the empty one that a closing line feed leaves."""
-    return F.transform(F.split(F.regexp_replace(col(text), r"\n$", ""), "\r?\n", -1), lambda x: F.trim(x))
+    """Lines without white space at their ends, without the empty one that a closing line feed leaves."""
+    return F.transform(F.split(F.regexp_replace(col(text), r"\n$", ""), "\n", -1), lambda x: F.btrim(x, F.lit(WHITE)))
 
 
 def comment_lines(text: Column | str) -> Column:
@@ -141,10 +145,5 @@ def function_ref(file: Column | str, name: Column | str) -> Column:
     return F.concat_ws(":", col(file), col(name))
 
 
-def hunk_range(new_start: Column | str, new_lines: Column | str) -> tuple[Column, Column]:
-    start = F.greatest(col(new_start), F.lit(1))
-    return start, start + F.greatest(col(new_lines), F.lit(1)) - 1
-
-
 def rfc3339(epoch: Column | str) -> Column:
     return F.date_format(F.timestamp_seconds(col(epoch)), "yyyy-MM-dd'T'HH:mm:ssxxx")

@@ -2,7 +2,8 @@
 
 No grammar is at hand, so this is a structural parser over tokens: it finds functions, their
 nesting and the constructs in them, and rejects sources whose brackets, strings or function
-headers don't close. Complete syntax validation is beyond it.
+headers don't close, in which an operator lacks an operand, a declaration its name, or two names
+stand side by side. Complete syntax validation is beyond it.
 """
 
 from __future__ import annotations
@@ -18,6 +19,12 @@ _ASSIGN = ("=",)
 _AUGMENTED = ("+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", ">>=", "**=", "&&=", "||=", "??=")
 _SEPARATORS = frozenset(",;?:") | {"=>", "=", "return", "let", "const", "var", "if", "while", "else", "match", "case", "in", "of", *_AUGMENTED}
 _OPEN, _CLOSE = ("(", "[", "{"), (")", "]", "}")
+#: Marks that need an operand on their right, and those that can't be its beginning.
+_BINARY = frozenset(("=", "==", "===", "!=", "!==", "&&", "||", "??", "+", "-", "/", "%", ">=", "<=", *_AUGMENTED))
+_NO_OPERAND = frozenset((";", ")", "]", "}", ",", "=", "==", "===", "!=", "!==", "??", "/", "%", ">=", "<=", *_AUGMENTED))
+#: Words that are names in places and may stand before a name.
+_SOFT = frozenset("accessor asserts auto global macro_rules module of out override raw require safe satisfies union unique using target meta".split())
+_MODIFIERS = ("async", "static", "get", "set", "public", "private", "protected", "readonly", "override", "abstract", "accessor", "declare", "*", "#")
 
 
 @dataclass
@@ -70,6 +77,7 @@ class Parser:
         return self.word(i) and self.t[i].text not in self.spec.keywords
 
     def run(self) -> list[Function]:
+        self._check()
         find = {"c": self._find_c, "rust": self._find_rust}.get(self.spec.name, self._find_script)
         find()
         for f in sorted(self.starts.values(), key=lambda f: (f.first, -f.last)):
@@ -79,6 +87,38 @@ class Parser:
             self._measure(f, inside)
         return self.functions
 
+    # what can't be a source of the language
+
+    def _check(self) -> None:
+        """Raises on operators without operands, declarations without names, and names side by side."""
+        name = self.spec.name
+        if name == "tsx":  # text between tags looks like anything
+            return
+        i, n = 0, len(self.t)
+        while i < n:
+            t, x = self.t[i], self.text(i)
+            if name == "rust" and x == "!" and self.word(i - 1) and (self.text(i + 1) in _OPEN or (self.word(i + 1) and self.text(i + 2) in _OPEN)):
+                i = self.match[i + 1 if self.text(i + 1) in _OPEN else i + 2] + 1  # a macro's tokens are its own
+                continue
+            if name == "rust" and x == "#" and self.text(i + 1) == "[":
+                i = self.match[i + 1] + 1
+                continue
+            row = f"on line {t.row + 1}"
+            after = self.text(i + 1)
+            if t.kind == "mark" and x in _BINARY and self.text(i - 1) != "operator":
+                alone = i + 1 >= n or (after in _NO_OPERAND and self.t[i + 1].kind == "mark")
+                if alone and not (name == "rust" and (x in ("&&", "||", "+", "-") or self.text(i - 1) == ".")):
+                    raise SyntaxProblem(f"'{x}' has no right operand {row}")
+            if t.kind == "word" and self.text(i - 1) not in (".", "?."):
+                declares = x in ("const", "var") if name == "ts" else x == "let" if name == "rust" else x in ("int", "char", "float", "double", "long", "short")
+                if declares and after in ("=", ";") and not (name == "c" and after == ";") and (name != "ts" or x != "const" or self.text(i - 1) not in ("as", "<")):
+                    raise SyntaxProblem(f"a declaration has no name {row}")
+                if name == "ts" and x == "let" and after == "=" and self.text(i - 1) in ("", ";", "{", "}"):
+                    raise SyntaxProblem(f"a declaration has no name {row}")
+                if name != "c" and self.ident(i) and self.ident(i + 1) and self.t[i + 1].row == t.row and not {x, after} & _SOFT:
+                    raise SyntaxProblem(f"'{x}' and '{after}' stand side by side {row}")
+            i += 1
+
     # where functions begin and end
 
     def _add(self, name: str, first: int, body: int, last: int, **more) -> None:
@@ -88,24 +128,23 @@ class Parser:
         i, n, begin = 0, len(self.t), 0
         while i < n:
             x = self.text(i)
-            if x == ";":
+            if x in (";", "}"):
                 begin = i + 1
             elif x == "{":
-                if i and self.text(i - 1) == ")":
-                    o = self.match[i - 1]
-                    if self.word(o - 1):
-                        direct = self.text(o - 2) != "*"
-                        self._add(self.text(o - 1) if direct and self.ident(o - 1) else "<anonymous>", begin, i, self.match[i], doc_bytes=self._doc(begin))
-                        i = self.match[i]
-                        begin = i + 1
-                    else:
-                        i = self.match[i]
+                close = i - 1
+                while self.text(close) == ")" and self.text(self.match[close] - 1) == "__attribute__":
+                    close = self.match[close] - 2
+                if self.text(close) == ")" and "=" not in (self.text(k) for k in range(begin, self.match[close])):
+                    o = self.match[close]
+                    # the name is the declarator's own: not one behind a pointer, nor in a declarator that returns a function
+                    direct = self.ident(o - 1) and self.text(o - 2) != "*"
+                    self._add(self.text(o - 1) if direct else "<anonymous>", begin, i, self.match[i], doc_bytes=self._doc(begin))
+                    i = self.match[i]
+                    begin = i + 1
                 elif i and self.t[i - 1].kind == "string":  # extern "C" {
                     begin = i + 1
-                else:
+                else:  # members, enumerators or values; what follows may still be a function's result type
                     i = self.match[i]
-            elif x == "}":
-                begin = i + 1
             i += 1
 
     def _find_rust(self) -> None:
@@ -186,7 +225,7 @@ class Parser:
                 self._with_body(i - 1 if self.text(i - 1) == "async" else i, self._type_arguments(k), name, need=True, declared=bool(name))
             elif t.text == "=>" and t.kind == "mark":
                 self._arrow(i)
-            elif t.text == "(" and t.kind == "mark" and self.word(i - 1):
+            elif t.text == "(" and t.kind == "mark":
                 self._method(i)
 
     def _class_body(self, i: int) -> int | None:
@@ -233,21 +272,49 @@ class Parser:
         return True
 
     def _method(self, paren: int) -> None:
-        name = paren - 1
+        """A method of a class or an object: generic, private, computed, string-named and generator methods too; only plain names are kept."""
         close = self.match[paren] + 1
-        if self.text(name) in ("if", "for", "while", "switch", "catch", "function", "return", "with", "super") or (self.text(close) not in ("{", ":") or self.text(name - 1) in (".", "new", "function")):
+        if self.text(close) not in ("{", ":"):
+            return
+        at = self._before_type_arguments(paren - 1)
+        if self.text(at) == "]" and self.t[at].kind == "mark":
+            first = self.match[at]
+        elif at >= 0 and self.t[at].kind in ("word", "string", "number"):
+            first = at
+        else:
             return
-        first = name
-        while self.text(first - 1) in ("async", "static", "get", "set", "public", "private", "protected", "readonly", "override", "abstract"):
+        name = self.text(at) if self.word(at) and self.text(at - 1) != "#" else "<anonymous>"
+        if self.word(at) and self.text(at) in ("if", "for", "while", "switch", "catch", "function", "return", "with", "super") or self.text(first - 1) in (".", "?.", "new", "function"):
+            return
+        while self.text(first - 1) in _MODIFIERS:
             first -= 1
         before = self.text(first - 1)
         holder = self._holder(first)
-        if holder is None or self.text(holder) != "{" or before == "*":
+        if holder is None or self.text(holder) != "{":
             return
         in_class = holder in self.classes
         in_object = not in_class and before in ("{", ",") and self.text(holder - 1) in ("=", "(", ",", ":", "return", "=>", "[", "default")
-        if (in_class and before in ("{", "}", ";", ",")) or in_object:
-            self._with_body(first, paren, self.text(name), need=False, declared=True)
+        fresh = before in ("{", "}", ";", ",") or self.t[first - 1].row < self.t[at].row
+        decorated = before == ")" and self.text(self.match[first - 1] - 2) == "@" or self.text(first - 2) == "@"
+        if (in_class and (fresh or decorated)) or in_object:
+            self._with_body(first, paren, name, need=False, declared=True)
+
+    def _before_type_arguments(self, k: int) -> int:
+        """``k``, or the place before the type arguments that end at it."""
+        if self.text(k) not in (">", ">="):
+            return k
+        depth = 0
+        while k >= 0:
+            x = self.text(k)
+            if x in _CLOSE and self.t[k].kind == "mark":
+                k = self.match[k]
+            elif x in (";", "{", "("):
+                return -1
+            depth += (x == ">") - (x == "<")
+            k -= 1
+            if not depth:
+                return k
+        return -1
 
     def _holder(self, i: int) -> int | None:
         k = i - 1
@@ -364,7 +431,7 @@ class Parser:
                 fresh = False
                 continue
             t, x = self.t[k], self.text(k)
-            if t.kind == "word" and x not in self.spec.keywords:
+            if t.kind == "word" and x not in self.spec.keywords and not (self.text(k - 1) == "#" and self.spec.name in ("ts", "tsx")):
                 f.identifiers.append(x)
                 self._path(f, k)
             if x in _SEPARATORS or x in ("{", "}"):
@@ -528,7 +595,7 @@ class Parser:
         elif rust and t.kind == "mark" and x == "!" and self.ident(k - 1) and self.text(k + 1) in _OPEN:
             f.statements += 1
         if fresh and t.kind in ("word", "string", "number", "mark") and x not in ("}", ")", ";", "{", "]", ","):
-            plain = t.kind != "word" or x not in self.spec.keywords or x in ("this", "self", "await", "new", "delete", "super")
+            plain = t.kind != "word" or x not in self.spec.keywords or x in ("this", "self", "await", "yield", "new", "delete", "super", "typeof", "void")
             if c and t.kind == "word" and (x in ("const", "static", "struct", "unsigned", "signed", "enum", "volatile") or x in ("int", "char", "float", "double", "long", "short", "bool", "size_t", "void") or (self.ident(k) and (self.ident(k + 1) or (self.text(k + 1) == "*" and self.ident(k + 2) and self.text(k + 3) in ("=", ";"))))):
                 f.statements += 1  # a declaration
             elif plain and self._ends_plainly(k):

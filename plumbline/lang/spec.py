@@ -29,7 +29,7 @@ class LanguageSpec:
 
 C = LanguageSpec(
     "c", ("c", "h"),
-    frozenset("auto break case const continue default do else enum extern for goto if inline register restrict return sizeof static struct switch typedef union volatile while NULL".split()) | _TYPES,
+    frozenset("auto break case const continue default do else enum extern for goto if inline register restrict return sizeof static struct switch typedef union volatile while NULL __attribute__".split()) | _TYPES,
     frozenset(("if", "for", "while", "do", "case", "default", "&&", "||", "?")), frozenset(("if", "for", "while", "do")), frozenset(("switch",)),
 )
 RUST = LanguageSpec(
