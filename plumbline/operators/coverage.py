@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..policy import THRESHOLDS
+from .history import overlapping
 
 
 def numbered_lines(text: DataFrame, column: str = "value", key: str | None = None) -> DataFrame:
@@ -15,8 +16,14 @@ def numbered_lines(text: DataFrame, column: str = "value", key: str | None = Non
     return text.select(report.alias("report"), F.posexplode(F.split(F.col(column), "\r?\n", -1)).alias("lineno", "line"))
 
 
+#: Line numbers and counts have 32 bits.
+MOST = 0xFFFFFFFF
+
+
 def _number(part: Column) -> Column:
-    return F.when(part.rlike(r"^\+?[0-9]+$"), part.try_cast("long")).cast("long")
+    """An unsigned number of 32 bits; null for all else, as for blanks around it."""
+    number = F.when(part.rlike(r"^\+?[0-9]+\z"), part.try_cast("decimal(38,0)"))
+    return F.when(number <= MOST, number).cast("long")
 
 
 def framed(lines: DataFrame) -> DataFrame:
@@ -32,7 +39,7 @@ def framed(lines: DataFrame) -> DataFrame:
     following = Window.partitionBy("report").orderBy("lineno").rowsBetween(0, Window.unboundedFollowing)
     later = F.first(F.when(opens, F.col("lineno")), True).over(following)
     record = F.when(inside, F.col("_opened")).otherwise(later)
-    paths = lines.where(opens).select("report", F.col("lineno").alias("record"), F.expr("trim(substring(line, 4))").alias("path"))
+    paths = lines.where(opens).select("report", F.col("lineno").alias("record"), F.expr("substring(line, 4)").alias("path"))
     last = paths.groupBy("report", "path").agg(F.max("record").alias("record"))
     return marked.withColumn("record", record).join(last, ["report", "record"]).select("report", "lineno", "line", "record", "path")
 
@@ -51,7 +58,7 @@ def lcov(lines: DataFrame, root: str = "") -> tuple[DataFrame, DataFrame]:
     da = da.select("path", _number(F.get("_p", F.lit(0))).alias("line"), _number(F.get("_p", F.lit(1))).alias("hits"), "lineno").where("line is not null and hits is not null")
     cov_lines = da.groupBy("path", "line").agg(F.max_by("hits", "lineno").alias("hits"))
     br = f.where(F.col("line").startswith("BRDA:")).withColumn("_p", F.split(F.expr("substring(line, 6)"), ",", -1)).where(F.size("_p") >= 4)
-    cov_branches = br.select("path", _number(F.get("_p", F.lit(0))).alias("line"), (F.trim(F.get("_p", F.lit(3))) != "-").alias("taken")).where("line is not null")
+    cov_branches = br.select("path", _number(F.get("_p", F.lit(0))).alias("line"), (F.get("_p", F.lit(3)) != "-").alias("taken")).where("line is not null")
     return cov_lines, cov_branches
 
 
@@ -60,11 +67,11 @@ def function_coverage(functions: DataFrame, cov_lines: DataFrame, cov_branches:
 
     A function without a relevant line has coverage 0; without a branch its branch coverage is null.
     """
-    f = functions.select("key", "file", F.col("line").alias("_first"), F.col("end_line").alias("_last"))
+    f = functions.select("key", "file", "line", "end_line")
     covered = f.join(cov_lines.select(F.col("path").alias("file")).union(cov_branches.select(F.col("path").alias("file"))).distinct(), "file", "left_semi")
-    within = lambda c: (F.col("file") == F.col("path")) & F.col("line").between(F.col("_first"), F.col("_last"))
-    lines = covered.join(cov_lines, within(cov_lines)).groupBy("key").agg((F.count_if(F.col("hits") > 0) / F.count("*")).alias("line_coverage"))
-    branches = covered.join(cov_branches, within(cov_branches)).groupBy("key").agg((F.count_if("taken") / F.count("*")).alias("branch_coverage"))
+    points = lambda c: c.withColumn("start_line", F.col("line")).withColumnRenamed("line", "end_line")
+    lines = overlapping(covered, points(cov_lines)).groupBy("key").agg((F.count_if(F.col("hits") > 0) / F.count("*")).alias("line_coverage"))
+    branches = overlapping(covered, points(cov_branches)).groupBy("key").agg((F.count_if("taken") / F.count("*")).alias("branch_coverage"))
     out = covered.select("key").join(lines, "key", "left").join(branches, "key", "left").withColumn("line_coverage", F.coalesce("line_coverage", F.lit(0.0)))
     return out.withColumn("coverage_gap", F.lit(1.0) - F.col("line_coverage"))
 

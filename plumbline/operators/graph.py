@@ -32,6 +32,30 @@ def coupling(functions: DataFrame, edges: DataFrame) -> DataFrame:
     return out.withColumn("instability", X.instability("fan_in", "fan_out"))
 
 
+def coupling_counts(functions: DataFrame, calls: DataFrame) -> DataFrame:
+    """As :func:`coupling` without the names: fans, instability and ``has_caller`` from sums by name.
+
+    A function's callers are those of its name but itself, and a name leads to as many functions as
+    files have it. So calls are counted by name and by caller, and no edge from each caller of a
+    name to each function of that name is ever made.
+    """
+    f = functions.select("key", "file", "name")
+    d = calls.select("caller", "callee_name").distinct().join(f.select(F.col("key").alias("caller"), F.col("file").alias("_file"), F.col("name").alias("_name")), "caller")
+    refs = d.groupBy("callee_name", "_file", "_name").agg(F.count("*").alias("_k"))
+    by_name = refs.groupBy(F.col("callee_name").alias("name")).agg(F.count("*").alias("_refs"), F.sum("_k").alias("_callers"))
+    places = f.groupBy("name", "file").agg(F.count("*").alias("_same"))
+    files = places.groupBy(F.col("name").alias("callee_name")).agg(F.count("*").alias("_files"))
+    # calls of a function's own name: itself is neither its caller nor its callee, but another of its file and name is
+    own = d.where("callee_name = _name").join(refs, ["callee_name", "_file", "_name"]).select(F.col("caller").alias("key"), F.col("_k").alias("_own"))
+    out_ = d.join(files, "callee_name").groupBy(F.col("caller").alias("key")).agg(F.sum("_files").alias("_out"))
+    wide = functions.join(by_name, "name", "left").join(own, "key", "left").join(out_, "key", "left").join(places, ["name", "file"])
+    calls_itself = F.col("_own").isNotNull()
+    wide = wide.withColumn("has_caller", F.coalesce(F.col("_callers") - calls_itself.cast("long"), F.lit(0)) > 0)
+    wide = wide.withColumn("fan_in", F.coalesce(F.col("_refs") - (calls_itself & (F.col("_own") == 1)).cast("long"), F.lit(0)).cast("long"))
+    wide = wide.withColumn("fan_out", F.coalesce(F.col("_out") - (calls_itself & (F.col("_same") == 1)).cast("long"), F.lit(0)).cast("long"))
+    return wide.withColumn("instability", X.instability("fan_in", "fan_out")).select(*functions.columns, "has_caller", "fan_in", "fan_out", "instability")
+
+
 def reachability(functions: DataFrame) -> DataFrame:
     """``is_reachable`` and the final ``kind``, from ``kind``, ``has_caller``, ``file`` and ``name``; one hop, no traversal."""
     test = (F.col("kind") == "test_entry") | X.is_test_file("file")

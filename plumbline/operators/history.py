@@ -19,17 +19,19 @@ from .lineage import cut
 def churn(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Distinct commits, bug fixes and authors of each key, the trailing windows and their scores.
 
-    A key's commits are reduced first, with map-side combining, so no distinct aggregate has to
-    expand its rows; windows are anchored on the key's own last change.
+    A key's commits are reduced first, with map-side combining, each with its authors; then a row
+    for each author of a commit, of which one counts the commit, gives all of a key's figures in
+    one aggregation. ``changes`` is read once. Windows are anchored on the key's own last change.
     """
     keys = list(keys)
-    commits = changes.groupBy(*keys, "commit").agg(F.max(F.col("is_bug_fix").cast("int")).alias("_bug"), F.max("ts").alias("_ts"))
-    last = F.max("_ts").over(Window.partitionBy(*keys))
-    dated = commits.withColumn("_last", last)
-    counts = [F.sum((F.col("_ts") >= F.col("_last") - d * DAY).cast("int")).alias(f"d{d}_modifications") for d in (7, 30, 90)]
-    by_key = dated.groupBy(*keys).agg(F.count("*").alias("times_modified"), F.sum("_bug").cast("long").alias("bug_fix_commits"), F.max("_ts").alias("last_modified"), *counts)
-    authors = changes.select(*keys, "author").distinct().groupBy(*keys).agg(F.greatest(F.count("author"), F.lit(1)).alias("authors_count"))
-    out = by_key.join(authors, keys)
+    commits = changes.groupBy(*keys, "commit").agg(F.max(F.col("is_bug_fix").cast("int")).alias("_bug"), F.max("ts").alias("_ts"), F.collect_set("author").alias("_authors"))
+    dated = commits.withColumn("_last", F.max("_ts").over(Window.partitionBy(*keys)))
+    each = dated.select(*keys, "_bug", "_ts", "_last", F.posexplode_outer("_authors").alias("_nth", "_author")).withColumn("_one", (F.coalesce("_nth", F.lit(0)) == 0).cast("int"))
+    counts = [F.sum(F.when(F.col("_ts") >= F.col("_last") - d * DAY, F.col("_one")).otherwise(0)).alias(f"d{d}_modifications") for d in (7, 30, 90)]
+    out = each.groupBy(*keys).agg(
+        F.sum("_one").alias("times_modified"), F.sum(F.col("_bug") * F.col("_one")).cast("long").alias("bug_fix_commits"), F.max("_ts").alias("last_modified"), *counts,
+        F.greatest(F.countDistinct("_author"), F.lit(1)).alias("authors_count"),
+    )
     out = out.withColumn("churn_score", X.churn_score("times_modified", "bug_fix_commits", "authors_count"))
     for d in (7, 30, 90):
         out = out.withColumn(f"d{d}_score", X.recent_score(f"d{d}_modifications", "authors_count"))
@@ -65,22 +67,33 @@ def rename_aliases(renames: DataFrame) -> DataFrame:
     return renames.groupBy("old_path").agg(F.max_by("new_path", "seq").alias("new_path"))
 
 
+def _chain_ends(step: DataFrame, steps: int) -> DataFrame:
+    """``old_path, path, _moved``: each path after ``2**steps`` renames, or at its chain's end; whether the last round still moved it."""
+    at = step.select("old_path", F.col("new_path").alias("path"))
+    for _ in range(steps):
+        jump = at.select(F.col("old_path").alias("path"), F.col("path").alias("_next"))
+        at = cut(at.select("old_path", "path").join(jump, "path", "left").select("old_path", F.coalesce("_next", "path").alias("path"), F.col("_next").isNotNull().alias("_moved")))
+        if at.where("_moved").isEmpty():
+            break
+    return at
+
+
 def rename_closure(aliases: DataFrame) -> DataFrame:
     """``old_path, final_path``: the end of each path's chain; a chain that turns into a cycle ends where it first comes back.
 
-    One join for each step of the longest chain, over the paths still under way.
+    By pointer jumping: each round doubles the steps taken, so a chain of a million renames takes
+    twenty joins. What still moves after as many steps as there are renames is on a cycle, and the
+    places it has come to are the cycles' paths; these end at themselves, and chains that lead to them, there.
     """
-    step = aliases.where("old_path is not null and new_path is not null").select("old_path", "new_path")
-    done = None
-    under_way = step.select("old_path", F.col("new_path").alias("path"), F.array("old_path").alias("_seen"))
-    while True:
-        at = under_way.join(step.select(F.col("old_path").alias("path"), F.col("new_path").alias("_next")), "path", "left")
-        at = cut(at.withColumn("_ended", F.col("_next").isNull() | F.array_contains("_seen", F.col("path"))))
-        ended = at.where("_ended").select("old_path", F.col("path").alias("final_path"))
-        done = ended if done is None else done.unionByName(ended)
-        under_way = at.where("not _ended").select("old_path", F.col("_next").alias("path"), F.array_append("_seen", F.col("path")).alias("_seen"))
-        if under_way.isEmpty():
-            return done
+    step = cut(aliases.where("old_path is not null and new_path is not null").select("old_path", "new_path"))
+    steps = step.count().bit_length() + 1  # one more round, in which chains that have ended stand still
+    at = _chain_ends(step, steps)
+    moving = at.where("_moved")
+    if moving.isEmpty():
+        return at.select("old_path", F.col("path").alias("final_path"))
+    cycles = cut(moving.select(F.col("path").alias("old_path")).distinct())
+    rest = _chain_ends(step.join(cycles, "old_path", "left_anti"), steps)
+    return rest.select("old_path", F.col("path").alias("final_path")).unionByName(cycles.withColumn("final_path", F.col("old_path")))
 
 
 def with_renames(changes: DataFrame, closure: DataFrame) -> DataFrame:

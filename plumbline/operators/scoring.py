@@ -12,45 +12,53 @@ from ..policy import METRICS
 from .lineage import cut
 
 
+#: Ranges of values at most; a range is ranked by one task.
+RANGES = 512
+
+
 def _bounds(df: DataFrame, columns: Sequence[str]) -> list[list[float]]:
     """Rough quantiles that cut each column into one range for each shuffle partition; results don't depend on them."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = min(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)]).approxQuantile([f"_{i}" for i in range(len(columns))], [k / n for k in range(1, n)] or [0.5], 0.01)
     return [sorted(set(b)) for b in found]
 
 
-def value_ranks(df: DataFrame, column: str, bounds: Sequence[float]) -> DataFrame:
-    """``value, n, less``: each distinct non-null value, its rows, and the rows with smaller values.
+def _range(value: Column, bounds: Sequence[float], first: int = 0) -> Column:
+    """The number of bounds up to ``value``, by a balanced tree of comparisons."""
+    if not bounds:
+        return F.lit(first)
+    k = len(bounds) // 2
+    return F.when(value < F.lit(float(bounds[k])), _range(value, bounds[:k], first)).otherwise(_range(value, bounds[k + 1 :], first + k + 1))
+
+
+def value_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``metric, value, n, less, total``: each column's distinct non-null values, their rows, the rows with smaller values and all rows.
 
-    Running sums are within ranges of values; a range's offset comes from the few ranges' totals,
-    so no task sorts the whole column.
+    All columns are counted by value in one pass, with map-side combining. Running sums are within
+    ranges of values; a range's offset comes from the ranges' totals, RANGES a column at most, so no
+    task sorts a whole column. ``df`` is read twice: cut it first where it isn't a scan.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("value")).agg(F.count("*").alias("n"))
-    part = F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>"), lambda b: b <= F.col("value")))
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns]))
+    counts = df.select(pairs.alias("_p")).select("_p.*").where("value is not null").groupBy("metric", "value").agg(F.count("*").alias("n"))
+    part = F.lit(0)
+    for c, b in zip(columns, _bounds(df, columns), strict=True):
+        part = F.when(F.col("metric") == c, _range(F.col("value"), b)).otherwise(part)
     ranged = counts.withColumn("_part", part)
-    totals = ranged.groupBy("_part").agg(F.sum("n").alias("_t"))
-    offset = totals.select("_part", (F.sum("_t").over(Window.orderBy("_part")) - F.col("_t")).alias("_before"))
-    inside = F.sum("n").over(Window.partitionBy("_part").orderBy("value")) - F.col("n")
-    return ranged.withColumn("_in", inside).join(F.broadcast(offset), "_part").select("value", "n", (F.col("_before") + F.col("_in")).alias("less"))
+    totals = ranged.groupBy("metric", "_part").agg(F.sum("n").alias("_t"))
+    every = Window.partitionBy("metric")
+    offset = totals.select("metric", "_part", (F.sum("_t").over(every.orderBy("_part")) - F.col("_t")).alias("_before"), F.sum("_t").over(every).alias("total"))
+    inside = F.sum("n").over(Window.partitionBy("metric", "_part").orderBy("value")) - F.col("n")
+    return ranged.withColumn("_in", inside).join(F.broadcast(offset), ["metric", "_part"]).select("metric", "value", "n", (F.col("_before") + F.col("_in")).alias("less"), "total")
 
 
 def order_statistics(df: DataFrame, columns: Sequence[str], percents: Sequence[int] = (95, 99)) -> DataFrame:
-    """``metric, n, max_value, p95, p99``: the value at index ``n * p div 100`` of each sorted column, nulls left out.
-
-    All columns are read in one pass and counted by value, with map-side combining; the running
-    sum of a column is over its distinct values, few for counts and what is derived from them.
-    """
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns]))
-    counts = df.select(pairs.alias("_p")).select("_p.*").where("value is not null").groupBy("metric", "value").agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy("metric").orderBy("value"))
-    total = F.sum("_n").over(Window.partitionBy("metric"))
-    placed = counts.withColumn("_upto", upto).withColumn("_total", total)
+    """``metric, n, max_value, p95, p99``: the value at index ``n * p div 100`` of each sorted column, nulls left out."""
 
     def pick(p: int) -> Column:
-        index = F.least(F.floor(F.col("_total") * p / 100), F.col("_total") - 1)
-        return F.max(F.when((F.col("_upto") - F.col("_n") <= index) & (index < F.col("_upto")), F.col("value"))).alias(f"p{p}")
+        index = F.least(F.floor(F.col("total") * p / 100), F.col("total") - 1)
+        return F.max(F.when((F.col("less") <= index) & (index < F.col("less") + F.col("n")), F.col("value"))).alias(f"p{p}")
 
-    return placed.groupBy("metric").agg(F.max("_total").alias("n"), F.max("value").alias("max_value"), *[pick(p) for p in percents])
+    return value_ranks(df, columns).groupBy("metric").agg(F.max("total").alias("n"), F.max("value").alias("max_value"), *[pick(p) for p in percents])
 
 
 def capped(stats: DataFrame) -> DataFrame:
@@ -67,19 +75,20 @@ def caps_row(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def with_percentiles(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     """``df`` with percentile ranks: ``columns`` maps a value to the new column; 100 where there is one row at most."""
     df = cut(df)  # it is read for the bounds, the counts and the result
-    bounds = _bounds(df, list(columns))
-    total = df.agg(F.count("*").alias("_rows"))
-    out = df.crossJoin(F.broadcast(total))
-    for (c, name), b in zip(columns.items(), bounds, strict=True):
-        ranks = value_ranks(df, c, b).select(F.col("value").alias("_v"), F.col("less").alias("_less"))
+    rows = df.agg(F.count("*").alias("_rows"))
+    ranks = value_ranks(df, list(columns))
+    out = df.crossJoin(F.broadcast(rows))
+    for c, name in columns.items():
+        own = ranks.where(F.col("metric") == c).select(F.col("value").alias("_v"), F.col("less").alias("_less"))
         rank = F.when(F.col("_rows") <= 1, F.lit(100.0)).otherwise(F.col("_less") / (F.col("_rows") - 1) * F.lit(100.0))
-        out = out.join(ranks, F.col(c).cast("double") == F.col("_v"), "left").withColumn(name, rank).drop("_v", "_less")
+        out = out.join(own, F.col(c).cast("double") == F.col("_v"), "left").withColumn(name, rank).drop("_v", "_less")
     return out.drop("_rows")
 
 
 def normalised(df: DataFrame, metrics: Mapping[str, str]) -> DataFrame:
     """``df`` with ``norm_<metric>`` for each of METRICS in ``metrics`` (metric: column), against the columns' own caps."""
     columns = list(metrics.values())
+    df = cut(df)  # it is read for the caps and the result
     caps = caps_row(df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns]), columns)
     out = df.crossJoin(F.broadcast(caps))
     for m, c in metrics.items():
