@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import subprocess
+import tempfile
 import tomllib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,9 +32,10 @@ CHANGES = "commit string, parent long, path string, start_line long, end_line lo
 COMMITS = "commit string, parents array<string>, email string, name string, ts long, message string, seq long"
 
 
-def git(root: str, *args: str) -> str:
-    done = subprocess.run(["git", "-c", "core.quotepath=false", "-c", "safe.directory=*", "-C", root, *args], capture_output=True, text=True, errors="replace", check=True)
-    return done.stdout
+def git(root: str, *args: str, **env: str) -> str:
+    """What git prints, with its own line ends."""
+    done = subprocess.run(["git", "-c", "core.quotepath=false", "-c", "safe.directory=*", "-C", root, *args], capture_output=True, check=True, env=os.environ | env)
+    return done.stdout.decode(errors="replace")
 
 
 @dataclass
@@ -63,14 +65,34 @@ def head(root: str, notes: Diagnostics) -> tuple[str, str, str]:
 
 
 def walk(root: str, notes: Diagnostics) -> list[str]:
-    """Relative paths of supported files, ignored ones left out, hidden ones kept."""
+    """Relative paths of supported files, hidden ones kept.
+
+    Files that a ``.ignore`` matches are left out; in a repository, those that its ignore rules match too, tracked or not.
+    """
     try:
-        found = [p for p in git(root, "ls-files", "-co", "--exclude-standard", "-z").split("\0") if p]
+        found = _listed(root, "--exclude-standard") - _listed(root, "-i", "--exclude-per-directory=.ignore")
     except (subprocess.CalledProcessError, FileNotFoundError):
-        found = []
+        found = set()
         for folder, _, names in os.walk(root, onerror=lambda e: notes.warn("walk_entry_failed", e)):
-            found += [os.path.relpath(os.path.join(folder, n), root) for n in names]
-    return sorted({p for p in found if p.rpartition(".")[2] in BY_EXTENSION and "." in os.path.basename(p) and os.path.isfile(os.path.join(root, p))})
+            found |= {os.path.relpath(os.path.join(folder, n), root) for n in names}
+        found -= _ignored_outside(root)
+    return sorted(p for p in found if p.rpartition(".")[2] in BY_EXTENSION and "." in os.path.basename(p) and os.path.isfile(os.path.join(root, p)))
+
+
+def _listed(root: str, *options: str) -> set[str]:
+    every = lambda *x: {p for p in git(root, "ls-files", "-co", "-z", *x).split("\0") if p}
+    return every(*options) if "-i" in options else every(*options) - every("-i", *options)
+
+
+def _ignored_outside(root: str) -> set[str]:
+    """Files below a folder without a repository that a ``.ignore`` matches, by an empty repository made for the question."""
+    with tempfile.TemporaryDirectory() as empty:
+        try:
+            git(empty, "init", "-q", "--bare")
+            env = {"GIT_DIR": empty, "GIT_WORK_TREE": root}
+            return {p for p in git(root, "ls-files", "-o", "-i", "-z", "--exclude-per-directory=.ignore", **env).split("\0") if p}
+        except (subprocess.CalledProcessError, FileNotFoundError):
+            return set()
 
 
 def hashed(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
@@ -127,30 +149,34 @@ def commits(spark: SparkSession, root: str, since: str | None = None) -> DataFra
     return spark.createDataFrame(rows, COMMITS)
 
 
+_HUNK = re.compile(r"@@ -\S+ \+(\d+)(?:,(\d+))? @@")
+
+
 def _diff(root: str, parent: str, commit: str) -> Iterator[tuple[str, int, int, str | None]]:
-    """Path, range and, of a rename, the old path, of each changed range against one parent."""
-    path, old, ranges = None, None, 0
-    text = git(root, "diff-tree", "-r", "-U0", "-M", "-p", "--no-color", "--no-ext-diff", parent, commit)
-    left = ""
-    for line in [*text.split("\n"), "diff --git end"]:
+    """Path, range and, of a rename, the old path, of each changed range against one parent; a change without hunks is of the whole file.
+
+    Paths come from the raw list, whose entries and the patch's sections have one order. A line of
+    the patch that begins with ``diff --git`` or ``@@`` is never content, which has a sign before it.
+    """
+    text = git(root, "diff-tree", "-r", "-U0", "-M", "-z", "--raw", "-p", "--no-color", "--no-ext-diff", parent, commit)
+    sections: list[tuple[str, str | None]] = []
+    while text.startswith(":"):
+        meta, path, text = text.split("\0", 2)
+        status, old = meta.split()[-1], None
+        if status[0] in "RC":
+            old, (path, text) = path, text.split("\0", 1)
+        # a change of type is a removal and an addition
+        sections += [(path, old if status[0] == "R" else None)] * (1 + (status[0] == "T"))
+    hunks: list[list[tuple[int, int]]] = []
+    for line in text.lstrip("\0\n").split("\n"):
         if line.startswith("diff --git "):
-            if path is not None and not ranges:
-                yield path, 1, WHOLE_FILE_END, old
-            m = re.match(r"diff --git a/(.*) b/(.*)$", line)
-            path, old, ranges, left = (m[2] if m else None), None, 0, ""
-        elif line.startswith("rename from "):
-            old = line[12:]
-        elif line.startswith("rename to "):
-            path = line[10:]
-        elif line.startswith("--- ") and not ranges:
-            left = line[4:].removeprefix("a/").rstrip("\t")
-        elif line.startswith("+++ ") and not ranges:
-            right = line[4:].rstrip("\t")
-            path = left if right == "/dev/null" else right.removeprefix("b/")
-        elif line.startswith("@@ ") and (m := re.match(r"@@ -\S+ \+(\d+)(?:,(\d+))? @@", line)):
+            hunks.append([])
+        elif line.startswith("@@ ") and (m := _HUNK.match(line)):
             start = max(int(m[1]), 1)
-            yield path, start, start + max(int(m[2] or 1), 1) - 1, old
-            ranges += 1
+            hunks[-1].append((start, start + max(int(m[2] or 1), 1) - 1))
+    for (path, old), ranges in zip(sections, hunks, strict=True):
+        for start, end in ranges or [(1, WHOLE_FILE_END)]:
+            yield path, start, end, old
 
 
 def changed_ranges(history: DataFrame, root: str) -> DataFrame:

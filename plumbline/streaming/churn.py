@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import history as H
 
 
-def append_changes(stream: DataFrame, facts: str, checkpoint: str, then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+def append_changes(stream: DataFrame, facts: str, checkpoint: str) -> StreamingQuery:
     """Appends a stream's line changes to the Parquet facts at ``facts``, a folder for each batch.
 
     A batch that is run again after a failure replaces its own folder, so each change is kept
@@ -20,8 +17,6 @@ def append_changes(stream: DataFrame, facts: str, checkpoint: str, then: Callabl
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{facts}/batch={number}")
-        if then is not None:
-            then(batch, number)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -29,10 +24,3 @@ def append_changes(stream: DataFrame, facts: str, checkpoint: str, then: Callabl
 def stored_churn(spark: SparkSession, facts: str) -> DataFrame:
     """Churn of each path over all batches so far."""
     return H.churn(spark.read.parquet(facts).drop("batch"), ["path"])
-
-
-def windowed_commits(stream: DataFrame, late: str = "30 days", window: str = "7 days") -> DataFrame:
-    """Changes and changed lines of each path by tumbling event-time windows; changes later than ``late`` are dropped."""
-    timed = stream.withColumn("at", F.timestamp_seconds("ts")).withWatermark("at", late)
-    lines = F.sum(F.col("end_line") - F.col("start_line") + 1).alias("changed_lines")
-    return timed.groupBy(F.window("at", window), "path").agg(F.count("*").alias("changes"), lines)
