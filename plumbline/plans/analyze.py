@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import logging
 import os
 import subprocess
 
 import xxhash
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +20,10 @@ from ..operators import scoring as S
 from ..operators.lineage import cut
 from ..policy import SCHEMA_VERSION, THRESHOLDS, WEIGHTS
 from ..sources import repository as repo
-from ..sources.state import Meta, State
+from ..sources.state import Meta, State, default_folder
 
 TOOL = "plumbline"
+log = logging.getLogger(TOOL)
 SORT_COLUMNS = {"churn_score": "churn_score", "risk": "final_score", "cognitive": "cognitive", "cyclomatic": "cyclomatic", "loc": "loc"}
 METRIC_COLUMNS = {"cognitive": "cognitive", "churn": "churn_score", "churn_recent": "churn_recent", "fan_in": "fan_in", "cyclomatic": "cyclomatic", "loc": "loc", "authors": "authors_count", "coverage_gap": "coverage_gap"}
 
@@ -59,11 +62,14 @@ def _history(spark: SparkSession, root: str, state: State, meta: Meta, patterns:
     return cut(changes), cut(renames)
 
 
-def analyze(spark: SparkSession, path: str, sort: str | None = None, limit: int | None = None, include_authors: bool = False, state_dir: str | None = None) -> DataFrame:
-    """One row with ``report``, the JSON document of the repository at ``path``.
+def analyze(spark: SparkSession, path: str, sort: str | None = None, limit: int | None = None, include_authors: bool = False, state_dir: str | None = None, rows: bool = False) -> DataFrame:
+    """One row with ``report``, the JSON document of the repository at ``path``; or, with ``rows``, a row for each function.
 
-    ``state_dir`` (``<path>/.plumbline`` by default) keeps what the next run can use again; it
-    isn't written for a repository without functions or with unreadable commits.
+    ``state_dir`` keeps what the next run can use again: a folder, or a URI of a file system that
+    Spark knows. By default it is ``<path>/.plumbline``, and on a cluster a folder beside
+    ``spark.checkpoint.dir``'s. It isn't written for a repository without functions or with
+    unreadable commits. ``path`` must be mounted where executors run. The document is one value, so
+    a repository whose report is over a gigabyte needs ``rows``.
     """
     root = os.path.realpath(path)
     if not os.path.isdir(root):
@@ -71,17 +77,16 @@ def analyze(spark: SparkSession, path: str, sort: str | None = None, limit: int
     notes = repo.Diagnostics()
     branch, commit, when = repo.head(root, notes)
     patterns = repo.bug_fix_patterns(root, TOOL, notes)
-    folder = state_dir or os.path.join(root, f".{TOOL}")
-    state = State(spark, folder)
+    state = State(spark, state_dir or default_folder(spark, root, TOOL))
     cache = {"enabled": True, "loaded": False, "saved": False, "ast_hits": 0, "ast_misses": 0}
     try:
-        os.makedirs(folder, exist_ok=True)
-    except OSError as e:
+        state.prepare()
+    except (OSError, Py4JJavaError) as e:
         cache["enabled"] = False
         notes.warn("cache_unavailable", e)
     try:
         cache["loaded"] = state.load()
-    except (ValueError, KeyError, TypeError, OSError) as e:
+    except (ValueError, KeyError, TypeError, OSError, Py4JJavaError) as e:
         notes.warn("cache_load_failed", e)
     meta = Meta(root, branch, commit, xxhash.xxh3_128_hexdigest("\n".join(patterns).encode()))
     git = {"available": bool(commit), "partial": False, "cache_reset": False, "processed_commits": 0}
@@ -145,9 +150,7 @@ def analyze(spark: SparkSession, path: str, sort: str | None = None, limit: int
         f = f.withColumn("line_coverage", F.lit(None).cast("double")).withColumn("branch_coverage", F.lit(None).cast("double")).withColumn("coverage_gap", F.lit(None).cast("double"))
     calls = f.select(F.col("key").alias("caller"), F.explode("callee_names").alias("callee_name"))
     f = G.reachability(G.coupling(f, G.call_edges(calls, f.select("key", "name"))))
-    f = cut(f)
-    f = S.ranked(S.scored(S.normalised(f, METRIC_COLUMNS)), "churn_score", "cognitive") if n else f
-    f = cut(f) if n else f
+    f = cut(S.ranked(S.scored(S.normalised(f, METRIC_COLUMNS)), "churn_score", "cognitive"))
 
     _, fine = R.sort_metric(sort)
     if not fine:
@@ -158,8 +161,13 @@ def analyze(spark: SparkSession, path: str, sort: str | None = None, limit: int
         try:
             state.save(meta, functions=units, changes=changes, renames=renames)
             cache["saved"] = True
-        except OSError as e:
+        except (OSError, Py4JJavaError) as e:
             notes.warn("cache_save_failed", e)
+    log.info("%d functions, %d files skipped, %d commits read", n, len(notes.skipped), git["processed_commits"])
+    for code, message in notes.warnings:
+        log.warning("%s: %s", code, message)
+    if rows:
+        return R.sorted_report(f, sort, SORT_COLUMNS, limit).select(_function_struct(include_authors).alias("_f")).select("_f.*")
     return _report(spark, f, n, total_authors, active, sort, limit, include_authors, notes, git, cache, report is not None, (root, commit, branch, when))
 
 

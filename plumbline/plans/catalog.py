@@ -58,8 +58,11 @@ def part_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supplier_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier")
-    return s.select(F.concat(F.lit("s"), "s_suppkey").alias("key"), F.lit("lib").alias("file"), F.col("s_name").alias("name"), F.expr("cast(s_nationkey + 1 as bigint)").alias("lines_of_code"))
+    """A function for each supplier, quantity and line number; those of line 7 in two files."""
+    files = F.explode(F.when(F.col("n") == 7, F.array(F.lit("lib"), F.lit("lib2"))).otherwise(F.array(F.lit("lib"))))
+    s = table(spark, sf_dir, "supplier").select("*", F.explode(F.sequence(F.lit(1), F.lit(50))).alias("q")).select("*", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("n"))
+    s = s.select("*", files.alias("file"), F.concat_ws(".", "s_name", "q", "n").alias("name"))
+    return s.select(F.concat_ws("/", "file", "name").alias("key"), "file", "name", F.expr("cast(s_nationkey + 1 as bigint)").alias("lines_of_code"))
 
 
 def part_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,10 +71,12 @@ def part_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Returned items of the largest quantity: the part calls the supplier by name."""
-    x = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity >= 50")
-    s = table(spark, sf_dir, "supplier")
-    return x.join(s, x.l_suppkey == s.s_suppkey).select(F.concat(F.lit("p"), "l_partkey").alias("caller"), F.col("s_name").alias("callee_name"))
+    """Line items: the part calls the function of the supplier, the quantity and the line number, by name; every part whose key ends in 7 calls itself too."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    x = table(spark, sf_dir, "lineitem").join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    made = x.select(F.concat(F.lit("p"), "l_partkey").alias("caller"), F.concat_ws(".", "s_name", F.expr("cast(l_quantity as int)"), "l_linenumber").alias("callee_name"))
+    own = table(spark, sf_dir, "part").where("p_partkey % 10 = 7").select(F.concat(F.lit("p"), "p_partkey").alias("caller"), F.concat(F.lit("part"), "p_partkey").alias("callee_name"))
+    return made.unionByName(own)
 
 
 def all_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,9 +218,12 @@ def hotspots_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.hotspots(o)
 
 
-EDGES = """e AS (SELECT DISTINCT 'p' || l_partkey AS caller, 's' || s.s_suppkey AS callee FROM lineitem JOIN supplier x ON l_suppkey = x.s_suppkey JOIN supplier s ON s.s_name = x.s_name
-  WHERE l_returnflag = 'R' AND l_quantity >= 50),
-f AS (SELECT 's' || s_suppkey AS key, 'lib' AS file, s_name AS name, CAST(s_nationkey + 1 AS BIGINT) AS loc FROM supplier UNION ALL SELECT 'p' || p_partkey, 'app', 'part' || p_partkey, CAST(p_size AS BIGINT) FROM part)"""
+EDGES = """f AS (SELECT file || '/' || name AS key, file, name, CAST(s_nationkey + 1 AS BIGINT) AS loc FROM (
+    SELECT s_nationkey, s_name || '.' || q || '.' || n AS name, unnest(CASE WHEN n = 7 THEN ['lib', 'lib2'] ELSE ['lib'] END) AS file FROM supplier, range(1, 51) a(q), range(1, 8) b(n))
+  UNION ALL SELECT 'p' || p_partkey, 'app', 'part' || p_partkey, CAST(p_size AS BIGINT) FROM part),
+k AS (SELECT 'p' || l_partkey AS caller, s_name || '.' || CAST(l_quantity AS INT) || '.' || l_linenumber AS name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+  UNION ALL SELECT 'p' || p_partkey, 'part' || p_partkey FROM part WHERE p_partkey % 10 = 7),
+e AS (SELECT DISTINCT caller, key AS callee FROM k JOIN f USING (name) WHERE caller <> key)"""
 
 
 @query(f"""WITH {EDGES}, i AS (SELECT callee AS key, count(DISTINCT c.file || ':' || c.name) AS n FROM e JOIN f c ON c.key = caller GROUP BY 1), o AS (SELECT caller AS key, count(DISTINCT c.file || ':' || c.name) AS n FROM e JOIN f c ON c.key = callee GROUP BY 1)
@@ -223,21 +231,27 @@ SELECT f.key, coalesce(i.n, 0) AS fan_in, coalesce(o.n, 0) AS fan_out, round(CAS
 FROM f LEFT JOIN i USING (key) LEFT JOIN o USING (key)""")
 def coupling_fan_in_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = all_functions(spark, sf_dir)
-    return G.coupling(f, G.call_edges(calls(spark, sf_dir), f)).select("key", "fan_in", "fan_out", F.round("instability", 6).alias("instability"))
+    return G.coupling_counts(f, calls(spark, sf_dir)).select("key", "fan_in", "fan_out", F.round("instability", 6).alias("instability"))
 
 
-@query(f"WITH {EDGES} SELECT f.key, f.name FROM f ANTI JOIN e ON f.key = e.callee WHERE file = 'lib'")
+@query(f"""WITH {EDGES} SELECT f.key, string_agg(DISTINCT c.file || ':' || c.name, ' ' ORDER BY c.file || ':' || c.name) AS callers FROM f JOIN e ON e.callee = f.key JOIN f c ON c.key = e.caller GROUP BY f.key""")
+def callers_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = all_functions(spark, sf_dir)
+    return G.coupling(f, G.call_edges(calls(spark, sf_dir), f)).where("has_caller").select("key", F.concat_ws(" ", "callers").alias("callers"))
+
+
+@query(f"WITH {EDGES} SELECT f.key, f.name FROM f ANTI JOIN e ON f.key = e.callee WHERE file <> 'app'")
 def unreachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = all_functions(spark, sf_dir)
-    return G.uncalled(f, G.call_edges(calls(spark, sf_dir), f)).where("file = 'lib'").select("key", "name")
+    return G.uncalled(f, G.call_edges(calls(spark, sf_dir), f)).where("file <> 'app'").select("key", "name")
 
 
-@query(f"""WITH {EDGES}, r AS (SELECT f.*, key IN (SELECT callee FROM e) AS called, CAST(substr(key, 2) AS BIGINT) % 2 = 0 AND file = 'app' AS exported FROM f),
+@query(f"""WITH {EDGES}, r AS (SELECT f.*, key IN (SELECT callee FROM e) AS called, coalesce(file = 'app' AND TRY_CAST(substr(key, 2) AS BIGINT) % 2 = 0, false) AS exported FROM f),
 d AS (SELECT * FROM r WHERE NOT called AND NOT exported) SELECT count(*) AS unreachable_functions, CAST(coalesce(sum(loc), 0) AS BIGINT) AS unreachable_loc, count(*) AS safe_to_delete FROM d""")
 def dead_code_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = all_functions(spark, sf_dir)
-    exported = (F.expr("cast(substring(key, 2) as bigint) % 2 = 0")) & (F.col("file") == "app")
-    kinds = G.coupling(f, G.call_edges(calls(spark, sf_dir), f)).withColumn("kind", X.initial_reachability(F.lit(False), exported))
+    exported = F.when(F.col("file") == "app", F.expr("try_cast(substring(key, 2) as bigint) % 2 = 0")).otherwise(False)
+    kinds = G.coupling_counts(f, calls(spark, sf_dir)).withColumn("kind", X.initial_reachability(F.lit(False), exported))
     return G.dead_code(G.reachability(kinds))
 
 
@@ -248,7 +262,7 @@ def line_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def branch_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").where("l_linenumber > 2").select(F.col("l_partkey").alias("path"), F.expr("cast(l_quantity as bigint)").alias("line"), (F.col("l_linestatus") == "F").alias("taken"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("path"), F.expr("cast(l_quantity as bigint)").alias("line"), (F.col("l_linestatus") == "F").alias("taken"))
 
 
 def covered_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,7 +271,7 @@ def covered_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 COVERED = """h AS (SELECT l_partkey AS path, CAST(l_quantity AS BIGINT) AS line, max((l_returnflag <> 'R')::INT) AS hits FROM lineitem GROUP BY ALL),
-b AS (SELECT l_partkey AS path, CAST(l_quantity AS BIGINT) AS line, l_linestatus = 'F' AS taken FROM lineitem WHERE l_linenumber > 2),
+b AS (SELECT l_partkey AS path, CAST(l_quantity AS BIGINT) AS line, l_linestatus = 'F' AS taken FROM lineitem),
 f AS (SELECT p_partkey AS file, p_partkey || ':' || (1 + 25 * k) AS key, 1 + 25 * k AS lo, 25 + 25 * k AS hi FROM part, (VALUES (0), (1)) t(k) WHERE p_partkey IN (SELECT path FROM h)),
 lh AS (SELECT key, count(*) FILTER (hits > 0) / count(*)::DOUBLE AS c FROM f JOIN h ON file = path AND line BETWEEN lo AND hi GROUP BY 1),
 bh AS (SELECT key, count(*) FILTER (taken) / count(*)::DOUBLE AS c FROM f JOIN b ON file = path AND line BETWEEN lo AND hi GROUP BY 1),
@@ -292,14 +306,23 @@ def bugfix_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(X.is_bug_fix("text", PATTERNS), F.lit(False)).alias("is_bug_fix"))
 
 
-@query("""WITH s AS (SELECT doc_id, list_transform(string_split(regexp_replace(replace(text, 'T', '*'), '\\n$', ''), chr(10)), lambda x: trim(x)) AS l FROM documents)
+@query(r"""WITH s AS (SELECT doc_id, list_transform(string_split(regexp_replace(translate(text, 'T ', '*' || chr(9)), '\n$', ''), chr(10)), lambda x: regexp_replace(x, '^[\t\n\v\f\r\x{85}\p{Z}]+|[\t\n\v\f\r\x{85}\p{Z}]+$', '', 'g')) AS l FROM documents)
 SELECT doc_id, len(list_filter(l, lambda x: starts_with(x, '//') OR starts_with(x, '/*') OR starts_with(x, '*'))) AS comment_lines, len(list_filter(l, lambda x: x <> '')) AS solid_lines,
   round(CASE WHEN len(list_filter(l, lambda x: x <> '')) = 0 THEN 0.0 ELSE len(list_filter(l, lambda x: starts_with(x, '//') OR starts_with(x, '/*') OR starts_with(x, '*')))::DOUBLE / len(list_filter(l, lambda x: x <> '')) END, 6) AS comment_ratio FROM s""")
 def text_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.replace("text", F.lit("T"), F.lit("*"))
+    """Capital T as a comment's star, and tabs for blanks."""
+    t = F.translate("text", "T ", "*\t")
     return table(spark, sf_dir, "documents").select("doc_id", X.comment_lines(t).alias("comment_lines"), X.solid_lines(t).alias("solid_lines"), F.round(X.comment_ratio(t), 6).alias("comment_ratio"))
 
 
+@query("SELECT * FROM (VALUES (1, 2::BIGINT, 3::BIGINT), (2, 0, 0), (3, 1, 2), (4, 2, 2)) AS t(id, comment_lines, solid_lines)")
+def comment_lines_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comment and solid lines where tabs, no-break spaces and carriage returns surround them."""
+    texts = ["\t// a\n\t\n\t * b\nx", " \t\n\u00a0\n", "\u3000/* a\r\nb\r\n", "//\n*"]
+    d = spark.createDataFrame(list(enumerate(texts, 1)), "id int, text string")
+    return d.select("id", X.comment_lines("text").alias("comment_lines"), X.solid_lines("text").alias("solid_lines"))
+
+
 NEEDLES = ("the", "tion", "licensed", "en en")
 
 
@@ -418,13 +441,20 @@ def parse_functions_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(SOURCES, "path string, language string, text string").repartition(1).mapInArrow(parse, out).select("file", "name", *ints)
 
 
-LCOV = "DA:9,1\nSF:/repo/a.ts\nDA:1,1\nDA:2,0\nDA:2,3\nDA:3, 1\nBRDA:1,0,0,0\nBRDA:1,0,1,-\nend_of_record\nSF:b.ts\nDA:1,1\nend_of_record\nSF:b.ts\nDA:4,0\n"
+LCOV = (
+    "DA:9,1\nSF:/repo/a.ts\nDA:1,1\nDA:2,0\nDA:2,3\nDA:3, 1\nDA:7,4294967295\nDA:8,4294967296\nDA:4294967296,1\nBRDA:1,0,0,0\nBRDA:1,0,1,-\nBRDA:1,0,2, -\nBRDA:2,0,0\nBRDA: 3,0,0,1\nend_of_record\n"
+    "SF:b.ts\nDA:1,1\nend_of_record\nSF:b.ts\nDA:4,0\nBRDA:4,0,0,12\n"
+)
 
 
-@query("SELECT * FROM (VALUES ('a.ts', 9, 1), ('a.ts', 1, 1), ('a.ts', 2, 3), ('b.ts', 4, 0)) AS t(path, line, hits)")
+@query("SELECT * FROM (VALUES ('a.ts', 9::BIGINT, 1::BIGINT), ('a.ts', 1, 1), ('a.ts', 2, 3), ('a.ts', 7, 4294967295), ('b.ts', 4, 0)) AS t(path, line, hits)")
 def lcov_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, _ = C.lcov(C.numbered_lines(spark.createDataFrame([(LCOV,)], "value string")), "/repo")
-    return lines.select("path", F.col("line").cast("int").alias("line"), F.col("hits").cast("int").alias("hits"))
+    return C.lcov(C.numbered_lines(spark.createDataFrame([(LCOV,)], "value string")), "/repo")[0].select("path", "line", "hits")
+
+
+@query("SELECT * FROM (VALUES ('a.ts', 1::BIGINT, true), ('a.ts', 1, false), ('a.ts', 1, true), ('b.ts', 4, true)) AS t(path, line, taken)")
+def lcov_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.lcov(C.numbered_lines(spark.createDataFrame([(LCOV,)], "value string")), "/repo")[1].select("path", "line", "taken")
 
 
 @query(SQL["churn_by_part"])
