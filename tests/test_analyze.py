@@ -121,3 +121,66 @@ def test_without_functions_or_git(spark, tmp_path):
     assert {w["code"] for w in r["quality"]["warnings"]} == {"git_unavailable", "no_functions_found"} and r["functions"] == []
     with pytest.raises(FileNotFoundError):
         analyze(spark, str(tmp_path / "missing"))
+
+
+def test_fixture_queries_match_their_sql(spark):
+    import duckdb
+
+    from plumbline.plans import fixture
+
+    for name, query in fixture.QUERIES.items():
+        want = duckdb.sql(fixture.SQL[name])
+        got = query(spark, "")
+        columns = sorted(got.columns)
+        assert columns == sorted(want.columns), name
+        order = lambda rows: sorted(rows, key=str)
+        assert order(map(tuple, got.select(columns).collect())) == order(want.project(", ".join(f'"{c}"' for c in columns)).fetchall()), name
+
+
+def test_ignored_files(repository, tmp_path_factory):
+    from plumbline.sources import repository as repo
+
+    for path in ("a.ts", "b.ts", "build/c.ts", "sub/d.ts", "sub/e.ts", ".hidden/f.ts"):
+        repository.write(path, "const x = 1;\n")
+    repository.commit("all")
+    repository.write(".gitignore", "build/\n")
+    repository.write(".ignore", "b.ts\n")
+    repository.write("sub/.ignore", "e.ts\n")
+    notes = repo.Diagnostics()
+    assert repo.walk(str(repository.root), notes) == [".hidden/f.ts", "a.ts", "sub/d.ts"]
+    bare = tmp_path_factory.mktemp("bare")
+    for name in ("a.ts", "b.ts"):
+        (bare / name).write_text("const x = 1;\n")
+    (bare / ".ignore").write_text("b.ts\n")
+    assert repo.walk(str(bare), notes) == ["a.ts"]
+
+
+def test_diffs_of_awkward_paths_and_lines(spark, repository):
+    """Content that looks like headers, carriage returns within lines, names that git would quote."""
+    from plumbline.sources import repository as repo
+
+    names = ["plain.ts", "a b/x b/y.ts", 'quote".ts', "tab\t.ts", "naïve.ts"]
+    for n in names:
+        repository.write(n, "one\ntwo\nthree\n")
+    repository.commit("start")
+    for n in names:
+        repository.write(n, "one\n@@ -1 +99 @@\rdiff --git a/q b/q\nthree\n-- x\n")
+    repository.commit("change")
+    (repository.root / "moved to b").mkdir()
+    (repository.root / "plain.ts").rename(repository.root / "moved to b" / "plain.ts")
+    repository.commit("move")
+    got = {(r.path, r.start_line, r.end_line, r.old_path) for r in repo.changed_ranges(repo.commits(spark, str(repository.root)).where("size(parents) > 0"), str(repository.root)).collect()}
+    assert got == {(n, a, b, None) for n in names for a, b in ((2, 2), (4, 4))} | {("moved to b/plain.ts", 1, 1_000_000_000, "plain.ts")}
+
+
+def test_declarators_and_methods():
+    names = lambda text, language: [(f.name, first_lines(text, language)[i]) for i, f in enumerate(Parser(text, BY_NAME[language]).run())]
+    assert names("int (*q(int a))(int) {\n  return 0;\n}\nint f(void) __attribute__((cold)) {\n}\nstruct s { int a; } g(void) {\n}\nint a[] = { f(1), 2 };\nint last(void) {\n}\n", "c") == [("<anonymous>", 1), ("f", 4), ("g", 6), ("last", 9)]
+    methods = "class A<T> {\n m<U extends X<Y>>(x: U) {}\n #p() {}\n *g() {}\n async *h() {}\n [k]() {}\n 'k'() {}\n 3() {}\n get v() { return 1; }\n static s() {}\n @d() e() {}\n f = 1\n n() {}\n}\n"
+    assert [n for n, _ in names(methods, "ts")] == ["m", "<anonymous>", "g", "h", "<anonymous>", "<anonymous>", "<anonymous>", "v", "s", "e", "n"]
+
+
+def first_lines(text, language):
+    from plumbline.lang.parser import parse_functions
+
+    return [r["line"] for r in parse_functions(text, "f", language)]

@@ -56,12 +56,33 @@ def test_text_expressions(spark):
     assert (r.c, r.s, r.p) == (3, 4, 3)
 
 
+def test_white_space_around_comments(spark):
+    rows = [("\t// a\n\t\n\t * b\nx", 2, 3), (" \t\n\u00a0\n", 0, 0), ("\u3000/* a\r\nb\r\n", 1, 2), ("", 0, 0)]
+    df = spark.createDataFrame(rows, "t string, c long, s long")
+    assert df.where((X.comment_lines("t") != F.col("c")) | (X.solid_lines("t") != F.col("s"))).count() == 0
+
+
+def test_content_hash(spark, tmp_path):
+    """Published test values of the 128-bit hash: of nothing, and of one letter."""
+    from plumbline.plans import catalog
+
+    spark.createDataFrame([(1, ""), (2, "a"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.content_hash for r in catalog.content_hash(spark, str(tmp_path)).collect()}
+    assert got == {1: "99aa06d3014798d86001c324468d497f", 2: "a96faf705af16834e6c632b61e964e1f", 3: None}
+
+
 def test_churn(spark):
     rows = [("a", "c1", "x", 0, False), ("a", "c1", "x", 0, False), ("a", "c2", "y", 8 * 86400, True), ("a", "c3", "y", 8 * 86400, False)]
     df = spark.createDataFrame(rows, "path string, commit string, author string, ts long, is_bug_fix boolean")
     r = H.churn(df, ["path"]).first()
     assert (r.times_modified, r.bug_fix_commits, r.authors_count, r.d7_modifications, r.d30_modifications) == (3, 1, 2, 2, 3)
     assert math.isclose(r.churn_score, 5 * math.log10(3))
+    more = [("b", f"c{i % 7}", f"x{i * i % 5}" if i % 4 else None, i * 40_000, i % 6 == 0) for i in range(200)] + [("d", "c", None, 5, False)]
+    got = {r.path: r for r in H.churn(spark.createDataFrame(more, df.schema), ["path"]).collect()}
+    last = {c: max(t for _, k, _, t, _ in more[:-1] if k == c) for c in {x[1] for x in more[:-1]}}
+    b = got["b"]
+    assert (b.times_modified, b.bug_fix_commits, b.authors_count, b.d7_modifications) == (7, len({c for _, c, _, _, x in more[:-1] if x}), len({a for _, _, a, _, _ in more[:-1] if a}), sum(t >= max(last.values()) - 7 * 86400 for t in last.values()))
+    assert (got["d"].times_modified, got["d"].authors_count) == (1, 1)
 
 
 def test_range_join_matches_nested_loop(spark):
@@ -78,6 +99,10 @@ def test_renames(spark):
     closure = H.rename_closure(H.rename_aliases(spark.createDataFrame(renames, "old_path string, new_path string, seq long")))
     assert {(r.old_path, r.final_path) for r in closure.collect()} == {("a", "c"), ("b", "c"), ("x", "x"), ("y", "y"), ("p", "q")}
     assert H.rename_closure(closure.where("false").withColumnRenamed("final_path", "new_path")).count() == 0
+    # a long chain, a cycle of three with a tail of two, a path renamed to itself
+    long = [(f"n{i}", f"n{i + 1}", 1) for i in range(37)] + [("r", "s", 1), ("s", "t", 1), ("t", "r", 1), ("v", "u", 1), ("u", "s", 1), ("z", "z", 1)]
+    found = {r.old_path: r.final_path for r in H.rename_closure(H.rename_aliases(spark.createDataFrame(long, "old_path string, new_path string, seq long"))).collect()}
+    assert found == {f"n{i}": "n37" for i in range(37)} | {"r": "r", "s": "s", "t": "t", "u": "s", "v": "s", "z": "z"}
     paths = spark.createDataFrame([("a",), ("c",), ("x",)], "path string")
     assert sorted(r.path for r in H.with_renames(paths, closure).collect()) == ["a", "c", "c", "x"]
 
@@ -98,10 +123,40 @@ def test_graph(spark):
     assert (d.unreachable_functions, d.unreachable_loc, d.safe_to_delete) == (1, 5, 1)
 
 
+def test_coupling_by_sums_is_coupling_by_edges(spark):
+    import random
+
+    r = random.Random(5)
+    functions = [(i, f"file{r.randrange(4)}", f"name{r.randrange(9)}") for i in range(40)]  # names repeat within and across files
+    calls = [(r.randrange(45), f"name{r.randrange(12)}") for _ in range(150)] + [(i, n) for i, _, n in functions[:12]]  # unknown callers and names, and functions that call themselves
+    f = spark.createDataFrame(functions, "key long, file string, name string")
+    c = spark.createDataFrame(calls, "caller long, callee_name string")
+    columns = ["key", "has_caller", "fan_in", "fan_out", "instability"]
+    want = sorted(map(tuple, G.coupling(f, G.call_edges(c, f)).select(columns).collect()))
+    assert sorted(map(tuple, G.coupling_counts(f, c).select(columns).collect())) == want and any(x[2] for x in want)
+
+
 def test_lcov(spark):
     text = "DA:7,1\nSF:/r/a\nDA:2,1\nDA:2,0\nDA:2, 1\nDA:x,1\nBRDA:2,0,0,0\nBRDA:2,0,1,-\nend_of_record\nDA:5,2\nSF:b\nDA:1,1\nSF:/r/a\nDA:9,3\n"
     lines, branches = C.lcov(C.numbered_lines(spark.createDataFrame([(text,)], "value string")), "/r")
     assert {tuple(x) for x in lines.collect()} == {("a", 9, 3), ("b", 5, 2), ("b", 1, 1)} and branches.count() == 0
+    text = "SF: a b\nDA:1,4294967295\nDA:2,4294967296\nDA:4294967296,1\nDA:3,+7\nDA:4,-1\nDA:5\nBRDA:1,0,0, -\nBRDA:2,0,0,-\nBRDA:3,0,0\nBRDA: 4,0,0,1\nend_of_record\n"
+    lines, branches = C.lcov(C.numbered_lines(spark.createDataFrame([(text,)], "value string")))
+    assert {tuple(x) for x in lines.collect()} == {(" a b", 1, 4294967295), (" a b", 3, 7)}
+    assert {tuple(x) for x in branches.collect()} == {(" a b", 1, True), (" a b", 2, False)}
+
+
+def test_function_coverage_matches_nested_loop(spark):
+    functions = [(i, i % 3, i * 17 % 400 + 1, i * 17 % 400 + 1 + i * 29 % 200) for i in range(50)]
+    hits = [(p, line, (line * 7 + p) % 3) for p in range(2) for line in range(1, 600, 3)]
+    f = spark.createDataFrame(functions, "key long, file long, line long, end_line long")
+    lines = spark.createDataFrame(hits, "path long, line long, hits long")
+    branches = spark.createDataFrame([(p, line, h > 1) for p, line, h in hits if line % 2], "path long, line long, taken boolean")
+    got = {r.key: (r.line_coverage, r.branch_coverage) for r in C.function_coverage(f, lines, branches).collect()}
+    mean = lambda x: sum(x) / len(x) if x else None
+    for k, file, a, b in functions:
+        own = [(line, h) for p, line, h in hits if p == file and a <= line <= b]
+        assert (k in got) == (file < 2) and (file == 2 or got[k] == (mean([h > 0 for _, h in own]) or 0.0, mean([h > 1 for line, h in own if line % 2]))), k
 
 
 def test_sorting(spark):
