@@ -46,16 +46,19 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     * Rows with a null doc_id or text, and texts of fewer than three lines, pass unchanged with 0.
     * A text that loses every line becomes empty, and its row stays.
     * Repeated rows (one doc_id, one text) are the same document: all of them keep or lose the same lines.
-    * All other columns pass unchanged, whatever their names but for "_plumbline_id", "_plumbline_key" and
-      "_plumbline_covered", which are used within; ``removed_lines`` of the input is replaced. An empty table gives an empty one.
+    * All other columns pass unchanged, whatever their names but for "_plumbline_id", "_plumbline_key",
+      "_plumbline_lines" and "_plumbline_covered", which are used within; ``removed_lines`` of the input is replaced. An empty table gives an empty one.
     """
-    keyed = docs.withColumn("_plumbline_id", F.col("doc_id").cast("long")).withColumn("_plumbline_key", F.xxhash64("text"))
+    others = [c for c in docs.columns if c.lower() != "text"]
+    keyed = docs.withColumn("_plumbline_id", F.col("doc_id").cast("long")).withColumn("_plumbline_key", F.xxhash64("text")).withColumn("_plumbline_lines", F.split("text", "\n", -1)).drop("text")
     joined = keyed.join(covered_lines(docs), ["_plumbline_id", "_plumbline_key"], "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("_plumbline_covered", i)), "\n")
-    gone = F.coalesce(F.size("_plumbline_covered"), F.lit(0))
-    return joined.withColumn("text", F.when(F.col("_plumbline_covered").isNotNull(), kept).otherwise(F.col("text"))).withColumn(
-        "removed_lines", F.when(F.col("_plumbline_covered").isNotNull(), gone).otherwise(0).cast("long")
-    ).drop("_plumbline_id", "_plumbline_key", "_plumbline_covered")
+    # the lines were split before the join, so that picking one doesn't split the text again
+    numbers = F.sequence(F.lit(0), F.size("_plumbline_lines") - 1)
+    kept = F.transform(F.array_except(numbers, "_plumbline_covered"), lambda i: F.element_at("_plumbline_lines", i + 1))
+    left = F.when(F.col("_plumbline_covered").isNull(), F.col("_plumbline_lines")).otherwise(kept)
+    gone = F.when(F.col("_plumbline_covered").isNotNull(), F.size("_plumbline_covered")).otherwise(0).cast("long")
+    out = joined.withColumn("text", F.array_join(left, "\n")).withColumn("removed_lines", gone)
+    return out.select(*[F.col(c) if c in others else "text" for c in docs.columns if c.lower() != "removed_lines"], "removed_lines")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
