@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import documents, free
 from .tokens import ranges, release, slices, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -336,7 +336,7 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
     * Very long texts are encoded whole. Repeated rows are encoded alike, each of them.
     * Other columns pass unchanged, null or not; input columns named as the three are replaced. An empty table gives an empty one.
     """
-    rest = [c for c in docs.columns if c.lower() not in ("text", "ids", "n_ids", "round_trip")]
+    rest, own = [c for c in docs.columns if c.lower() not in ("text", "ids", "n_ids", "round_trip")], free("_text", docs.columns)
     fields = docs.select(*rest).schema
 
     with open(model, "rb") as f:  # only the driver needs the file; its content, half a megabyte, goes to the executors
@@ -344,7 +344,7 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(content.value)
-        for b in (s for whole in batches for s in slices(whole, "_plumbline_text")):
+        for b in (s for whole in batches for s in slices(whole, own)):
             texts = b.column(b.num_columns - 1)
             ids = encode_column(texts, v)
             same = pc.equal(decode_column(ids, v), texts.cast(pa.binary()))
@@ -353,7 +353,7 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
         release()
 
     out = fields.add("ids", T.ArrayType(T.IntegerType())).add("n_ids", "long").add("round_trip", "boolean")
-    return docs.select(*rest, F.col("text").alias("_plumbline_text")).mapInArrow(code, out)
+    return docs.select(*rest, F.col("text").alias(own)).mapInArrow(code, out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, table
+from .common import documents, free, table
 from .tokens import Words, ranges, release, slices, span_hashes
 
 #: Labelled documents of each class that are fitted on, those of the smallest hashes.
@@ -472,10 +472,10 @@ def scored(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -
     * Other columns pass unchanged; input columns named as the new ones are replaced. An empty table gives an empty one.
     """
     made = ("toxicity", "toxic", "worst_word", "n_windows")
-    rest = [c for c in docs.columns if c.lower() not in ("text", *made)]
+    rest, own = [c for c in docs.columns if c.lower() not in ("text", *made)], free("_text", docs.columns)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (s for whole in batches for s in slices(whole, "_plumbline_text", 1 << 20)):
+        for b in (s for whole in batches for s in slices(whole, own, 1 << 20)):
             texts = b.column(b.num_columns - 1)
             top, where, number = model.scores(texts) if model else (np.zeros(len(texts)), np.full(len(texts), -1), np.zeros(len(texts), np.int64))
             none = np.array(texts.is_null()) | (model is None)
@@ -483,7 +483,7 @@ def scored(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -
             yield pa.record_batch([*b.columns[:-1], *columns], names=[*rest, *made])
 
     schema = docs.select(*rest).schema.add("toxicity", "double").add("toxic", "boolean").add("worst_word", "long").add("n_windows", "long")
-    return docs.select(*rest, F.col("text").alias("_plumbline_text")).mapInArrow(score, schema)
+    return docs.select(*rest, F.col("text").alias(own)).mapInArrow(score, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import documents, free
 from .tokens import Words, ranges, slices
 
 #: Labelled documents of each language that the classifier is fitted on, those of the smallest hashes.
@@ -321,17 +321,17 @@ def identified(docs: DataFrame, model: Classifier, penalty: float = PENALTY, sha
     * Other columns pass unchanged, null or not; input columns named as the new ones are replaced. An empty table gives an empty one.
     """
     made = ("main_lang", "main_share", "n_words", "keep", "spans")
-    rest = [c for c in docs.columns if c.lower() not in ("text", *made)]
+    rest, own = [c for c in docs.columns if c.lower() not in ("text", *made)], free("_text", docs.columns)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (s for whole in batches for s in slices(whole, "_plumbline_text", 3 << 20)):
+        for b in (s for whole in batches for s in slices(whole, own, 3 << 20)):
             langs, shares, known, counts, spans = labelled(b.column(b.num_columns - 1), model, penalty)
             keep = [x is not None and y >= share for x, y in zip(langs, known, strict=True)]
             text = [b.column(b.num_columns - 1)] if with_text else []
             yield pa.record_batch([*b.columns[:-1], *text, pa.array(langs, pa.string()), pa.array(shares, pa.float64()), pa.array(counts, pa.int64()), pa.array(keep, pa.bool_()), spans], names=[*rest, *["text"][: len(text)], *made])
 
     schema = docs.select(*rest, *["text"][: int(with_text)]).schema.add("main_lang", "string").add("main_share", "double").add("n_words", "long").add("keep", "boolean").add("spans", SPANS)
-    return docs.select(*rest, F.col("text").alias("_plumbline_text")).mapInArrow(label, schema)
+    return docs.select(*rest, F.col("text").alias(own)).mapInArrow(label, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

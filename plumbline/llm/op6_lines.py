@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, free
 
 WINDOW = 3
 
@@ -21,18 +21,18 @@ def _window_hash(seed: str, i: Column) -> Column:
 
 
 def covered_lines(docs: DataFrame) -> DataFrame:
-    """``_plumbline_id, _plumbline_key, _plumbline_covered``: for each text with repeats, the 0-based lines that later occurrences cover."""
+    """``_id, _key, _covered``: for each text with repeats, the 0-based lines that later occurrences cover."""
     known = docs.where("doc_id is not null and text is not null").select(
-        F.col("doc_id").cast("long").alias("_plumbline_id"), F.xxhash64("text").alias("_plumbline_key"), F.split("text", "\n", -1).alias("_lines")
+        F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_key"), F.split("text", "\n", -1).alias("_lines")
     )
     windows = known.where(F.size("_lines") >= WINDOW).select(
-        "_plumbline_id", "_plumbline_key", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("_lines") - WINDOW), lambda i: F.struct(_window_hash("a", i).alias("a"), _window_hash("b", i).alias("b")))).alias("_at", "_h")
+        "_id", "_key", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("_lines") - WINDOW), lambda i: F.struct(_window_hash("a", i).alias("a"), _window_hash("b", i).alias("b")))).alias("_at", "_h")
     )
-    windows = windows.select(F.col("_h.a").alias("_a"), F.col("_h.b").alias("_b"), F.struct("_plumbline_id", "_plumbline_key", "_at").alias("_place"))
+    windows = windows.select(F.col("_h.a").alias("_a"), F.col("_h.b").alias("_b"), F.struct("_id", "_key", "_at").alias("_place"))
     first = windows.groupBy("_a", "_b").agg(F.min("_place").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     later = windows.join(first, ["_a", "_b"]).where("_place > _first").select("_place.*")
-    lines = later.select("_plumbline_id", "_plumbline_key", F.explode(F.sequence("_at", F.col("_at") + (WINDOW - 1))).alias("_at"))
-    return lines.groupBy("_plumbline_id", "_plumbline_key").agg(F.collect_set("_at").alias("_plumbline_covered"))
+    lines = later.select("_id", "_key", F.explode(F.sequence("_at", F.col("_at") + (WINDOW - 1))).alias("_at"))
+    return lines.groupBy("_id", "_key").agg(F.collect_set("_at").alias("_covered"))
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
@@ -46,17 +46,16 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     * Rows with a null doc_id or text, and texts of fewer than three lines, pass unchanged with 0.
     * A text that loses every line becomes empty, and its row stays.
     * Repeated rows (one doc_id, one text) are the same document: all of them keep or lose the same lines.
-    * All other columns pass unchanged, whatever their names but for "_plumbline_id", "_plumbline_key",
-      "_plumbline_lines" and "_plumbline_covered", which are used within; ``removed_lines`` of the input is replaced. An empty table gives an empty one.
+    * All other columns pass unchanged, whatever their names; ``removed_lines`` of the input is replaced. An empty table gives an empty one.
     """
     others = [c for c in docs.columns if c.lower() != "text"]
-    keyed = docs.withColumn("_plumbline_id", F.col("doc_id").cast("long")).withColumn("_plumbline_key", F.xxhash64("text")).withColumn("_plumbline_lines", F.split("text", "\n", -1)).drop("text")
-    joined = keyed.join(covered_lines(docs), ["_plumbline_id", "_plumbline_key"], "left")
+    i, key, lines, covered = (free(c, docs.columns) for c in ("_id", "_key", "_lines", "_covered"))
+    keyed = docs.withColumn(i, F.col("doc_id").cast("long")).withColumn(key, F.xxhash64("text")).withColumn(lines, F.split("text", "\n", -1)).drop("text")
+    joined = keyed.join(covered_lines(docs).toDF(i, key, covered), [i, key], "left")
     # the lines were split before the join, so that picking one doesn't split the text again
-    numbers = F.sequence(F.lit(0), F.size("_plumbline_lines") - 1)
-    kept = F.transform(F.array_except(numbers, "_plumbline_covered"), lambda i: F.element_at("_plumbline_lines", i + 1))
-    left = F.when(F.col("_plumbline_covered").isNull(), F.col("_plumbline_lines")).otherwise(kept)
-    gone = F.when(F.col("_plumbline_covered").isNotNull(), F.size("_plumbline_covered")).otherwise(0).cast("long")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered), lambda k: F.element_at(lines, k + 1))
+    left = F.when(F.col(covered).isNull(), F.col(lines)).otherwise(kept)
+    gone = F.when(F.col(covered).isNotNull(), F.size(covered)).otherwise(0).cast("long")
     out = joined.withColumn("text", F.array_join(left, "\n")).withColumn("removed_lines", gone)
     return out.select(*[F.col(c) if c in others else "text" for c in docs.columns if c.lower() != "removed_lines"], "removed_lines")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import buckets, cut, documents
+from .common import buckets, cut, documents, free
 from .tokens import mix
 from .tokens import ranges as ranges_of
 
@@ -95,7 +95,7 @@ def permuted(slots: np.ndarray, n: int, seed: int) -> np.ndarray:
 
 
 def shards_of_blocks(spark: SparkSession, counts: dict[str, int], shards: int, seed: int) -> DataFrame:
-    """``_plumbline_source, _block, shard``: each source's permuted blocks, the first for its first shard, and so on."""
+    """``_source, _block, shard``: each source's permuted blocks, the first for its first shard, and so on."""
     names = sorted(counts)
     blocks = np.array([counts[s] for s in names], np.int64)
     total = int(blocks.sum())
@@ -115,38 +115,38 @@ def shards_of_blocks(spark: SparkSession, counts: dict[str, int], shards: int, s
                     for k in np.flatnonzero(own):
                         number[which == k] = permuted(slot[which == k], int(blocks[k]), seed + int(k))
                     at = at + own
-                    yield pa.record_batch([pa.array([names[k] for k in which], pa.string()), pa.array(number), pa.array(np.full(len(slot), shard))], names=["_plumbline_source", "_block", "shard"])
+                    yield pa.record_batch([pa.array([names[k] for k in which], pa.string()), pa.array(number), pa.array(np.full(len(slot), shard))], names=["_source", "_block", "shard"])
 
     nodes = spark.createDataFrame(rows, "low long, high long, have array<long>, start array<long>")
-    return nodes.repartition(min(len(rows), buckets(spark))).mapInArrow(expand, "_plumbline_source string, _block long, shard long")
+    return nodes.repartition(min(len(rows), buckets(spark))).mapInArrow(expand, "_source string, _block long, shard long")
 
 
 def placed(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: int = SEED) -> DataFrame:
-    """Places of the drawn documents: ``_plumbline_id, _plumbline_source, _plumbline_copy, shard, position``; ``_plumbline_copy`` tells rows of one id and source apart."""
+    """Places of the drawn documents: ``_id, _source, _copy, shard, position``; ``_copy`` tells rows of one id and source apart."""
     spark = docs.sparkSession
-    keyed = docs.where("doc_id is not null and source is not null").select(F.col("doc_id").cast("long").alias("_plumbline_id"), F.col("source").alias("_plumbline_source"))
-    keyed = keyed.groupBy("_plumbline_id", "_plumbline_source").agg(F.count("*").alias("_n")).select("_plumbline_id", "_plumbline_source", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_plumbline_copy"))
-    keyed = cut(keyed.withColumn("_h", F.xxhash64(F.lit(seed), "_plumbline_source", "_plumbline_id", "_plumbline_copy")))
-    sizes = {r._plumbline_source: r.n for r in keyed.groupBy("_plumbline_source").agg(F.count("*").alias("n")).collect()}
+    keyed = docs.where("doc_id is not null and source is not null").select(F.col("doc_id").cast("long").alias("_id"), F.col("source").alias("_source"))
+    keyed = keyed.groupBy("_id", "_source").agg(F.count("*").alias("_n")).select("_id", "_source", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy"))
+    keyed = cut(keyed.withColumn("_h", F.xxhash64(F.lit(seed), "_source", "_id", "_copy")))
+    sizes = {r._source: r.n for r in keyed.groupBy("_source").agg(F.count("*").alias("n")).collect()}
     taken = quotas(sizes, default_weights(sizes) if weights is None else weights)
     names = sorted(s for s, n in taken.items() if n > 0)
     if not names:
-        return keyed.where("false").select("_plumbline_id", "_plumbline_source", "_plumbline_copy", F.lit(0).cast("long").alias("shard"), F.lit(0).cast("long").alias("position"))
+        return keyed.where("false").select("_id", "_source", "_copy", F.lit(0).cast("long").alias("shard"), F.lit(0).cast("long").alias("position"))
     counts = np.array([-(-taken[s] // block) for s in names])
     shards = max(1, -(-int(sum(taken.values())) // shard_docs))
     where = shards_of_blocks(spark, dict(zip(names, counts.tolist(), strict=True)), shards, seed)
-    limit = spark.createDataFrame([(s, int(taken[s])) for s in names], "_plumbline_source string, _quota long")
+    limit = spark.createDataFrame([(s, int(taken[s])) for s in names], "_source string, _quota long")
     ranges = max(1, sum(sizes.values()) // RANGE_DOCS)
     # a hash's range: its place among ``ranges`` equal parts of the signed 64-bit numbers
     part = F.least(F.floor((F.col("_h") / F.lit(2.0**64) + 0.5) * ranges), F.lit(ranges - 1))
     ranged = keyed.withColumn("_part", part)
-    tally = ranged.groupBy("_plumbline_source", "_part").agg(F.count("*").alias("_m"))
-    before = tally.select("_plumbline_source", "_part", (F.sum("_m").over(Window.partitionBy("_plumbline_source").orderBy("_part")) - F.col("_m")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_plumbline_source", "_part").orderBy("_h", "_plumbline_id", "_plumbline_copy"))
-    ranked = ranged.withColumn("_r", within).join(before, ["_plumbline_source", "_part"]).withColumn("_rank", F.col("_before") + F.col("_r") - 1)
-    chosen = ranked.join(limit, "_plumbline_source").where("_rank < _quota").withColumn("_block", F.floor(F.col("_rank") / block))
-    local = F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "_plumbline_source", "_plumbline_id", "_plumbline_copy"), "_plumbline_source", "_plumbline_id", "_plumbline_copy"))
-    return chosen.join(where, ["_plumbline_source", "_block"]).withColumn("position", local.cast("long") - 1).select("_plumbline_id", "_plumbline_source", "_plumbline_copy", "shard", "position")
+    tally = ranged.groupBy("_source", "_part").agg(F.count("*").alias("_m"))
+    before = tally.select("_source", "_part", (F.sum("_m").over(Window.partitionBy("_source").orderBy("_part")) - F.col("_m")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_source", "_part").orderBy("_h", "_id", "_copy"))
+    ranked = ranged.withColumn("_r", within).join(before, ["_source", "_part"]).withColumn("_rank", F.col("_before") + F.col("_r") - 1)
+    chosen = ranked.join(limit, "_source").where("_rank < _quota").withColumn("_block", F.floor(F.col("_rank") / block))
+    local = F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "_source", "_id", "_copy"), "_source", "_id", "_copy"))
+    return chosen.join(where, ["_source", "_block"]).withColumn("position", local.cast("long") - 1).select("_id", "_source", "_copy", "shard", "position")
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: int = SEED) -> DataFrame:
@@ -163,12 +163,13 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int =
     * All columns pass; input columns named ``shard`` or ``position`` are replaced. An empty table gives an empty one.
     """
     kept = docs.drop("shard", "position")
-    places = placed(docs, weights, block, shard_docs, seed)
-    several = Window.partitionBy("_plumbline_id", "_plumbline_source").orderBy(F.xxhash64("text"), "text")
-    keyed = kept.where("doc_id is not null and source is not null").withColumn("_plumbline_id", F.col("doc_id").cast("long")).withColumn("_plumbline_source", F.col("source"))
-    numbered = keyed.withColumn("_plumbline_nth", F.row_number().over(several).cast("long"))
+    i, source, copy, nth = (free(c, docs.columns) for c in ("_id", "_source", "_copy", "_nth"))
+    places = placed(docs, weights, block, shard_docs, seed).toDF(i, source, copy, "shard", "position")
+    several = Window.partitionBy(i, source).orderBy(F.xxhash64("text"), "text")
+    keyed = kept.where("doc_id is not null and source is not null").withColumn(i, F.col("doc_id").cast("long")).withColumn(source, F.col("source"))
+    numbered = keyed.withColumn(nth, F.row_number().over(several).cast("long"))
     # the copies' numbers are compared, not joined on: so the window's partitioning of the texts is the join's too
-    joined = numbered.join(places, ["_plumbline_id", "_plumbline_source"]).where("_plumbline_nth - _plumbline_copy = 0").select(*kept.columns, "shard", "position")
+    joined = numbered.join(places, [i, source]).where(F.col(nth) - F.col(copy) == 0).select(*kept.columns, "shard", "position")
     return joined.repartition("shard").sortWithinPartitions("shard", "position")
 
 

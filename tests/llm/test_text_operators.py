@@ -64,11 +64,25 @@ def none(spark):
 def clashing(df):
     from pyspark.sql import functions as F
 
-    for c in ("h", "ids", "key", "node", "bucket", "component", "hash", "first", "shard", "keep", "spans", "toxicity", "removed_lines", "value", "path", "_text", "_id", "_key", "_source", "_copy", "_covered", "_lines", "_at", "_h", "text_"):
+    for c in ("h", "ids", "key", "node", "bucket", "component", "hash", "first", "shard", "keep", "spans", "toxicity", "removed_lines", "value", "path", "_text", "_id", "_key", "_source", "_copy", "_covered", "_lines", "_at", "_h", "_nth", "_text_", "text_"):
         df = df.withColumn(c, F.lit("x"))
     return df
 
 
+def test_clashing_columns_pass(docs, language_model):
+    """Operators that pass columns on keep all of them, but for those that they make."""
+    wide = clashing(docs)
+    made = {
+        op1.encoded: {"ids", "n_ids", "round_trip"}, lambda d: op2.scored(d, None): {"toxicity", "toxic", "worst_word", "n_windows"}, op6.without_repeated_lines: {"removed_lines"},
+        lambda d: op4.identified(d, language_model): {"main_lang", "main_share", "n_words", "keep", "spans"}, op9.mixed: {"shard", "position"}, op7.one_of_each_group: set(),
+    }
+    for operator, new in made.items():
+        out = operator(wide)
+        same = [c for c in wide.columns if c not in ("doc_id", "text", "lang", "source", "n_chars", *new)]
+        assert set(same) | new <= set(out.columns) and len(out.columns) == len(set(out.columns))
+        assert all(r[c] == "x" for r in out.select(*same).collect() for c in same)
+
+
 def brute_passages(rows, window):
     seen = defaultdict(list)
     for i, t in rows:
