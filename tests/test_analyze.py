@@ -184,3 +184,19 @@ def first_lines(text, language):
     from plumbline.lang.parser import parse_functions
 
     return [r["line"] for r in parse_functions(text, "f", language)]
+
+
+def test_rust_and_c_and_test_files(spark, repository, tmp_path_factory):
+    """Metrics of Rust and C side by side, a file of tests, rows instead of the document, and a state elsewhere."""
+    repository.write("src/main.rs", "fn main() {\n    if let Some(x) = get() {\n        match x {\n            1 => {}\n            _ => {}\n        }\n    }\n}\n")
+    repository.write("src/add.c", "int add(int a, int b) {\n  if (a) return b;\n  return a + b;\n}\n")
+    repository.write("tests/integration.rs", "#[test]\nfn works() {\n    assert!(true);\n}\nfn helper() {}\n")
+    repository.commit("first")
+    state = f"file://{tmp_path_factory.mktemp('state')}"
+    rows = {r.name: r for r in analyze(spark, str(repository.root), rows=True, state_dir=state).collect()}
+    assert rows["main"].cognitive_complexity >= 2 and rows["add"].cyclomatic_complexity == 2
+    assert rows["works"].reachability.is_reachable and rows["works"].reachability.kind == "test_only" and rows["main"].reachability.kind == "reachable"
+    again = report(spark, repository, state_dir=state)
+    assert again["quality"]["cache"]["ast_hits"] == 3 and not again["quality"]["git"]["cache_reset"]
+    dead = [f["name"] for f in again["summary"]["project_stats"]["dead_code"]["functions"]]
+    assert dead == ["add", "helper"] and not (repository.root / ".plumbline").exists()
