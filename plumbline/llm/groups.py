@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
+from .tokens import release
 
 #: Edges that are held at once before they are reduced to a forest, and that one task may finish.
 HELD_EDGES = 1_000_000
@@ -51,6 +52,7 @@ def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     src, dst = stars(*(np.concatenate(c) for c in zip(*held, strict=True)))
     for i in range(0, len(src), 100_000):
         yield pa.record_batch([pa.array(src[i : i + 100_000]), pa.array(dst[i : i + 100_000])], names=["src", "dst"])
+    release()
 
 
 def components(edges: DataFrame, most_rounds: int = 60, one_task: int = HELD_EDGES) -> DataFrame:
@@ -145,3 +147,4 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[p
         n += b.num_rows
     if held:
         yield all_of(held)
+    release()

@@ -30,8 +30,8 @@ from .tokens import ranges, release, slices, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHED_CHUNKS = 350_000
-CACHED_PAIRS = 1_000_000
+CACHED_CHUNKS = 250_000
+CACHED_PAIRS = 400_000
 
 
 class Vocabulary:
@@ -343,8 +343,9 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
         content = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         v = vocabulary(content.value)
-        for b in (s for whole in batches for s in slices(whole, own)):
+        for b in (s for whole in batches for s in slices(whole, own, 2 << 20)):
             texts = b.column(b.num_columns - 1)
             ids = encode_column(texts, v)
             same = pc.equal(decode_column(ids, v), texts.cast(pa.binary()))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 from .groups import chunk_pairs, components, links_within, stars, whole_groups
-from .tokens import mix
+from .tokens import mix, release
 
 THRESHOLD = 0.9
 RECALL = 0.999
@@ -140,6 +140,7 @@ def components_of_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, c
                 held.append(b.slice(i, j - i))
         if held:
             yield from solve()
+        release()
 
     order = ["key", "part_a", "part_b"]
     sent = nodes.select("node", "v").mapInArrow(keys, "key long, node long, signs binary")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, documents
 from .groups import chunk_pairs, components, links_within, stars, whole_groups
-from .tokens import SPACE, Words, mix, rolling, slices, span_hashes, text_bytes
+from .tokens import SPACE, Words, mix, release, rolling, slices, span_hashes, text_bytes
 
 THRESHOLD = 0.5
 GRAM = 3
@@ -42,7 +42,7 @@ BUCKET = 2048
 #: N-grams of a block, or of a chunk of a larger block, that one task holds twice.
 BLOCK_GRAMS = 1 << 20
 #: Bytes of a tree's bitmaps.
-BITMAP_BYTES = 128 << 20
+BITMAP_BYTES = 32 << 20
 
 _rng = np.random.default_rng(77)
 _FACTORS = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -150,7 +150,7 @@ class SignatureTree:
         """Which pairs of nodes may hold a pair at the threshold, and the largest overlap each can have."""
         bitmap, low, high = self.levels[level]
         most = np.empty(len(a), np.int64)
-        block = max(1, (8 << 20) // bitmap.shape[1])
+        block = max(1, (1 << 20) // bitmap.shape[1])  # words worked on at once
         for i in range(0, len(a), block):
             most[i : i + block] = np.bitwise_count(bitmap[a[i : i + block]] & bitmap[b[i : i + block]]).sum(axis=1, dtype=np.int64)
         ratio = np.minimum(high[a], high[b]) >= np.maximum(low[a], low[b]) * threshold - 1e-9
@@ -295,6 +295,7 @@ class Candidates:
             for b in batches:
                 if b.num_rows:
                     yield pa.record_batch([b.column(0), b.column(1), pa.array(_same(_matrix(b.column(2)), _matrix(b.column(3)), threshold))], names=["src", "dst", "ok"])
+            release()
 
         return cut(both.select("src", "dst", "bits", "other").mapInArrow(check, "src long, dst long, ok boolean"))
 
@@ -413,6 +414,7 @@ class Candidates:
                     if not rows or rows[-1][1] != row[1]:  # a repeated row of the doc_id
                         rows.append(row)
             yield from finish(rows)
+            release()
 
         def finish(rows: list) -> Iterator[pa.RecordBatch]:
             if len(rows) > 1:
