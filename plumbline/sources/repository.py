@@ -32,9 +32,9 @@ CHANGES = "commit string, parent long, path string, start_line long, end_line lo
 COMMITS = "commit string, parents array<string>, email string, name string, ts long, message string, seq long"
 
 
-def git(root: str, *args: str, **env: str) -> str:
-    """What git prints, with its own line ends."""
-    done = subprocess.run(["git", "-c", "core.quotepath=false", "-c", "safe.directory=*", "-C", root, *args], capture_output=True, check=True, env=os.environ | env)
+def git(root: str, *args: str, given: str = "", **env: str) -> str:
+    """What git prints, with its own line ends; ``given`` is its input."""
+    done = subprocess.run(["git", "-c", "core.quotepath=false", "-c", "safe.directory=*", "-C", root, *args], input=given.encode(), capture_output=True, check=True, env=os.environ | env)
     return done.stdout.decode(errors="replace")
 
 
@@ -140,13 +140,23 @@ def parsed(files: DataFrame, root: str) -> DataFrame:
 
 
 def commits(spark: SparkSession, root: str, since: str | None = None) -> DataFrame:
-    """Commits from HEAD in topological order, those reachable from ``since`` left out."""
-    text = git(root, "log", "--topo-order", "--format=%H%x00%P%x00%ae%x00%an%x00%ct%x00%B%x01", *([f"{since}..HEAD"] if since else ["HEAD"]))
-    rows = []
-    for n, record in enumerate(x for x in text.split("\x01") if x.strip()):
-        commit, parents, email, name, ts, message = record.strip("\n").split("\0", 5)
-        rows.append((commit, parents.split(), email, name, int(ts), message, n))
-    return spark.createDataFrame(rows, COMMITS)
+    """Commits from HEAD in topological order, those reachable from ``since`` left out.
+
+    The driver lists ids alone, 40 bytes each; messages and authors are read by tasks, one git process for each batch of commits.
+    """
+    ids = git(root, "rev-list", "--topo-order", f"{since}..HEAD" if since else "HEAD").split()
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in (x for x in batches if len(x)):  # without ids git would read HEAD
+            text = git(root, "log", "--no-walk=unsorted", "--stdin", "--format=%H%x00%P%x00%ae%x00%an%x00%ct%x00%B%x01", given="\n".join(b["commit"]) + "\n")
+            seq, rows = dict(zip(b["commit"], b["seq"], strict=True)), []
+            for record in (x for x in text.split("\x01") if x.strip()):
+                commit, parents, email, name, ts, message = record.strip("\n").split("\0", 5)
+                rows.append((commit, parents.split(), email, name, int(ts), message, seq[commit]))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in COMMITS.split(", ")])
+
+    listed = spark.createDataFrame(list(zip(ids, range(len(ids)), strict=True)), "commit string, seq long")
+    return listed.repartition(max(1, -(-len(ids) // (8 * COMMITS_PER_TASK)))).mapInPandas(read, COMMITS)
 
 
 _HUNK = re.compile(r"@@ -\S+ \+(\d+)(?:,(\d+))? @@")
