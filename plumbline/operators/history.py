@@ -19,18 +19,21 @@ from .lineage import cut
 def churn(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Distinct commits, bug fixes and authors of each key, the trailing windows and their scores.
 
-    A key's commits are reduced first, with map-side combining, each with its authors; then a row
-    for each author of a commit, of which one counts the commit, gives all of a key's figures in
-    one aggregation. ``changes`` is read once. Windows are anchored on the key's own last change.
+    Rows are reduced to one for each key, commit and author first, with map-side combining. Then a
+    key's rows meet in one task, which sorts (and spills) them by commit: the first row of a commit
+    counts it. ``changes`` is read once. Windows are anchored on the key's own last change.
     """
     keys = list(keys)
-    commits = changes.groupBy(*keys, "commit").agg(F.max(F.col("is_bug_fix").cast("int")).alias("_bug"), F.max("ts").alias("_ts"), F.collect_set("author").alias("_authors"))
-    dated = commits.withColumn("_last", F.max("_ts").over(Window.partitionBy(*keys)))
-    each = dated.select(*keys, "_bug", "_ts", "_last", F.posexplode_outer("_authors").alias("_nth", "_author")).withColumn("_one", (F.coalesce("_nth", F.lit(0)) == 0).cast("int"))
+    each = changes.groupBy(*keys, "commit", "author").agg(F.max(F.col("is_bug_fix").cast("int")).alias("_bug"), F.max("ts").alias("_ts"))
+    in_order = Window.partitionBy(*keys).orderBy("commit", "author")  # all windows below share its exchange and its sort
+    again = (F.row_number().over(in_order) > 1) & F.lag("commit").over(in_order).eqNullSafe(F.col("commit"))
+    of_commit = Window.partitionBy(*keys, "commit")
+    each = each.withColumn("_one", (~again).cast("int")).withColumn("_last", F.max("_ts").over(Window.partitionBy(*keys)))
+    each = each.withColumn("_bug", F.max("_bug").over(of_commit)).withColumn("_ts", F.max("_ts").over(of_commit))
     counts = [F.sum(F.when(F.col("_ts") >= F.col("_last") - d * DAY, F.col("_one")).otherwise(0)).alias(f"d{d}_modifications") for d in (7, 30, 90)]
     out = each.groupBy(*keys).agg(
         F.sum("_one").alias("times_modified"), F.sum(F.col("_bug") * F.col("_one")).cast("long").alias("bug_fix_commits"), F.max("_ts").alias("last_modified"), *counts,
-        F.greatest(F.countDistinct("_author"), F.lit(1)).alias("authors_count"),
+        F.greatest(F.countDistinct("author"), F.lit(1)).alias("authors_count"),
     )
     out = out.withColumn("churn_score", X.churn_score("times_modified", "bug_fix_commits", "authors_count"))
     for d in (7, 30, 90):
