@@ -148,10 +148,6 @@ class Vocabulary:
             known = self._coded[piece] = np.array(self.ids_of(piece), np.int32).tobytes()
         return known
 
-    def forget(self) -> None:
-        """Empties the caches of chunks, for a worker that goes on to other tasks."""
-        self._young, self._old = {}, {}
-
     def chunks(self, raws: list[bytes]) -> list[bytes]:
         """Ids (as bytes of 32-bit numbers) of each distinct chunk, from the cache or by a search.
 
@@ -279,6 +275,12 @@ def vocabulary(model: str | bytes) -> Vocabulary:
     return _loaded[model]
 
 
+def forget() -> None:
+    """Drops all vocabularies and their caches: a worker may wait for long before its next task, beside others that run."""
+    _loaded.clear()
+    release()
+
+
 def encode_column(texts: pa.Array, v: Vocabulary) -> pa.ListArray:
     """Ids of each text; a null has null ids."""
     plain = pc.replace_substring(texts.cast(pa.string()), MARK, " ")
@@ -350,8 +352,8 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
             ids = encode_column(texts, v)
             same = pc.equal(decode_column(ids, v), texts.cast(pa.binary()))
             yield pa.record_batch([*b.columns[:-1], ids, pc.cast(pc.list_value_length(ids), pa.int64()), same], names=[*rest, "ids", "n_ids", "round_trip"])
-        v.forget()
-        release()
+        del v
+        forget()
 
     out = fields.add("ids", T.ArrayType(T.IntegerType())).add("n_ids", "long").add("round_trip", "boolean")
     return docs.select(*rest, F.col("text").alias(own)).mapInArrow(code, out)

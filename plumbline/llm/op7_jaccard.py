@@ -312,7 +312,8 @@ class Candidates:
                 yield pa.record_batch([pa.array(src), pa.array(dst)], names=["src", "dst"])
 
         order = ["key", "part_a", "part_b"]
-        return rows.select(*order, "node", "component", "bits").repartition(*order).sortWithinPartitions(*order).mapInArrow(compare, "src long, dst long")
+        # cut, so that components' Python doesn't run in the same tasks: each would hold two workers, whose memory stays
+        return cut(rows.select(*order, "node", "component", "bits").repartition(*order).sortWithinPartitions(*order).mapInArrow(compare, "src long, dst long"))
 
     def _rare(self, hot: DataFrame) -> DataFrame:
         """``node, key`` for each n-gram in the rarest part of a set of ``hot(node)`` that another one of them has too.

@@ -540,6 +540,18 @@ def test_language_held_out():
     parts = {k: [t.split()[:60] for t in rest[rest.lang == k].text] for k in op4.LANGUAGES}
     texts, expected = [], []
     for k in range(150):
+def test_a_finished_task_holds_no_vocabulary(spark):
+    """Of an idle worker's memory nothing is the vocabulary's."""
+    from pyspark.sql import functions as F
+
+    def held(batches):
+        yield pa.record_batch([pa.array([len(op1._loaded)])], names=["n"])
+
+    texts = spark.range(8).repartition(4).select(F.concat(F.lit("some text "), "id").alias("text"))
+    assert op1.encoded(texts).where("round_trip").count() == 8
+    assert {r.n for r in spark.range(0, 64, 1, 16).mapInArrow(held, "n long").collect()} == {0}
+
+
         a, b = op4.LANGUAGES[k % 4], op4.LANGUAGES[(k % 4 + 1 + k // 4 % 3) % 4]
         texts.append(" ".join(parts[a][k] + parts[b][k]))
         expected += [a] * len(parts[a][k]) + [b] * len(parts[b][k])
