@@ -21,6 +21,8 @@ from .tokens import release
 HELD_EDGES = 1_000_000
 #: Rows of sorted groups that are compared at once.
 HELD_ROWS = 1 << 16
+#: Bits of the bitmap that ``likely`` broadcasts, at most.
+BITMAP_BITS = 1 << 25
 
 
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,6 +91,20 @@ def components(edges: DataFrame, most_rounds: int = 60, one_task: int = HELD_EDG
     return nodes.join(e.select(F.col("src").alias("node"), F.col("dst").alias("up")), "node", "left").select("node", F.coalesce("up", "node").alias("component"))
 
 
+def likely(rows: DataFrame, column: str, keys: DataFrame, most: int = BITMAP_BITS) -> DataFrame:
+    """``rows`` whose ``column`` may be in ``keys``, a column of that name: all that are, and of others few.
+
+    Before a join with ``keys`` it keeps rows that have no part in the join from being sent (not before a semi-join, which Spark would run first). What is broadcast is a
+    bitmap of the keys' hashes, 16 bits a key and ``most`` bits in all; with more keys than that allows for, more of the others pass.
+    """
+    bits = min(most, 1 << (16 * keys.count() + 64).bit_length())
+    slot = F.pmod(F.xxhash64(column), F.lit(bits))
+    word, bit = F.shiftright(slot, 6), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({column}), 64) as int))")  # 64 divides ``bits``
+    words = keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    marked = rows.withColumn("_at", word)
+    return marked.join(F.broadcast(words), F.col("_at") == F.col("_word")).where(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns)
+
+
 def chunk_pairs(rows: DataFrame, key: str, sizes: DataFrame, most: int, spread: Column) -> DataFrame:
     """``rows`` with ``part_a <= part_b`` and ``part``: each group of ``key`` cut into chunks of about ``most``, each row sent to every pair of chunks that its own is in.
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, documents
-from .groups import chunk_pairs, components, links_within, stars, whole_groups
+from .groups import chunk_pairs, components, likely, links_within, stars, whole_groups
 from .tokens import SPACE, Words, mix, release, rolling, slices, span_hashes, text_bytes
 
 THRESHOLD = 0.5
@@ -232,8 +232,11 @@ def _nodes(docs: DataFrame, gram: int) -> DataFrame:
     return _lower(docs).mapInArrow(sketch, "doc_id long, node long, n_grams long, bands array<long>, bits binary")
 
 
-def _lower(docs: DataFrame) -> DataFrame:
-    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
+def _lower(docs: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """Rows with an id and a text, in lower case; with ``among(doc_id)`` those of its ids, and few others."""
+    own = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = own if among is None else likely(own, "doc_id", among)
+    return own.select("doc_id", F.lower("text").alias("text"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -321,7 +324,8 @@ class Candidates:
         Sets x and y at the threshold t share t|x| n-grams at least, so that one of the first |x| - t|x| + 1 of x, in an
         order that holds for all sets, is among those of y.
         """
-        texts = _lower(self.docs).join(hot.join(self.nodes, "node").select("doc_id", "node"), "doc_id").select("node", "text")
+        of = cut(hot.join(self.nodes, "node").select("doc_id", "node"))
+        texts = _lower(self.docs, of.select("doc_id")).join(of, "doc_id").select("node", "text")
         sets = _with_grams(texts, self.gram, "node long").dropDuplicates(["node"])
 
         def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,7 +357,7 @@ class Candidates:
         keys = cut(open_.select("src", "dst").join(bands("src"), "src").join(bands("dst"), "dst").select(F.explode(F.array_intersect("_src_bands", "_dst_bands")).alias("key")).distinct())
         if keys.isEmpty():
             return edges
-        wide, sizes = self._groups(self.keyed.join(keys, "key", "left_semi"), parts)
+        wide, sizes = self._groups(cut(likely(self.keyed, "key", keys).join(keys, "key").select("node", "key")), parts)
         small = wide.join(sizes.where(F.col("total") <= self.bucket), "key").join(self.bits, "node")
         edges = edges.unionByName(self._compared(small.withColumn("part_a", F.lit(0)).withColumn("part_b", F.lit(0))))
         large = sizes.where(F.col("total") > self.bucket)
@@ -373,7 +377,7 @@ class Candidates:
         blocks = components(self.edges())
         of = cut(self.nodes.select("node", "doc_id", "times", "n_grams").join(blocks, "node"))
         sizes = of.groupBy("component").agg(F.sum("n_grams").alias("total"))
-        texts = _lower(self.docs).join(of.select("doc_id", "node", "times", "component"), "doc_id").select("component", "node", "times", "text")
+        texts = _lower(self.docs, of.select("doc_id")).join(of.select("doc_id", "node", "times", "component"), "doc_id").select("component", "node", "times", "text")
         grams = _with_grams(texts, self.gram, "component long, node long, times long")
         order = ["component", "part_a", "part_b"]
         sent = chunk_pairs(grams, "component", sizes, block_grams, F.xxhash64("node")).select(*order, "part", "node", "times", "grams")

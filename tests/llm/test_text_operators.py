@@ -17,7 +17,7 @@ from plumbline.llm import op7_jaccard as op7
 from plumbline.llm import op8_suffix as op8
 from plumbline.llm import op9_mixing as op9
 from plumbline.llm import op10_exact as op10
-from plumbline.llm.groups import components
+from plumbline.llm.groups import components, likely
 
 RNG = np.random.default_rng(3)
 VOCABULARY = ["".join(RNG.choice(list("abcdefghij"), 4)) for _ in range(400)]
@@ -274,6 +274,38 @@ def test_jaccard_with_a_shared_passage(spark, bucket):
     assert len(got) == 1000 and len(got & {(i, i // 2 * 2, 1) for i in range(1000)}) >= 998
 
 
+@pytest.mark.parametrize("bucket", [op7.BUCKET, 4])
+def test_jaccard_sends_few_texts(spark, bucket):
+    """Texts that are similar to none, and their band keys, aren't shuffled but for the first grouping of the keys; with small buckets the prefix filter runs too."""
+    rng = np.random.default_rng(23)
+    fresh = lambda n: ["".join(x) for x in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (n, 7))]
+    passage = fresh(80)
+    rows = [(i, " ".join(fresh(2500))) for i in range(300)] + [(1000 + i, " ".join(passage + fresh(50))) for i in range(12)]
+    rows += [(2000, rows[-1][1] + " end"), (2001, rows[3][1] + " end")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    assert table.count() == 314
+    sent = lambda: sum(x.totalShuffleWrite() for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+    before = sent()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the tables were large
+    try:
+        got = {r.doc_id: (r.class_id, r.n_links) for r in op7.similar_classes(table, bucket=bucket).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert got[2000] == got[1011] == (1011, 1) and got[2001] == got[3] == (3, 1) and len(got) == 314
+    assert sum(n for _, n in got.values()) == 4
+    assert sent() - before < 0.4 * sum(len(t) for _, t in rows)
+    table.unpersist()
+
+
+def test_likely_keeps_all_keys(spark):
+    rows, keys = spark.range(-3000, 3000).withColumnRenamed("id", "k"), spark.range(0, 300, 3).withColumnRenamed("id", "k")
+    for most in (1 << 25, 64):  # the second bitmap is too small for its keys
+        got = {r.k for r in likely(rows, "k", keys, most).collect()}
+        assert {*range(0, 300, 3)} <= got and (len(got) < 900 or most == 64)
+    assert likely(rows, "k", keys.limit(0)).count() == 0
+
+
 def test_signature_tree_is_exact():
     rng = np.random.default_rng(8)
     sets = [np.unique(rng.integers(0, 60, int(rng.integers(1, 50))).astype(np.uint64)) for _ in range(90)]
@@ -508,6 +540,18 @@ def test_encoding_matches_the_library(docs, none, library):
     assert op1.decode_column(op1.encode_column(pa.array(["a▁b", None]), v), v).to_pylist() == [b"a b", None]
 
 
+def test_a_finished_task_holds_no_vocabulary(spark):
+    """Of an idle worker's memory nothing is the vocabulary's."""
+    from pyspark.sql import functions as F
+
+    def held(batches):
+        yield pa.record_batch([pa.array([len(op1._loaded)])], names=["n"])
+
+    texts = spark.range(8).repartition(4).select(F.concat(F.lit("some text "), "id").alias("text"))
+    assert op1.encoded(texts).where("round_trip").count() == 8
+    assert {r.n for r in spark.range(0, 64, 1, 16).mapInArrow(held, "n long").collect()} == {0}
+
+
 def test_streaming_holds_a_bounded_window(library):
     v = op1.vocabulary(op1.MODEL)
     text = (op1.MARK + " ".join(words(3000, 12))).replace(" ", op1.MARK)
@@ -540,18 +584,6 @@ def test_language_held_out():
     parts = {k: [t.split()[:60] for t in rest[rest.lang == k].text] for k in op4.LANGUAGES}
     texts, expected = [], []
     for k in range(150):
-def test_a_finished_task_holds_no_vocabulary(spark):
-    """Of an idle worker's memory nothing is the vocabulary's."""
-    from pyspark.sql import functions as F
-
-    def held(batches):
-        yield pa.record_batch([pa.array([len(op1._loaded)])], names=["n"])
-
-    texts = spark.range(8).repartition(4).select(F.concat(F.lit("some text "), "id").alias("text"))
-    assert op1.encoded(texts).where("round_trip").count() == 8
-    assert {r.n for r in spark.range(0, 64, 1, 16).mapInArrow(held, "n long").collect()} == {0}
-
-
         a, b = op4.LANGUAGES[k % 4], op4.LANGUAGES[(k % 4 + 1 + k // 4 % 3) % 4]
         texts.append(" ".join(parts[a][k] + parts[b][k]))
         expected += [a] * len(parts[a][k]) + [b] * len(parts[b][k])
