@@ -29,8 +29,8 @@ from .tokens import Words, ranges, release, slices, span_hashes
 SAMPLE = 1500
 #: All windows are scored; STRIDE only counts those of ``n_windows``.
 WINDOW, STRIDE = 24, 16
-#: Words from which windows run side by side.
-SIDE = 4096
+#: Words from which windows run side by side; rows of a power of two would share few sets of the cache, which slows products.
+SIDE = 3100
 HIDDEN, ATTENTION = 6, 4
 STEPS, BATCH, RATE = 240, 512, 0.02
 #: Steps after which each document's highest window is sought again.
@@ -58,6 +58,17 @@ def _running(mask: np.ndarray) -> np.ndarray:
     return out
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As numpy's unique: the first place of each distinct value, by value, and of each place its value's number; only distinct values are sorted."""
+    coded = pa.array(x).dictionary_encode()
+    code, values = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(code), prepend=-1))  # numbers are given in the order of first places
+    order = np.argsort(values)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
+    return first[order], number[code]
+
+
 class Lexicon:
     """The distinct words of a batch, lower-case in ASCII and without marks at their ends, and their character n-grams."""
 
@@ -71,7 +82,7 @@ class Lexicon:
         end = np.where(some, place[np.where(some, letters[w.end] - 1, 0)] + 1, w.end)
         del place
         whole = span_hashes(folded, w.begin, w.end)
-        _, self.one, self.which = np.unique(whole, return_index=True, return_inverse=True)
+        self.one, self.which = _distinct(whole)
         begin, end = begin[self.one], end[self.one]
         sizes = end - begin
         cores = folded[ranges(begin, sizes)]
@@ -80,23 +91,19 @@ class Lexicon:
         at = np.cumsum(sizes + 2) - (sizes + 2)
         x = np.zeros(int((sizes + 2).sum()), np.uint64)
         x[ranges(at + 1, sizes)] = cores
-        grams, owners = [], []
-        for order in GRAMS:
-            n = np.maximum(sizes + 3 - order, 0)
+        each = [np.maximum(sizes + 3 - order, 0) for order in GRAMS]
+        self.first = np.r_[0, np.cumsum(sum(each))]
+        self.gram, begin = np.empty(int(self.first[-1]), np.int32), self.first[:-1]
+        for order, n in zip(GRAMS, each, strict=True):
             i = ranges(at, n)
             h = np.full(len(i), order, np.uint64)
             for k in range(order):
                 h = h * np.uint64(0x9E3779B97F4A7C15) + x[i + k] + np.uint64(1)
             h ^= h >> np.uint64(29)
             h *= np.uint64(0xBF58476D1CE4E5B9)
-            grams.append((h >> np.uint64(64 - BITS)).astype(np.int32))
-            owners.append(np.repeat(np.arange(len(sizes)), n))
+            self.gram[ranges(begin, n)] = h >> np.uint64(64 - BITS)
+            begin = begin + n
         del x
-        gram, owner = np.concatenate(grams), np.concatenate(owners, dtype=np.int32)
-        del grams, owners
-        order = np.argsort(owner, kind="stable")
-        self.gram = gram[order]
-        self.first = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(sizes)))]
         low, high = w.begin[self.one], w.end[self.one]
         upper = _running(_UPPER[w.data])
         self.shape = np.stack([np.log1p(sizes), (upper[high] - upper[low]) / (high - low), 1 - (letters[high] - letters[low]) / (high - low)], axis=1)
@@ -225,38 +232,51 @@ class Network:
         return pooled @ p["v"] + p["c"]
 
     def adjacent(self, inputs: dict[str, np.ndarray], words: np.ndarray) -> np.ndarray:
-        """Logits of the full windows that begin at each of ``words`` but the last WINDOW - 1; as forward's, but for rounding."""
-        p, h, n = self.p, HIDDEN, len(words) - WINDOW + 1
-        states = np.empty((WINDOW, 2 * h, n), np.float32)
-        y, gates, new = np.empty((3 * h, n), np.float32), np.empty((2 * h, n), np.float32), np.empty((h, n), np.float32)
+        """Logits of the full windows that begin at each of ``words`` but the last WINDOW - 1; as forward's, but for rounding.
+
+        Both directions take a step at once. One product gives a state's part in the next gates and in attention and
+        logit; states themselves aren't kept, so that all that is worked on stays in a processor's own cache.
+        """
+        p, h, a, n = self.p, HIDDEN, ATTENTION, len(words) - WINDOW + 1
+        u = np.zeros((2, 3 * h + a + 1, h + 1), np.float32)
+        x = np.empty((2, 3 * h, len(words)), np.float32)
         for k, d in enumerate("fb"):
-            u = np.vstack([p["u" + d], np.r_[np.zeros(2 * h, np.float32), p["n" + d]]]).T.copy()  # the last column is the bias
-            x = np.ascontiguousarray(inputs[d][words].T)
-            u *= 0.5  # a gate is half of 1 + tanh of half its input
-            x[: 2 * h] *= 0.5
-            s = np.zeros((h + 1, n), np.float32)
-            s[h] = 1
-            for t in range(WINDOW) if d == "f" else range(WINDOW - 1, -1, -1):
-                np.matmul(u, s, out=y)
-                np.add(y[: 2 * h], x[: 2 * h, t : t + n], out=gates)
-                np.tanh(gates, out=gates)
-                gates += 1
-                np.multiply(y[2 * h :], gates[h:], out=new)
-                new += x[2 * h :, t : t + n]
-                np.tanh(new, out=new)
-                s[:h] -= new
-                gates[:h] *= 0.5
-                s[:h] *= gates[:h]
-                s[:h] += new
-                states[t, k * h : (k + 1) * h] = s[:h]
-        e = np.matmul(p["wa"].T.copy(), states)
-        e += p["ba"][:, None]
-        np.tanh(e, out=e)
+            own = slice(k * h, (k + 1) * h)
+            u[k, :, :h] = np.hstack([0.5 * p["u" + d], p["wa"][own], p["v"][own, None]]).T  # a gate is half of 1 + tanh of half its input
+            u[k, 2 * h : 3 * h, h] = 0.5 * p["n" + d]  # the last column is the bias
+            x[k] = inputs[d][words].T
+        x[:, : 2 * h] *= 0.5
+        u[1, 3 * h :, h] = np.r_[p["ba"], p["c"]]
+        s = np.zeros((2, h + 1, n), np.float32)
+        s[:, h] = 1
+        y, gates, new = np.empty((2, 3 * h + a + 1, n), np.float32), np.empty((2, 2 * h, n), np.float32), np.empty((2, h, n), np.float32)
+        parts = np.zeros((WINDOW, a + 1, n), np.float32)  # of both directions' states in attention and logit
+        z, r, state, inner, part = gates[:, :h], gates[:, h:], s[:, :h], y[:, 2 * h : 3 * h], y[:, 3 * h :]
+        for t in range(WINDOW + 1):
+            for k in (0, 1):
+                np.matmul(u[k], s[k], out=y[k])  # one product of both is slower
+            if t:
+                parts[t - 1] += part[0]
+                parts[WINDOW - t] += part[1]
+            if t == WINDOW:
+                break
+            # words t of the windows forwards, words WINDOW - 1 - t backwards
+            own = np.ndarray((2, 3 * h, n), np.float32, x, 4 * t, (x.strides[0] + 4 * (WINDOW - 1 - 2 * t), *x.strides[1:]))
+            np.add(y[:, : 2 * h], own[:, : 2 * h], out=gates)
+            np.tanh(gates, out=gates)
+            gates += 1
+            np.multiply(inner, r, out=new)
+            new += own[:, 2 * h :]
+            np.tanh(new, out=new)
+            state -= new
+            z *= 0.5
+            state *= z
+            state += new
+        e = np.tanh(parts[:, :a], out=parts[:, :a])
         score = np.matmul(p["va"], e)
         score -= score.max(axis=0)
         weight = np.exp(score, out=score)
-        value = np.matmul(p["v"], states)
-        return (weight * value).sum(axis=0) / weight.sum(axis=0) + p["c"]
+        return (weight * parts[:, a]).sum(axis=0) / weight.sum(axis=0)
 
     def every(self, inputs: dict[str, np.ndarray], which: np.ndarray, owner: np.ndarray, start: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Logits of all windows of ``windows_of``: of shorter texts by forward, of others by adjacent."""

@@ -678,6 +678,32 @@ def test_scores_match_plain_loops():
     assert where.tolist() == [0, 0]
 
 
+def test_adjacent_windows_take_little_memory():
+    """Logits are those of windows taken one by one, and what is worked on is under 1.5 kB a window."""
+    import tracemalloc
+
+    r = np.random.default_rng(6)
+    net, features, which = op2.Network(2), r.standard_normal((500, op2.FEATURES)).astype(np.float32), r.integers(0, 500, op2.SIDE + op2.WINDOW - 1)
+    net.p |= {k: r.standard_normal(net.p[k].shape).astype(np.float32) for k in ("nf", "nb", "ba", "c")}
+    inputs = net.inputs(features)
+    tracemalloc.start()
+    got = net.adjacent(inputs, which)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    start = np.arange(op2.SIDE)
+    index, held = op2.gathered(start, start + op2.WINDOW, which, 500)
+    assert held.all() and np.abs(got - net.forward(inputs, index, held)).max() < 1e-4
+    assert peak < 1500 * op2.SIDE
+
+
+def test_distinct_values_match_numpy():
+    x = np.random.default_rng(8).integers(0, 2**64, 300, dtype=np.uint64)[np.random.default_rng(9).integers(0, 300, 900)]
+    for values in (x, x[:0]):
+        _, one, which = np.unique(values, return_index=True, return_inverse=True)
+        got = op2._distinct(values)
+        assert np.array_equal(got[0], one) and np.array_equal(got[1], which)
+
+
 def test_toxicity_held_out():
     """What the README says of sf0.01: four folds, each fitted on the other three."""
     d = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"]).to_pandas().merge(pq.read_table("/root/testdata/sf0.01/labels.parquet").to_pandas(), on="doc_id").dropna()
