@@ -1,4 +1,4 @@
-"""Reliable checkpoints in the folder that all executors share."""
+"""Reliable checkpoints in the folder that all executors share; exchanges by key, joins without broadcast."""
 
 from __future__ import annotations
 
@@ -18,6 +18,24 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` over all of ``spark.sql.shuffle.partitions``; a join or sums by these keys need no other exchange.
+
+    Partitions whose number is given stay as they are: else they are merged until there are as many
+    as cores, or 64 MB of compressed rows in each, which are a GB in a task's sorts and hash tables.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def unsent(df: DataFrame, *keys: str) -> DataFrame:
+    """``df``, by ``keys`` where given, as the side of a join that is never broadcast.
+
+    Spark takes a table to be no larger after ``explode``, so that it would send millions of rows
+    through the driver; it keeps to that even when it knows better, if the other join has an exchange more.
+    """
+    return (spread(df, *keys) if keys else df).hint("merge")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint."""
     shared_dir(df.sparkSession)

@@ -136,6 +136,27 @@ def test_coupling_by_sums_is_coupling_by_edges(spark):
     assert sorted(map(tuple, G.coupling_counts(f, c).select(columns).collect())) == want and any(x[2] for x in want)
 
 
+def test_functions_are_never_broadcast(spark):
+    """After explode Spark takes a table to be small, and a broadcast of millions of functions ends the driver."""
+    f = spark.range(2).select("id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("i")).select(F.concat_ws("/", "id", "i").alias("key"), F.lit("m").alias("file"), F.concat_ws(".", "id", "i").alias("name"))
+    calls = spark.range(9).select(F.concat(F.lit("0/"), F.col("id") % 3 + 1).alias("caller"), F.concat(F.lit("1."), F.col("id") % 4).alias("callee_name"))
+    for df in (G.coupling_counts(f, calls), G.coupling(f, G.call_edges(calls, f)), G.callers(f, G.call_edges(calls, f)), G.uncalled(f, calls)):
+        assert df.count() and "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_uncalled_and_callers_match_nested_loop(spark):
+    functions = [(f"k{i}", f"file{i % 3}", f"name{i % 7}") for i in range(30)]
+    calls = [(f"k{i * 5 % 31}", f"name{i * i % 11}") for i in range(12)] + [("k5", "name5"), ("k5", "name5"), (None, "name6")]
+    f, c = spark.createDataFrame(functions, "key string, file string, name string"), spark.createDataFrame(calls, "caller string, callee_name string")
+    ref = {k: f"{file}:{name}" for k, file, name in functions}
+    edges = {(a, k) for a, called in calls for k, _, name in functions if name == called and a is not None and a != k}
+    assert sorted(r.key for r in G.uncalled(f, c).collect()) == sorted(set(ref) - {k for _, k in edges})
+    want = {k: sorted({ref[a] for a, b in edges if b == k and a in ref}) for _, k in edges}
+    twice = f.unionByName(f)  # a function that is listed twice has one row
+    got = G.callers(twice, G.call_edges(c, twice)).collect()
+    assert len(got) == len({r.key for r in got}) and {r.key: r.callers for r in got} == {k: x for k, x in want.items() if x}
+
+
 def test_lcov(spark):
     text = "DA:7,1\nSF:/r/a\nDA:2,1\nDA:2,0\nDA:2, 1\nDA:x,1\nBRDA:2,0,0,0\nBRDA:2,0,1,-\nend_of_record\nDA:5,2\nSF:b\nDA:1,1\nSF:/r/a\nDA:9,3\n"
     lines, branches = C.lcov(C.numbered_lines(spark.createDataFrame([(text,)], "value string")), "/r")
