@@ -13,19 +13,20 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..policy import DAY, WHOLE_FILE_END
-from .lineage import cut
+from .lineage import cut, spread
 
 
 def churn(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Distinct commits, bug fixes and authors of each key, the trailing windows and their scores.
 
-    Rows are reduced to one for each key, commit and author first, with map-side combining. Then a
-    key's rows meet in one task, which sorts (and spills) them by commit: the first row of a commit
-    counts it. ``changes`` is read once. Windows are anchored on the key's own last change.
+    A key's rows meet in one task, which sorts (and spills) them by commit: the first row of a commit
+    counts it. ``changes`` is read once and sent once. Few rows share key, commit and author, so
+    they aren't combined before: that took a hash table of all rows on either side of another
+    exchange. Windows are anchored on the key's own last change.
     """
     keys = list(keys)
-    each = changes.groupBy(*keys, "commit", "author").agg(F.max(F.col("is_bug_fix").cast("int")).alias("_bug"), F.max("ts").alias("_ts"))
-    in_order = Window.partitionBy(*keys).orderBy("commit", "author")  # all windows below share its exchange and its sort
+    each = spread(changes.select(*keys, "commit", "author", F.col("is_bug_fix").cast("int").alias("_bug"), F.col("ts").alias("_ts")), *keys)
+    in_order = Window.partitionBy(*keys).orderBy("commit")  # all windows below share its exchange and its sort
     again = (F.row_number().over(in_order) > 1) & F.lag("commit").over(in_order).eqNullSafe(F.col("commit"))
     of_commit = Window.partitionBy(*keys, "commit")
     each = each.withColumn("_one", (~again).cast("int")).withColumn("_last", F.max("_ts").over(Window.partitionBy(*keys)))
@@ -50,10 +51,10 @@ def overlapping(functions: DataFrame, changes: DataFrame, file: str = "file", bu
     """
     c = changes.select(F.col("path").alias("_path"), F.col("start_line").alias("_start"), F.col("end_line").alias("_end"), *[x for x in changes.columns if x not in ("path", "start_line", "end_line")])
     part, full = c.where(~(F.col("_end") >= WHOLE_FILE_END)), c.where(F.col("_end") >= WHOLE_FILE_END)
-    spread = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / bucket_lines), F.floor(F.col(high) / bucket_lines)))
+    buckets = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / bucket_lines), F.floor(F.col(high) / bucket_lines)))
     f = functions.where(F.col("line") <= F.col("end_line"))
-    near = f.withColumn("_bucket", spread("line", "end_line")).join(
-        part.where("_start <= _end").withColumn("_cbucket", spread("_start", "_end")), (F.col(file) == F.col("_path")) & (F.col("_bucket") == F.col("_cbucket"))
+    near = f.withColumn("_bucket", buckets("line", "end_line")).join(
+        part.where("_start <= _end").withColumn("_cbucket", buckets("_start", "_end")), (F.col(file) == F.col("_path")) & (F.col("_bucket") == F.col("_cbucket"))
     )
     near = near.where((F.col("line") <= F.col("_end")) & (F.col("_start") <= F.col("end_line")) & (F.floor(F.greatest("line", "_start") / bucket_lines) == F.col("_bucket")))
     met = near.drop("_bucket", "_cbucket").unionByName(f.join(full, (F.col(file) == F.col("_path")) & (F.col("_start") <= F.col("end_line"))))

@@ -85,6 +85,14 @@ def test_churn(spark):
     assert (got["d"].times_modified, got["d"].authors_count) == (1, 1)
 
 
+def test_churn_sends_its_rows_once_to_all_partitions(spark):
+    """Partitions that are merged to as many as cores hold more memory as the input grows."""
+    df = spark.range(0, 50, 1, 2).select((F.col("id") % 20).alias("path"), F.col("id").alias("commit"), (F.col("id") % 3).alias("author"), F.col("id").alias("ts"), F.lit(False).alias("is_bug_fix"))
+    out = H.churn(df, ["path"])
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
 def test_range_join_matches_nested_loop(spark):
     functions = [(i % 3, f"f{i}", i * 7 % 200 + 1, i * 7 % 200 + 1 + i * 13 % 150) for i in range(60)]
     changes = [(i % 4, f"c{i}", i * 11 % 300 + 1, i * 11 % 300 + i * 5 % 90 + 1, i) for i in range(80)] + [(0, "root", 1, WHOLE_FILE_END, 0)]
